@@ -50,33 +50,34 @@ def buckets_for(rows: int, rows_each: int, at_most: int = 4096) -> int:
     return max(1, min(at_most, math.ceil(rows / rows_each)))
 
 
-def ranked(df: DataFrame, group: Sequence[str], key: Column, out: str, rows_each: int = 50_000) -> DataFrame:
+def ranked(df: DataFrame, group: Sequence[str], key: Column, out: str, buckets: int) -> DataFrame:
     """Rank (long, from 0) of each row in its group, in the order of a hash `key` (long); gapless.
 
-    A group is cut into ranges of the key, so that a hot group is ranked by many tasks; the ranges' counts (at most
-    4096 a group) give each its offset. Rows with equal keys are ordered by all their columns but maps, so only
-    rows that equal one another may change places.
+    A group is cut into `buckets` ranges of the key, so that a hot group is ranked by many tasks; the ranges' counts give
+    each its offset. Rows with equal keys are ordered by all their columns but maps, so only rows that equal one another
+    may change places.
     """
     from pyspark.sql import Window
 
     g, k, b = list(group), f"{PRE}key", f"{PRE}bucket"
-    rows = df.count()
-    n = buckets_for(rows, rows_each)
-    keyed = df.withColumn(k, key).withColumn(b, (F.shiftrightunsigned(F.col(k), 33) % F.lit(n)).cast("int"))
+    plain = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    if buckets == 1:
+        w = Window.partitionBy(*g).orderBy(k, *plain)
+        return df.withColumn(k, key).withColumn(out, F.row_number().over(w).cast("long") - 1).select(*df.columns, out)
+    keyed = df.withColumn(k, key).withColumn(b, F.pmod(F.shiftright(F.col(k), 32), F.lit(buckets)).cast("int"))
     counts = keyed.groupBy(*g, b).count()
-    groups_rows = counts.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct(b, "count"))).alias("c"))
-    # at most n ranges a group, so this array is bounded; prefix sums by position
-    offsets = groups_rows.select(*g, F.posexplode("c").alias("p", "x"), "c").select(
+    # at most `buckets` ranges a group, so this array is bounded
+    arrays = counts.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct(b, "count"))).alias("c"))
+    offsets = arrays.select(*g, "c", F.posexplode("c").alias("p", "x")).select(
         *[F.col(x).alias(f"{PRE}g{i}") for i, x in enumerate(g)],
         F.col(f"x.{b}").alias(f"{PRE}gb"),
         F.expr("aggregate(slice(c, 1, p), 0L, (a, y) -> a + y.count)").alias(f"{PRE}before"),
     )
     offsets = materialise(offsets, "offsets")
-    plain = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-    w = Window.partitionBy(*g, b).orderBy(k, *plain)
     cond = F.col(b) == F.col(f"{PRE}gb")
     for i, x in enumerate(g):
         cond = cond & F.col(x).eqNullSafe(F.col(f"{PRE}g{i}"))
+    w = Window.partitionBy(*g, b).orderBy(F.shiftright(F.col(k), 32), k, *plain)
     placed = keyed.withColumn(f"{PRE}rn", F.row_number().over(w))
     joined = placed.join(sized(offsets, offsets.count(), 64), cond, "left")
     return joined.withColumn(out, F.col(f"{PRE}before") + F.col(f"{PRE}rn") - 1).select(*df.columns, out)

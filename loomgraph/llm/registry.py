@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, mixing, sharding
 
 
 def queries() -> dict:
-    return {"op4_chat": chat.op4_chat}
+    return {"op1_shards": sharding.op1_shards, "op4_chat": chat.op4_chat, "op8_mix": mixing.op8_mix}
 
 
 def oracle_sql() -> dict[str, str]:
