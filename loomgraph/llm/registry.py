@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import chat, mixing, sharding, tokens
 
 
 def queries() -> dict:
-    return {"op1_shards": sharding.op1_shards, "op4_chat": chat.op4_chat, "op8_mix": mixing.op8_mix}
+    return {"op1_shards": sharding.op1_shards, "op3_token_ids": tokens.op3_token_ids, "op4_chat": chat.op4_chat, "op8_mix": mixing.op8_mix}
 
 
 def oracle_sql() -> dict[str, str]:
