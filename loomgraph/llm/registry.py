@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding, tokens
+from . import chat, language, mixing, quality, sharding, tokens
 
 
 def queries() -> dict:
-    return {"op1_shards": sharding.op1_shards, "op3_token_ids": tokens.op3_token_ids, "op4_chat": chat.op4_chat, "op8_mix": mixing.op8_mix}
+    return {
+        "op1_shards": sharding.op1_shards,
+        "op2_language": language.op2_language,
+        "op3_token_ids": tokens.op3_token_ids,
+        "op4_chat": chat.op4_chat,
+        "op5_quality": quality.op5_quality,
+        "op8_mix": mixing.op8_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
