@@ -104,7 +104,11 @@ def fit(sample: list[tuple[int, np.ndarray]], cost: float = 1.0, smooth: float =
     every = np.concatenate([h for _, h in sample])
     grams, df = np.unique(every, return_counts=True)
     grams = grams[df >= LEAST_ROWS]
-    rows = [np.searchsorted(grams, h[np.isin(h, grams)]) for _, h in sample]
+    rows = []
+    for _, h in sample:
+        at = np.searchsorted(grams, h)
+        at = at[at < len(grams)]
+        rows.append(at[grams[at] == h[: len(at)]])  # h is sorted
     count = {s: np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t == s] or [np.zeros(0, int)]), minlength=len(grams)) + smooth for s in (1, -1)}
     n = {s: np.sum(y == s) + 2 * smooth for s in (1, -1)}
     ratio = np.log((count[1] / n[1]) / (count[-1] / n[-1]))
