@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PRE, materialise, sized, table
+from .common import PRE, importable, materialise, sized, table
 from .components import components
 from .textbytes import SPACES, mix, ngrams, steps, texts, words
 
@@ -197,6 +197,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     counts, and repeated rows aren't copies. Any key type that casts to long; other columns are ignored. Links are found with
     a chance of at least RECALL each at `least` itself, more above it; every link reported is verified by the sets.
     """
+    importable(docs.sparkSession)
     sig = materialise(signatures(docs, key, text).groupBy("id").agg(F.min(F.struct("same", "keys")).alias("x")).select("id", "x.*"), "signatures")
     worded = sig.filter("same is not null")
     copies = worded.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("id", "keys"))["keys"].alias("keys"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, language, mixing, neardup, quality, sharding, tokens
+from . import chat, decontam, language, mixing, neardup, neighbours, quality, sharding, tokens
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality": quality.op5_quality,
         "op7_neardup": neardup.op7_neardup,
         "op8_mix": mixing.op8_mix,
+        "op9_neighbours": neighbours.op9_neighbours,
         "op10_decontam": decontam.op10_decontam,
     }
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,45 +35,78 @@ PLACE = np.dtype([("shard", "<i4"), ("block", "<i4"), ("pos", "<i4"), ("start",
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+class WordEncoder:
     """Ids (as bytes) of whole texts. Only for tokenizers that drop white space and never join words over it.
 
-    Then a text's ids are those of its words in a row, and the library encodes each word once while it is kept. Texts with
-    separators that only Python takes as space go to the library whole.
+    Then a text's ids are those of its words in a row, and the library encodes a word once while it is kept: words that were
+    met among the last CACHED_WORDS to twice as many stay. New words that are letters alone, or letters and one sign, go to
+    the library many in a row and are told apart by the ids that end a word; where that doesn't come out as expected, and for
+    all other words, each is encoded by itself. Texts with separators that only Python takes as space are encoded whole.
     """
-    from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
-
-    def learn(new: list[str]) -> None:
-        for x, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(texts: list[str]) -> list[bytes]:
-        out = []
-        for t in texts:
-            if any(c in t for c in _ODD_SPACES):
-                out.append(np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        vocabulary, suffix = self.tok.get_vocab(), getattr(self.tok.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        if suffix:
+            self.last[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        plain, rest, out = [], [], {}
+        for w in new:
+            x = w.lower()
+            if x.isalpha():
+                plain.append((w, 1))
+            elif x[-1] in ".,;:!?" and x[:-1].isalpha():
+                plain.append((w, 2))
+            else:
+                rest.append(w)
+        parts = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for part, e in zip(parts, self.tok.encode_batch_fast([" ".join(w for w, _ in p) for p in parts], add_special_tokens=False), strict=True):
+            ends = np.cumsum([n for _, n in part])
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) != ends[-1]:
+                rest += [w for w, _ in part]
                 continue
-            parts = t.split()
-            try:
-                out.append(b"".join(map(known.__getitem__, parts)))
-            except KeyError:
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                learn(list({x for x in parts if x not in known}))
-                out.append(b"".join(map(known.__getitem__, parts)))
+            cut = [0, *stops[ends - 1].tolist()]
+            out.update({w: ids[x:y].tobytes() for (w, _), x, y in zip(part, cut[:-1], cut[1:], strict=True)})
+        for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[w] = np.array(e.ids, "<u4").tobytes()
         return out
 
-    return encode
+    def encode(self, texts: list[str]) -> list[bytes]:
+        odd = {i for i, t in enumerate(texts) if any(c in t for c in _ODD_SPACES)}
+        split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.old = {}, self.known
+        got = [list(map(self.known.get, p)) for p in split]
+        gaps = [[k for k, v in enumerate(g) if v is None] if None in g else [] for g in got]
+        missing = {p[k] for p, ks in zip(split, gaps, strict=True) for k in ks}
+        if missing:
+            found = {w: v for w in missing if (v := self.old.get(w)) is not None}
+            found |= self.learn([w for w in missing if w not in found])
+            self.known |= found
+            for p, g, ks in zip(split, got, gaps, strict=True):
+                for k in ks:
+                    g[k] = found[p[k]]
+        out = [b"".join(g) for g in got]
+        for i in odd:
+            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+
+#: One for each file and Python worker: tasks that a worker runs one after another share the words.
+word_encoder = lru_cache(2)(WordEncoder)
 
 
 def _blocks(path: str, end_id: int, key: str, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["shard", "block", "doc_ids", "lengths", "n_docs", "n_ids", "raw"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = word_encoder(path), np.array([end_id], "<u4").tobytes()
+        encode, last = word_encoder(path).encode, np.array([end_id], "<u4").tobytes()
         keys: list[int] = []
         held: list[bytes] = []
         size = block = 0
@@ -162,7 +196,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     sort = [*sort, F.xxhash64(text)]
     placed = kept.repartitionByRange(shards, *sort).sortWithinPartitions(*sort).withColumn(f"{PRE}shard", F.spark_partition_id())
     schema = "shard int, block int, doc_ids binary, lengths binary, n_docs long, n_ids long, raw binary"
-    placed.select(key, text, f"{PRE}shard").mapInArrow(_blocks(tokenizer, end_id, key, text), schema).write.option("compression", "uncompressed").parquet(f"{path}/payload")
+    placed.select(key, text, f"{PRE}shard").mapInArrow(_blocks(tokenizer, end_id, key, text), schema).write.option("compression", "zstd").parquet(f"{path}/payload")
     payload = spark.read.schema(schema).parquet(f"{path}/payload")
     payload.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_docs").alias("n_docs")).write.parquet(f"{path}/shards")
     starts = payload.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("block", "n_ids"))).alias("b"))
