@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, language, mixing, neardup, neighbours, quality, sharding, tokens
+from . import chat, decontam, language, mixing, neardup, neighbours, pii, quality, sharding, tokens
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_token_ids": tokens.op3_token_ids,
         "op4_chat": chat.op4_chat,
         "op5_quality": quality.op5_quality,
+        "op6_pii": pii.op6_pii,
         "op7_neardup": neardup.op7_neardup,
         "op8_mix": mixing.op8_mix,
         "op9_neighbours": neighbours.op9_neighbours,
