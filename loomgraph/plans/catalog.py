@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, telemetry_queries  # noqa: F401  (they register their queries)
+from . import function_queries, graph_queries, telemetry_queries  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL, Query
 
 
