@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,13 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver has it; where executors have it elsewhere nothing changes."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a local folder is set only where it is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
