@@ -14,6 +14,9 @@ A lookup takes a bucket, one displacement, one slot: constant time, and no key i
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,13 +33,26 @@ from .textbytes import mix
 #: Ids of a payload block after which the next one begins, and keys of an index bucket on average.
 BLOCK_IDS, BUCKET_KEYS = 1 << 20, 8192
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 PLACE = np.dtype([("shard", "<i4"), ("block", "<i4"), ("pos", "<i4"), ("start", "<i8"), ("n", "<i8")])
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
+#: Texts in which small letters or commas and stops cut off from their words might be other words to the library: signs in a
+#: row before a blank; a capital sigma; marks that go with the letter before.
+_SIGNS = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,])\s")
+_MARKS = re.compile("[\u03a3\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u1dc0-\u1dff\u20d0-\u20ff]")
+
+
+def same_words(text: str, lower: bool) -> str:
+    """text with stops and commas as words of their own, in small letters if the tokenizer ignores case: fewer different words."""
+    if _SIGNS.search(text):
+        return text
+    if lower and (text.isascii() or not _MARKS.search(text)):
+        text = text.lower()
+    return text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
 
 
 class WordEncoder:
-    """Ids (as bytes) of whole texts. Only for tokenizers that drop white space and never join words over it.
+    """Ids (as bytes) of whole texts. Only for tokenizers that drop white space, never join words over it and part letters from signs.
 
     Then a text's ids are those of its words in a row, and the library encodes a word once while it is kept: words that were
     met among the last CACHED_WORDS to twice as many stay. New words that are letters alone, or letters and one sign, go to
@@ -45,9 +61,11 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side; idle library threads only spin
         from tokenizers import Tokenizer
 
         self.tok, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.lower = "Lowercase" in json.dumps(json.loads(self.tok.to_str()).get("normalizer"))
         vocabulary, suffix = self.tok.get_vocab(), getattr(self.tok.model, "end_of_word_suffix", None)
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
         if suffix:
@@ -79,7 +97,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = {i for i, t in enumerate(texts) if any(c in t for c in _ODD_SPACES)}
-        split = [[] if i in odd else t.split() for i, t in enumerate(texts)]
+        split = [[] if i in odd else same_words(t, self.lower).split() for i, t in enumerate(texts)]
         if len(self.known) > CACHED_WORDS:
             self.known, self.old = {}, self.known
         got = [list(map(self.known.get, p)) for p in split]
@@ -98,8 +116,10 @@ class WordEncoder:
         return out
 
 
-#: One for each file and Python worker: tasks that a worker runs one after another share the words.
-word_encoder = lru_cache(2)(WordEncoder)
+@lru_cache(2)
+def word_encoder(path: str) -> WordEncoder:
+    """One for each file and Python worker: tasks that a worker runs one after another share the words."""
+    return WordEncoder(path)
 
 
 def _blocks(path: str, end_id: int, key: str, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -264,8 +284,11 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id")
     return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, f"{key} long, shard int, block int, pos int, start long, n long")
 
 
-def read_corpus(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """One row a document, from the files: key, shard, block, pos, start (ids before it), n_tokens, raw ids as bytes."""
+def read_corpus(spark: SparkSession, path: str, key: str = "doc_id", digest: bool = False) -> DataFrame:
+    """One row a document, from the files: key, shard, block, pos, start (ids before it), n_tokens, raw ids as bytes.
+
+    With digest, ids_crc32 (unsigned) of those bytes instead of them.
+    """
     payload = spark.read.parquet(f"{path}/payload")
     shards = spark.read.parquet(f"{path}/shards")
     # one row a shard of about rows_each documents; sums of sums keep any array small
@@ -284,35 +307,34 @@ def read_corpus(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
         F.col("shard"), F.col("x.block").alias("block"), (F.col("base") + F.expr("aggregate(slice(b, 1, p), 0L, (a, y) -> a + y.n_ids)")).alias("first")
     )
 
+    last = ("ids_crc32", pa.int64()) if digest else ("raw", pa.binary())
+
     def documents(batches):
         for b in batches:
-            for shard, block, ids, lengths, raw, first in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            raws = b.column(4)
+            for row, (shard, block, ids, lengths, first) in enumerate(zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True)):
                 k, m = np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<i8")
                 to = np.cumsum(m)
                 at = to - m
-                data = [raw[4 * x : 4 * y] for x, y in zip(at.tolist(), to.tolist(), strict=True)]
-                cols = [pa.array(k), pa.array(np.full(len(k), shard, np.int32)), pa.array(np.full(len(k), block, np.int32)), pa.array(np.arange(len(k), dtype=np.int32)), pa.array(first + at), pa.array(m), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=[key, "shard", "block", "pos", "start", "n_tokens", "raw"])
+                raw = memoryview(raws[row].as_buffer())
+                cut = (raw[4 * x : 4 * y] for x, y in zip(at.tolist(), to.tolist(), strict=True))
+                data = [zlib.crc32(x) for x in cut] if digest else [bytes(x) for x in cut]
+                cols = [pa.array(k), pa.array(np.full(len(k), shard, np.int32)), pa.array(np.full(len(k), block, np.int32)), pa.array(np.arange(len(k), dtype=np.int32)), pa.array(first + at), pa.array(m), pa.array(data, last[1])]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "shard", "block", "pos", "start", "n_tokens", last[0]])
 
     rows = before.count()
     joined = payload.join(sized(before, rows, 32), ["shard", "block"]).select("shard", "block", "doc_ids", "lengths", "raw", "first")
-    out = joined.mapInArrow(documents, f"{key} long, shard int, block int, pos int, start long, n_tokens long, raw binary")
+    out = joined.mapInArrow(documents, f"{key} long, shard int, block int, pos int, start long, n_tokens long, {last[0]} {'long' if digest else 'binary'}")
     return out.withColumn(key, F.when(F.col(key) != -(1 << 63), F.col(key)))
 
 
-def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        crc = pa.array([zlib.crc32(x) for x in b.column("raw").to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "raw"), crc], names=[*(c for c in b.schema.names if c != "raw"), "ids_crc32"])
-
-
 def encoded(spark: SparkSession, docs: DataFrame, order: list | None = None) -> DataFrame:
     """docs written as a corpus in the shared folder and read back: doc_id, start, n_tokens, ids_crc32, shard, block, indexed."""
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/loomgraph/corpus-{uuid.uuid4().hex}"
     write_corpus(docs, path, public_tokenizers.path("word_bpe_49k.json"), order=order)
-    read = read_corpus(spark, path).mapInArrow(digest, "doc_id long, shard int, block int, pos int, start long, n_tokens long, ids_crc32 long")
+    read = read_corpus(spark, path, digest=True)
     found = lookup(spark, path, docs.select("doc_id")).dropDuplicates(["doc_id"]).select("doc_id", F.struct("shard", "block", "pos").alias("at"))
     return read.join(found, "doc_id", "left").select(
         "doc_id", "start", "n_tokens", "ids_crc32", "shard", "block", F.coalesce(F.col("at") == F.struct("shard", "block", "pos"), F.lit(False)).alias("indexed")
