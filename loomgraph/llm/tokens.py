@@ -71,6 +71,9 @@ class WordEncoder:
         if suffix:
             self.last[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
 
+    def forget(self) -> None:
+        self.known, self.old = {}, {}
+
     def learn(self, new: list[str]) -> dict[str, bytes]:
         plain, rest, out = [], [], {}
         for w in new:
@@ -118,7 +121,7 @@ class WordEncoder:
 
 @lru_cache(2)
 def word_encoder(path: str) -> WordEncoder:
-    """One for each file and Python worker: tasks that a worker runs one after another share the words."""
+    """One for each file and Python worker; the words go with `forget` when a task ends, as idle workers would hold them."""
     return WordEncoder(path)
 
 
@@ -126,7 +129,8 @@ def _blocks(path: str, end_id: int, key: str, text: str) -> Callable[[Iterator[p
     names = ["shard", "block", "doc_ids", "lengths", "n_docs", "n_ids", "raw"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = word_encoder(path).encode, np.array([end_id], "<u4").tobytes()
+        encoder = word_encoder(path)
+        encode, last = encoder.encode, np.array([end_id], "<u4").tobytes()
         keys: list[int] = []
         held: list[bytes] = []
         size = block = 0
@@ -152,6 +156,7 @@ def _blocks(path: str, end_id: int, key: str, text: str) -> Callable[[Iterator[p
                     keys.append(ids[lo + i].as_py())
                     held.append(data + last)
                     size += len(held[-1])
+        encoder.forget()
         if held:
             yield out()
 
