@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Tables whose measured size is at most this many bytes may be broadcast; larger ones are joined by shuffling.
 BROADCAST_BYTES = 24 << 20
+#: Bytes of a batch that goes to a Python worker, at most (one row may have more).
+ARROW_BYTES = 8 << 20
 #: Names no input column has; operators put what they add for themselves under this prefix.
 PRE = "_lg_"
 
@@ -36,7 +39,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver has it; where executors have it elsewhere nothing changes."""
+    """Python workers look for this package where the driver has it (where executors have it elsewhere nothing changes), and get
+    texts in batches of ARROW_BYTES at most, whatever the rows' lengths."""
+    own = re.fullmatch(r"(\d+)b?", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"))
+    if not own or int(own[1]) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)

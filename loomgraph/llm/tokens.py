@@ -31,7 +31,7 @@ from .common import PRE, shared_dir, sized, table
 from .textbytes import mix
 
 #: Ids of a payload block after which the next one begins, and keys of an index bucket on average.
-BLOCK_IDS, BUCKET_KEYS = 1 << 20, 8192
+BLOCK_IDS, BUCKET_KEYS = 1 << 18, 8192
 #: Words whose ids a Python worker keeps.
 CACHED_WORDS = 200_000
 PLACE = np.dtype([("shard", "<i4"), ("block", "<i4"), ("pos", "<i4"), ("start", "<i8"), ("n", "<i8")])
@@ -221,7 +221,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     sort = [*sort, F.xxhash64(text)]
     placed = kept.repartitionByRange(shards, *sort).sortWithinPartitions(*sort).withColumn(f"{PRE}shard", F.spark_partition_id())
     schema = "shard int, block int, doc_ids binary, lengths binary, n_docs long, n_ids long, raw binary"
-    placed.select(key, text, f"{PRE}shard").mapInArrow(_blocks(tokenizer, end_id, key, text), schema).write.option("compression", "zstd").parquet(f"{path}/payload")
+    placed.select(key, text, f"{PRE}shard").mapInArrow(_blocks(tokenizer, end_id, key, text), schema).write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(f"{path}/payload")
     payload = spark.read.schema(schema).parquet(f"{path}/payload")
     payload.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_docs").alias("n_docs")).write.parquet(f"{path}/shards")
     starts = payload.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("block", "n_ids"))).alias("b"))
