@@ -22,6 +22,7 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "out", types: Seq
     """(id, depth) of all ids within `depth` steps of seeds.id, least depth first reached. With `by`, apart for each value of seeds.by."""
     keys = [by, "id"] if by else ["id"]
     step = steps_of(edges, direction, types).select("a", "b").distinct()
+    step = materialise(step, "steps") if depth > 1 else step  # edges may be a costly view; levels read them again and again
     seen = materialise(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)), "reach")
     front = seen
     for k in range(1, depth + 1):
@@ -36,6 +37,7 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "out", types: Seq
 def simple_paths(edges: DataFrame, seeds: DataFrame, direction: str = "out", types: Sequence[str] | None = None, depth: int = 6) -> DataFrame:
     """(id, depth, path, edge_type): one row for each simple path of at most `depth` steps; path is the ids joined by ">"."""
     step = steps_of(edges, direction, types).select("a", "b", "type")
+    step = materialise(step, "steps") if depth > 1 else step
     front = seeds.select("id", F.lit(0).alias("depth"), F.array("id").alias("ids"), F.lit(None).cast("string").alias("edge_type"))
     out = front
     for k in range(1, depth + 1):
@@ -66,6 +68,7 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, types: Sequence[str] | None
     Walks do as well as simple paths, as a detour weakens none; so a level keeps only ids that are new or better than before.
     """
     step = steps_of(edges, "in", types).select("a", "b", rank(F.col("confidence")).alias("r")).groupBy("a", "b").agg(F.max("r").alias("r"))
+    step = materialise(step, "steps") if depth > 1 else step
     best = materialise(seeds.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(len(CONFIDENCE) - 1).alias("r")), "blast")
     front = best
     for k in range(1, depth + 1):
