@@ -80,3 +80,33 @@ def fingerprint(*columns: Column) -> Column:
 def resource_name(arn: Column) -> Column:
     """The last part of a resource name with colons or slashes."""
     return F.regexp_extract(arn, r"([^:/]+)$", 1)
+
+
+def span_template(path: Column) -> Column:
+    """Value-like segments of a span's path as :param."""
+    return F.concat(F.lit("/"), F.array_join(F.transform(segments(path), lambda x: F.when(is_value(x), PARAM).otherwise(x)), "/"))
+
+
+def was_read(text: Column) -> Column:
+    """Whether no unread hole ("${...}") is left in it."""
+    return ~text.contains("${")
+
+
+def referenced_types(ref: Column) -> Column:
+    """Ids of types in a reference such as "Promise<type:a.B[]>"; distinct, sorted."""
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(ref, F.lit(r"(type:[\w.]+)"), 1)))
+
+
+def sounds_public(name: Column) -> Column:
+    return name.rlike("(?i)(public|anonymous|no_?auth|health|login)")
+
+
+def collapse_labels(labels: Column, most: int) -> Column:
+    """The first labels in order, and how many more there are."""
+    rest = F.size(labels) - most
+    return F.concat(F.array_join(F.slice(labels, 1, most), ", "), F.when(rest > 0, F.concat(F.lit(" and "), rest.cast("string"), F.lit(" more"))).otherwise(""))
+
+
+def repository_key(name: Column) -> Column:
+    """Names that differ in case, signs and a common ending are one."""
+    return F.regexp_replace(F.lower(F.regexp_replace(name, "[^A-Za-z0-9]+", "")), "(service|svc|api)$", "")

@@ -137,3 +137,75 @@ def tf_collections(s, d):
 def tf_json(s, d):
     m = F.from_json("props", "map<string,int>")
     return V.read(s, d, "events").select("event_id", F.try_element_at(m, F.lit("k")).alias("k"), F.to_json(F.struct(F.col("event_id").alias("a"), F.col("event_type").alias("b"))).alias("encoded"), F.size(F.map_keys(m)).alias("keys"))
+
+
+@query("fn_03_span_templates", f"select page_id, '/' || array_to_string(list_transform(list_filter(string_split({PATH}, '/'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '[0-9]') or length(x) > 32 or regexp_matches(x, '.@.') then ':param' else x end), '/') as template from pages")
+def fn_templates(s, d):
+    return V.read(s, d, "pages").select("page_id", S.span_template(S.url_path(F.col("url"))).alias("template"))
+
+
+@query("fn_04_was_read", "select p_partkey as k, p_partkey % 4 <> 0 as read from part")
+def fn_read(s, d):
+    text = F.concat("p_name", F.when(F.col("p_partkey") % 4 == 0, "/${id}").otherwise("/id"))
+    return V.read(s, d, "part").select(F.col("p_partkey").alias("k"), S.was_read(text).alias("read"))
+
+
+@query("fn_05_entry_ids", "select o_orderkey as k, 'entry:' || o_orderpriority || ':' || o_orderstatus as id, o_orderpriority as verb, o_orderstatus as path from orders")
+def fn_entry_ids(s, d):
+    o = V.read(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.concat_ws(":", F.lit("entry"), "o_orderpriority", "o_orderstatus").alias("id"))
+    p = F.split("id", ":")
+    return o.select("k", "id", p[1].alias("verb"), p[2].alias("path"))
+
+
+@query("fn_07_hours", "select date_trunc('hour', ts) as hour, count(*) as n from events group by 1")
+def fn_hours(s, d):
+    return V.read(s, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"))
+
+
+@query("fn_09_edit_distance", "select p_partkey as k, cast(levenshtein(p_name, p_type) as int) as distance from part")
+def fn_distance(s, d):
+    return V.read(s, d, "part").select(F.col("p_partkey").alias("k"), F.levenshtein("p_name", "p_type").alias("distance"))
+
+
+@query("fn_12_referenced_types", "select p_partkey as k, list_sort(list_distinct(['type:' || p_type, 'type:b.B' || p_size])) as ids from part")
+def fn_types(s, d):
+    ref = F.concat(F.lit("Promise<type:"), "p_type", F.lit("[] | type:b.B"), F.col("p_size").cast("string"), F.lit(" | type:"), "p_type", F.lit(">"))
+    return V.read(s, d, "part").select(F.col("p_partkey").alias("k"), S.referenced_types(ref).alias("ids"))
+
+
+@query("fn_13_weakest_strongest", "select l_orderkey as k, case min(case l_returnflag when 'A' then 0 when 'N' then 1 else 3 end) when 0 then 'heuristic' when 1 then 'declared' else 'static' end as weakest, case max(case l_returnflag when 'A' then 0 when 'N' then 1 else 3 end) when 0 then 'heuristic' when 1 then 'declared' else 'static' end as strongest from lineitem group by 1")
+def fn_strength(s, d):
+    from ..schema import named, rank
+
+    sure = F.when(F.col("l_returnflag") == "A", "heuristic").when(F.col("l_returnflag") == "N", "declared").otherwise("static")
+    g = V.read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min(rank(sure)).alias("a"), F.max(rank(sure)).alias("b"))
+    return g.select("k", named(F.col("a")).alias("weakest"), named(F.col("b")).alias("strongest"))
+
+
+@query("fn_17_repository_keys", "select s_suppkey as k, 'supplier' || regexp_extract(s_name, '([0-9]+)$', 1) as key from supplier")
+def fn_repositories(s, d):
+    return V.read(s, d, "supplier").select(F.col("s_suppkey").alias("k"), S.repository_key(F.concat("s_name", F.lit("-Service"))).alias("key"))
+
+
+@query("fn_18_name_heuristics", "select n_nationkey as k, n_nationkey % 2 = 0 as public from nation")
+def fn_heuristics(s, d):
+    name = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "isPublic").otherwise("guarded"), "n_name")
+    return V.read(s, d, "nation").select(F.col("n_nationkey").alias("k"), S.sounds_public(name).alias("public"))
+
+
+@query("fn_21_shape_navigation", "select event_id, json_extract_string(props, '$.k') as k from events")
+def fn_shapes(s, d):
+    return V.read(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("fn_25_label_collapse", "select p_brand, array_to_string(l[1:3], ', ') || case when len(l) > 3 then ' and ' || (len(l) - 3) || ' more' else '' end as labels from (select p_brand, list_sort(list(distinct p_name)) as l from part group by 1)")
+def fn_labels(s, d):
+    g = V.read(s, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_name")).alias("l"))
+    return g.select("p_brand", S.collapse_labels(F.col("l"), 3).alias("labels"))
+
+
+@query("fn_26_allow_list", "select event_id, event_type, '{\"k\":' || json_extract_string(props, '$.k') || '}' as props from events")
+def fn_allow_list(s, d):
+    """Only the keys allowed are kept of the free properties."""
+    kept = F.map_filter(F.from_json("props", "map<string,int>"), lambda k, v: k.isin("k"))
+    return V.read(s, d, "events").select("event_id", "event_type", F.to_json(kept).alias("props"))

@@ -383,3 +383,18 @@ def channel_services(s, d):
 @query("top_07_page", WITH + "select id, label from nodes where type = 'customer' order by length(label), id limit 20 offset 40")
 def page(s, d):
     return V.nodes(s, d).filter("type = 'customer'").orderBy(F.length("label"), "id").offset(40).limit(20).select("id", "label")
+
+
+@query("trv_03_flow_tree")
+def flow(s, d):
+    rows = T.flow_tree(V.trade_edges(s, d), V.nodes(s, d), "nation:1")
+    return s.createDataFrame([(i, *r) for i, r in enumerate(rows)], "place int, level int, id string, edge_type string, note string")
+
+
+@query("trv_21_type_expansion", "with recursive n(id, refs) as (select p_partkey, [p_partkey * 2 + 1, p_partkey * 2 + 2] from part), r as (select 0 as id, 0 as depth union select x, depth + 1 from (select unnest(refs) as x, depth from r join n using (id)) where depth < 4 and x in (select p_partkey from part)) select id, min(depth) as depth from r group by 1")
+def type_expansion(s, d):
+    """Types that a type refers to, and those of theirs, to a depth of four."""
+    p = V.read(s, d, "part").select(F.col("p_partkey").alias("id"))
+    e = p.select(F.col("id").alias("from_id"), F.explode(F.array(F.col("id") * 2 + 1, F.col("id") * 2 + 2)).alias("to_id"))
+    e = e.join(p.select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id", F.lit("refers").alias("type"), F.lit("static").alias("confidence"))
+    return T.reach(e, p.filter("id = 0"), "out", None, 4)

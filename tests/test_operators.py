@@ -174,3 +174,11 @@ def test_trace_readers(spark, tmp_path):
     assert got["abc"].duration_ms == 12.3
     assert got["q"].status == 502 and got["q"].error
     assert any(r.method == "POST" and r.path == "/o/:value" and r.status == 404 for r in got.values())
+
+
+def test_flow_tree(spark):
+    e = edges(spark, ("a", "b"), ("b", "a"), ("a", "c"), ("c", "d"), ("b", "d"), ("d", "e"))
+    nodes = spark.createDataFrame([(x, "s2" if x == "c" else "s1") for x in "abcde"], "id string, service string")
+    got = T.flow_tree(e, nodes, "a")
+    assert [(r[0], r[1], r[3]) for r in got] == [(0, "a", ""), (1, "c", ""), (2, "d", ""), (3, "e", ""), (1, "b", ""), (2, "a", "cycle"), (2, "d", "again")]
+    assert len(T.flow_tree(e, nodes, "a", most=3)) == 3
