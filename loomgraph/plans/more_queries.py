@@ -383,3 +383,13 @@ def span_routes(s, d):
     c = calls(s, d)
     got = L.match_routes(c, routes(s, d))
     return got.groupBy((F.col("call_id") % 5).alias("m")).agg(F.count("*").alias("n"))
+
+
+@query("snk_07_catalogue", TRADE + "select lower(replace(service, ' ', '-')) as name, coalesce(len(list(distinct lower(replace(to_service, ' ', '-'))) filter (to_service is not null)), 0) as depends from (select distinct service from nodes where service is not null) left join (select a.service as service, b.service as to_service from t join nodes a on a.id = from_id join nodes b on b.id = to_id where a.service <> b.service) using (service) group by 1")
+def catalogue(s, d):
+    from ..sources.graphs import catalogue as written
+    from .graph_queries import service_joins
+
+    c = written(V.nodes(s, d), service_joins(s, d))
+    spec = F.from_json("document", "spec struct<dependsOn:array<string>>")["spec"]["dependsOn"]
+    return c.select("name", F.size(spec).cast("long").alias("depends"))

@@ -182,3 +182,30 @@ def test_flow_tree(spark):
     got = T.flow_tree(e, nodes, "a")
     assert [(r[0], r[1], r[3]) for r in got] == [(0, "a", ""), (1, "c", ""), (2, "d", ""), (3, "e", ""), (1, "b", ""), (2, "a", "cycle"), (2, "d", "again")]
     assert len(T.flow_tree(e, nodes, "a", most=3)) == 3
+
+
+def test_graph_documents(spark, tmp_path):
+    from loomgraph.sources import graphs as G
+
+    doc = {
+        "nodes": [{"id": "a", "type": "entry", "label": "A", "service": "s"}, {"id": "b", "type": "method", "label": "B"}],
+        "edges": [{"from": "a", "to": "b", "type": "calls"}, {"from": "a", "to": "b", "type": "calls", "confidence": "heuristic"}],
+        "types": {"type:x": {"name": "X", "kind": "interface", "fields": [{"name": "f", "type": "string", "optional": False}]}},
+        "unresolved": [{"file": "f.ts", "line": 3, "reason": "dynamic"}],
+    }
+    (tmp_path / "g.json").write_text(json.dumps(doc, indent=1))
+    got = G.read_graph(spark, str(tmp_path / "g.json"))
+    assert {k: v.count() for k, v in got.items()} == {"nodes": 2, "edges": 1, "types": 1, "unresolved": 1}
+    u = got["unresolved"].first()
+    assert (u.level, u.sites, u.kind) == ("action", 1, "gap")
+    (tmp_path / "bad.json").write_text(json.dumps({"nodes": [{"label": "x"}]}))
+    with pytest.raises(Exception, match="without id"):
+        G.read_graph(spark, str(tmp_path / "bad.json"))["nodes"].collect()
+
+
+def test_old_traffic_is_upgraded(spark):
+    from loomgraph.sources import graphs as G
+
+    one = spark.createDataFrame([("join", "x", 5)], "family string, id string, count long").withColumn("last_seen", F.lit("2024-01-01 10:20:00").cast("timestamp"))
+    r = G.upgrade_observed(one).first()
+    assert (r.hour.hour, r.errors, r.hist, r.format) == (10, 0, {}, 3)
