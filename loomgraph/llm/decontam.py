@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import PRE, materialise, sized, table
-from .textbytes import LETTERS, ngrams, steps, texts, words
+from .textbytes import LETTERS, ngrams, release, steps, texts, words
 
 #: Tokens of a match at least (an item with fewer tokens has to match whole), and the coverage from which a document counts.
 LEAST_MATCH, COVERAGE = 5, 0.5
@@ -107,6 +107,7 @@ def _matcher(block: list[tuple[int, str]], least: int, key: str):
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), kind]
             cols[4] = [[{"item_at": p, "doc_at": q, "tokens": n} for p, q, n in t] for t in cols[4]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        release()
 
     return run
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import PRE, importable, materialise, sized, table
 from .components import components
-from .textbytes import SPACES, mix, ngrams, steps, texts, words
+from .textbytes import SPACES, mix, ngrams, release, steps, texts, words
 
 WORDS, LEAST, RECALL = 5, 0.8, 0.995
 TREES, DEEPEST = 16, 6
@@ -91,6 +91,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                 keys.append(pa.ListArray.from_arrays(np.arange(0, k.size + 1, TREES, dtype=np.int32), k.reshape(-1).view(np.int64)))
             if same:
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.concat_arrays(same), pa.concat_arrays(keys)], names=["id", "same", "keys"])
+        release()
 
     return _lowered(docs, key, text).mapInArrow(run, "id long, same long, keys array<long>")
 
@@ -105,6 +106,7 @@ def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
                 g, upto, _ = shingles(data, off)
                 out += [np.unique(g[upto[i] : upto[i + 1]]).tobytes() for i in range(len(off) - 1)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], names=["id", "shingles"])
+        release()
 
     return _lowered(docs, key, text).mapInArrow(run, "id long, shingles binary")
 
@@ -182,6 +184,8 @@ def compare(placed: DataFrame, least: float) -> DataFrame:
                 held.append((doc, block, copies, np.frombuffer(raw[k].as_buffer(), np.uint64).copy()))
         if len(held) > 1:
             yield out()
+        held = []
+        release()
 
     dealt = placed.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
     return dealt.mapInArrow(run, "id long, root long, links long")

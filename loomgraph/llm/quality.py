@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, table
-from .textbytes import RUNS, ngrams, steps, texts, words
+from .textbytes import RUNS, ngrams, release, steps, texts, words
 
 #: Labelled rows at most that the model is fitted on: those with the smallest hashes of their ids.
 TRAIN_ROWS = 8000
@@ -167,6 +167,7 @@ def score(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
         for b in batches:
             s = np.concatenate([model.scores(data, off, sieve) for _, _, data, off in steps(*texts(b.column("text")))] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= least).astype(np.int32))], schema=pa.schema([*b.schema, ("score", pa.float64()), ("predicted", pa.int32())]))
+        release()
 
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,3 +96,12 @@ def ngrams(h: np.ndarray, upto: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     for j in range(k):
         g = g * _B + h[first + j]
     return mix(g + np.uint64(k)), upto_g
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: idle Python workers would keep it from the next ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

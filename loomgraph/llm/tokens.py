@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import PRE, shared_dir, sized, table
-from .textbytes import mix
+from .textbytes import mix, release
 
 #: Ids of a payload block after which the next one begins, and keys of an index bucket on average.
 BLOCK_IDS, BUCKET_KEYS = 1 << 18, 8192
 #: Words whose ids a Python worker keeps.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 150_000
 PLACE = np.dtype([("shard", "<i4"), ("block", "<i4"), ("pos", "<i4"), ("start", "<i8"), ("n", "<i8")])
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 #: Texts in which small letters or commas and stops cut off from their words might be other words to the library: signs in a
@@ -159,6 +159,8 @@ def _blocks(path: str, end_id: int, key: str, text: str) -> Callable[[Iterator[p
         encoder.forget()
         if held:
             yield out()
+        held = []
+        release()
 
     return run
 
@@ -326,6 +328,7 @@ def read_corpus(spark: SparkSession, path: str, key: str = "doc_id", digest: boo
                 data = [zlib.crc32(x) for x in cut] if digest else [bytes(x) for x in cut]
                 cols = [pa.array(k), pa.array(np.full(len(k), shard, np.int32)), pa.array(np.full(len(k), block, np.int32)), pa.array(np.arange(len(k), dtype=np.int32)), pa.array(first + at), pa.array(m), pa.array(data, last[1])]
                 yield pa.RecordBatch.from_arrays(cols, names=[key, "shard", "block", "pos", "start", "n_tokens", last[0]])
+        release()
 
     rows = before.count()
     joined = payload.join(sized(before, rows, 32), ["shard", "block"]).select("shard", "block", "doc_ids", "lengths", "raw", "first")
