@@ -298,6 +298,30 @@ def test_mix_keeps_all_and_follows_weights(spark):
         mixing.mix(docs(spark, rows).withColumn("slot", F.lit(1)))
 
 
+def test_mix_keeps_to_the_exact_weights_over_many_cycles(spark):
+    n = {f"s{i:02}": 300 for i in range(20)} | {"hot": 3000}
+    df = docs(spark, [(i, f"{s} {i}", None, s) for s, k in n.items() for i in range(k)])
+    out = mixing.mix(df, block_rows=1).toPandas()
+    assert sorted(out.position) == list(range(9000))
+    assert (out.slot >= out.release).all() and (out.slot < out.deadline).all()
+    end = out[out.source != "hot"].groupby("source").slot.max().min() + 1  # of the first phase
+    assert end > 5000
+    total = sum(k**0.5 for k in n.values())
+    for s, k in n.items():
+        had = np.bincount(out[(out.source == s) & (out.slot < end)].slot, minlength=end).cumsum()
+        assert np.abs(had - np.arange(1, end + 1) * k**0.5 / total).max() < 1
+
+
+def test_mix_of_sources_without_weights_and_short_blocks(spark):
+    n = {"a": 130, "b": 67, "c": 5, "d": 64}
+    df = docs(spark, [(i, f"{s} {i}", None, s) for s, k in n.items() for i in range(k)])
+    out = mixing.mix(df, {"a": 0.1, "b": 0.7}, block_rows=4, cycle=7).toPandas()
+    assert sorted(out.position) == list(range(266)) and (out.sort_values("position").slot.diff().dropna() >= 0).all()
+    assert (out.groupby(["source", "block"]).position.agg(lambda p: p.max() - p.min() + 1 - len(p)) == 0).all()
+    assert (out.slot >= out.release).all() and (out.slot < out.deadline).all()
+    assert out[out.source.isin(["c", "d"])].position.min() == 197
+
+
 # 9: neighbours
 
 
