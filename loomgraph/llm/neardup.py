@@ -111,15 +111,20 @@ def sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     return _lowered(docs, key, text).mapInArrow(run, "id long, shingles binary")
 
 
+def _enough(both, union, least: float):
+    """both / union >= least, of counts, with room for the rounding of `least` as a float: the same for single pairs and blocks."""
+    return both >= least * union * (1 - 1e-12)
+
+
 def alike(left: list[np.ndarray], right: list[np.ndarray], least: float) -> np.ndarray:
     """Which pairs of sets have a Jaccard similarity of `least` or more, as a matrix; by products of indicator blocks."""
     if len(left) == len(right) == 1:
         both = len(np.intersect1d(left[0], right[0], assume_unique=True))
-        return np.array([[both >= least * (len(left[0]) + len(right[0]) - both)]])
+        return np.array([[_enough(both, len(left[0]) + len(right[0]) - both, least)]])
     sizes = [np.array([len(s) for s in side]) for side in (left, right)]
     cat = [np.concatenate(side) if side else np.zeros(0, np.uint64) for side in (left, right)]
     shared = np.intersect1d(cat[0], cat[1])
-    both = np.zeros((len(left), len(right)), np.float32)
+    both = np.zeros((len(left), len(right)))
     place = []
     for c, size in zip(cat, sizes, strict=True):
         at = np.searchsorted(shared, c)
@@ -135,7 +140,7 @@ def alike(left: list[np.ndarray], right: list[np.ndarray], least: float) -> np.n
             x[row[ok], at[ok] - lo] = 1
             m.append(x)
         both += m[0] @ m[1].T
-    return both >= np.float32(least) * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-4
+    return _enough(both, sizes[0][:, None] + sizes[1][None, :] - both, least)
 
 
 def _tile(i: int, j: int, ids: np.ndarray, blocks: np.ndarray, copies: np.ndarray, own: list[np.ndarray], least: float):

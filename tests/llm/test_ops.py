@@ -75,6 +75,7 @@ def test_language(spark):
     assert language.identify(odd.limit(0), model).count() == 0
 
 
+
 # 3: token ids
 
 
@@ -256,6 +257,13 @@ def test_near_duplicates(spark, monkeypatch):
     assert neardup.depth() == 5 and neardup.depth(recall=0.9) == 6
 
 
+def test_alike_holds_the_bound_for_long_documents():
+    for k in (1, 1000, 3000, 20_000):  # 4 k of 5 k shared is just enough, one less isn't
+        a, b, less = np.arange(9 * k, dtype=np.uint64), np.arange(k, 10 * k, dtype=np.uint64), np.arange(k + 1, 10 * k, dtype=np.uint64)
+        assert neardup.alike([a], [b], 0.8).tolist() == [[True]]
+        assert neardup.alike([a, b], [b, less], 0.8).tolist() == [[True, False], [True, True]]
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (7, 7)]
     got = {r.id: r.root for r in components.components(spark.createDataFrame(e, "a long, b long")).collect()}
