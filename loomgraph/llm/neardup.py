@@ -1,12 +1,13 @@
-"""N-gram Jaccard join (op7): an LSH forest of MinHash signatures, then exact verification.
+"""N-gram Jaccard join (op7): MinHash signatures in bands of a fixed depth, then exact verification.
 
 A document is the set of its shingles (five words in a row; fewer words are one shingle), as 64-bit hashes. Signatures are
-cut into TREES labels; the prefix tries of the labels are kept as sorted keys, so documents that share a prefix lie together.
-Prefixes start at full length and are shortened, level by level, until the chance to meet in some tree at the wanted
-similarity reaches the target recall. Documents that share a prefix hang on its least document; the components of these
-links (linear in number) bound where partners can be. Within a component all pairs are compared by their shingle sets, in
-tiles of blocks against blocks, so that no task holds more than two blocks, and pairs are counted where they are found
-and never written: a tile gives each document's links and a forest that joins what it found.
+cut into TREES bands, and the hash of a band's first depth() values is its key. This stands for the descent of an LSH forest
+(labels of DEEPEST values in sorted prefix tries, shortened level by level till the chance to meet in some tree reaches the
+target recall): at one threshold for all pairs, that chance depends on the level alone, so all documents would stop at the
+same one. No labels are kept, and nothing depends on what has been matched. Documents that share a key hang on its least
+document; the components of these links (linear in number) bound where partners can be. Within a component all pairs are
+compared by their shingle sets, in tiles of blocks against blocks, so that no task holds more than two blocks, and pairs are
+counted where they are found and never written: a tile gives each document's links and a forest that joins what it found.
 """
 
 from __future__ import annotations
