@@ -1,7 +1,8 @@
 """Language identification (op2): blended-spectrum string kernels with Nystrom landmarks and kernel ridge regression.
 
 The kernel of two texts is the number of character n-grams (one to three characters) that both have, over the root of the
-product of how many each has; n-grams are taken from the landmarks, a bounded sample of texts for each language. One-versus-
+product of how many each has; n-grams are taken from the landmarks, a bounded sample of texts for each language, and all of
+them count: those of the 255 most frequent letters are found in tables, others by binary search. One-versus-
 rest ridge regression is fitted in the space of the landmarks. A text's kernel row times the fitted coefficients is a product
 of its n-gram indicator row with one matrix, so texts are scored in batches of rows by matrix products.
 """
@@ -56,13 +57,14 @@ def grams(text: str) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    alphabet: np.ndarray  # small letters and the blank; their places are 1, 2, ...
+    alphabet: np.ndarray  # the most frequent small letters and the blank; their places are 1, 2, ...
     grams: np.ndarray  # sorted, packed
     matrix: np.ndarray  # grams x languages
     bias: np.ndarray
 
-    def tables(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The place of each code point, and for one, two and three places the n-gram's row or -1."""
+    def tables(self) -> tuple[np.ndarray, list[np.ndarray], np.ndarray | None]:
+        """The place of each code point, for one, two and three places the n-gram's row or -1, and which code points are rare:
+        in n-grams, but without a place (None: there is none)."""
         low = lower_letters().copy()
         low[low == 0] = _SPACE
         place = np.zeros(0x110000, np.uint8)
@@ -74,10 +76,12 @@ class Model:
             c = [at.get(x) for x in (g & 0x1FFFFF, g >> 21 & 0x1FFFFF, g >> 42) if x]
             if None not in c:
                 rows[len(c) - 1][sum(x << 8 * k for k, x in enumerate(c))] = i
-        return place, rows
+        rare = np.zeros(0x110000, bool)
+        rare[np.setdiff1d(self.grams[self.grams < 1 << 21].astype(np.int64), self.alphabet)] = True
+        return place, rows, rare[low] if rare.any() else None
 
-    def decide(self, data: np.ndarray, off: np.ndarray, place: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Values of each language for each text, and which texts have a letter."""
+    def decide(self, data: np.ndarray, off: np.ndarray, place: np.ndarray, rows: list[np.ndarray], rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Values of each language for each text, and which texts have a letter. N-grams with rare letters are looked up in grams."""
         n = len(off) - 1
         points, at = code_points(data, off)
         of = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
@@ -91,6 +95,18 @@ class Model:
             row = rows[k][code]
             ok = (row >= 0) & (of[: len(row)] == of[k:]) if k else row >= 0
             have[of[: len(row)][ok], row[ok]] = 1
+        if rare is not None:
+            odd = np.flatnonzero(rare[points])
+            low = lower_letters()[points].astype(np.uint64)
+            low[low == 0] = _SPACE
+            for k in range(3):
+                i = np.unique((odd[:, None] - np.arange(k + 1)).reshape(-1))
+                i = i[(i >= 0) & (i + k < len(points))]
+                i = i[of[i] == of[i + k]]
+                g = sum(low[i + j] << np.uint64(21 * j) for j in range(k + 1))
+                row = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
+                ok = self.grams[row] == g
+                have[of[i][ok], row[ok]] = 1
         size = np.sqrt(np.maximum(have.sum(1, keepdims=True), 1))
         return have @ self.matrix.astype(np.float32) / size + self.bias, letter
 
@@ -155,7 +171,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         raise ValueError("docs already has lang_pred or score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, rows = model.tables()
+        place, rows, rare = model.tables()
         names = np.array([*model.langs, UNKNOWN], object)
         for b in batches:
             pred, score = [], []
@@ -164,7 +180,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     pred.append(np.full(len(off) - 1, UNKNOWN, object))
                     score.append(np.zeros(len(off) - 1))
                     continue
-                v, letter = model.decide(data, off, place, rows)
+                v, letter = model.decide(data, off, place, rows, rare)
                 best = v.argmax(1)
                 p = np.exp(3 * (v - v.max(1, keepdims=True)))
                 pred.append(names[np.where(letter, best, len(model.langs))])

@@ -75,6 +75,20 @@ def test_language(spark):
     assert language.identify(odd.limit(0), model).count() == 0
 
 
+def test_language_counts_all_letters():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    text = lambda first, n: "".join(chr(first + rng.randrange(900)) if rng.random() < 0.9 else " " for _ in range(n))
+    sample = [(lang, text(first, 200)) for _ in range(40) for lang, first in (("ja", 0x4E00), ("ko", 0xAC00))]
+    model = language.fit([(lang, language.grams(x)) for lang, x in sample])
+    new = [text(0x4E00, 60), text(0xAC00, 60), text(0x4E00, 2), "", text(0xAC00, 1), sample[0][1], "abc 12"]
+    data, off = textbytes.texts(pa.array(new))
+    got, _ = model.decide(data, off, *model.tables())
+    for x, values in zip(new, got, strict=True):
+        have = np.isin(model.grams, language.grams(x)) if x else np.zeros(len(model.grams), bool)
+        assert np.allclose(values, have @ model.matrix / max(have.sum(), 1) ** 0.5 + model.bias, atol=1e-4)
+
 
 # 3: token ids
 
