@@ -37,11 +37,11 @@ def selected(nodes: DataFrame, selector: dict) -> DataFrame:
     return nodes.filter(test).select("id")
 
 
-def evaluate(nodes: DataFrame, edges: DataFrame, rules: Iterable[Rule], depth: int = 16) -> DataFrame:
+def evaluate(nodes: DataFrame, edges: DataFrame, rules: Iterable[Rule], depth: int | None = None) -> DataFrame:
     """(rule, severity, from_id, to_id): a row for each violation; (rule, "unchecked", null, null) where a selector fits nothing.
 
     nodes: id and the columns that selectors name, with tag for rules on tags. Direct rules look at single edges; transitive
-    ones at all that is reached within `depth`, each start by itself, so the way's ends are known.
+    ones at all that is reached (within `depth` steps, where given), each start by itself, so the way's ends are known.
     """
     out = None
     for r in rules:
@@ -53,7 +53,7 @@ def evaluate(nodes: DataFrame, edges: DataFrame, rules: Iterable[Rule], depth: i
             start, end = a.withColumnRenamed("id", "from_id"), b.withColumnRenamed("id", "to_id")
             if r.transitive or r.shape == "reachable":
                 seeds = (a if r.shape != "only" else nodes.select("id")).withColumn("from_id", F.col("id"))
-                hops = reach(edges, seeds, "out", None, depth, by="from_id").filter("depth > 0").select("from_id", F.col("id").alias("to_id"))
+                hops = reach(edges, seeds, "out", None, 1 << 20 if depth is None else depth, by="from_id").filter("depth > 0").select("from_id", F.col("id").alias("to_id"))
             if r.shape == "forbid":
                 found = hops.join(start, "from_id", "left_semi").join(end, "to_id", "left_semi")
             elif r.shape == "only":

@@ -49,6 +49,28 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, direction: str = "out", typ
     return out.select("id", "depth", F.array_join("ids", ">").alias("path"), "edge_type")
 
 
+def shortest_cycles(edges: DataFrame) -> DataFrame:
+    """(id, length, path): for each id on a cycle its shortest way back to itself, of any length; path is the ids joined by ">",
+    the first among equals.
+
+    Breadth first from each id; of the ways to an id of a level only the first by path goes on, as all end alike. An id whose
+    way is closed walks no further.
+    """
+    step = materialise(steps_of(edges).select("a", "b").distinct(), "steps")
+    front = step.select(F.col("a").alias("start"), F.col("a").alias("id"), F.col("a").alias("path")).distinct()
+    seen, out, k = front.select("start", "id").limit(0), None, 0
+    while True:
+        k += 1
+        grown = front.withColumnRenamed("id", "a").join(step, "a").select("start", F.col("b").alias("id"), F.concat_ws(">", "path", "b").alias("path"))
+        new = materialise(grown.join(seen, ["start", "id"], "left_anti").groupBy("start", "id").agg(F.min("path").alias("path")), "cycles")
+        closed = new.filter("id = start").select("id", F.lit(k).alias("length"), "path")
+        out = closed if out is None else out.unionByName(closed)
+        front = new.filter("id <> start").join(closed.select(F.col("id").alias("start")), "start", "left_anti")
+        if not front.limit(1).count():
+            return out
+        seen = seen.unionByName(front.select("start", "id"))
+
+
 def traverse(nodes: DataFrame, paths: DataFrame, most: int) -> tuple[DataFrame, bool]:
     """The first `most` paths by (depth, path) whose end has a node, with its columns; and whether there are more."""
     rows = paths.join(nodes, "id").orderBy("depth", "path").limit(most + 1)

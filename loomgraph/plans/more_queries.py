@@ -68,13 +68,8 @@ def rule_delta(s, d):
 
 @query("gra_02_representative_cycle", TRADE + ", w as (select from_id as a, to_id as b, [from_id, to_id] as p from t union all select w.a, t.to_id, list_append(p, t.to_id) from w join t on t.from_id = w.b where w.a <> w.b and not list_contains(p[2:], t.to_id) and len(p) < 8), c as (select a as id, array_to_string(p, '>') as path, len(p) - 1 as length from w where a = b) select id, length, path from (select *, row_number() over (partition by id order by length, path) as k from c) where k = 1")
 def representative(s, d):
-    """For each nation the shortest way back to itself (of at most seven steps), the first by name among equals."""
-    t = V.trade_edges(s, d)
-    p = T.simple_paths(t, t.select(F.col("from_id").alias("id")).distinct(), depth=6).withColumn("start", F.substring_index("path", ">", 1))
-    back = p.join(t.select(F.col("from_id").alias("id"), F.col("to_id").alias("start")), ["id", "start"])
-    w = Window.partitionBy("start").orderBy("length", "way")
-    ways = back.select("start", (F.col("depth") + 1).alias("length"), F.concat_ws(">", "path", "start").alias("way"))
-    return ways.withColumn("k", F.row_number().over(w)).filter("k = 1").select(F.col("start").alias("id"), "length", F.col("way").alias("path"))
+    """For each nation the shortest way back to itself, the first by name among equals."""
+    return T.shortest_cycles(V.trade_edges(s, d))
 
 
 @query("gra_10_verdicts", WITH + f", c as {CH} select type, case when type = 'supplier' and id in (select from_id from c where type = 'emits') then 'alive' when type = 'customer' and id in (select to_id from c where type = 'consumes') then 'alive' when type = 'region' then 'unknown' else 'dead' end as verdict, count(*) as n from nodes where type in ('supplier', 'customer', 'region') group by 1, 2")

@@ -209,3 +209,24 @@ def test_old_traffic_is_upgraded(spark):
     one = spark.createDataFrame([("join", "x", 5)], "family string, id string, count long").withColumn("last_seen", F.lit("2024-01-01 10:20:00").cast("timestamp"))
     r = G.upgrade_observed(one).first()
     assert (r.hour.hour, r.errors, r.hist, r.format) == (10, 0, {}, 3)
+
+
+def test_shortest_cycles_of_any_length(spark, monkeypatch):
+    from loomgraph.plans import catalog
+    from loomgraph.sources import views as V
+
+    ring = [(f"n{i}", f"n{(i + 1) % 9}") for i in range(9)]
+    e = edges(spark, *ring, ("n2", "m"), ("m", "n4"), ("m", "x"), ("x", "y"), ("y", "x"), ("z", "z"), ("z", "n0"))
+    monkeypatch.setattr(V, "trade_edges", lambda s, d: e)
+    got = {r.id: (r.length, r.path) for r in catalog.queries()["gra_02_representative_cycle"](spark, "").collect()}
+    way = lambda i, third: ">".join(third if k % 9 == 3 else f"n{k % 9}" for k in range(i, i + 10))
+    assert got == {**{f"n{i}": (9, way(i, "n3" if i == 3 else "m")) for i in range(9)}, "m": (9, way(3, "m")), "x": (2, "x>y>x"), "y": (2, "y>x>y"), "z": (1, "z>z")}
+
+
+def test_rules_reach_to_the_end(spark):
+    from loomgraph.operators import rules as R
+
+    e = edges(spark, *[(f"n{i}", f"n{i + 1}") for i in range(19)])
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(20)], "id string")
+    rules = (R.Rule("may not", "reachable", {"id": "n0"}, {"id": "n19"}), R.Rule("must", "reachable", {"id": "n0"}, {"id": "n19"}, must=True))
+    assert [tuple(r) for r in R.evaluate(nodes, e, rules).collect()] == [("may not", "error", "n0", "n19")]
