@@ -22,10 +22,12 @@ PRE = "_lg_"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a local one if all runs in one JVM."""
     importable(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"{tempfile.gettempdir()}/loomgraph-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

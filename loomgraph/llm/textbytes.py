@@ -75,12 +75,25 @@ def words(data: np.ndarray, off: np.ndarray, classes: np.ndarray) -> tuple[np.nd
     end = np.append(at[1:], n)
     is_word = c[at] != 0
     starts, ends = at[is_word], end[is_word]
-    pw, inv = _powers(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[:n], dtype=np.uint64, out=sums[1:])
-    h = mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * _A)
-    return starts, ends, h, np.searchsorted(starts, off)
+    return starts, ends, hashes(data, starts, ends), np.searchsorted(starts, off)
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes from starts to ends (ascending, apart from one another), in stretches of about STEP bytes."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + STEP, "right")))
+        own = data[base : ends[j - 1]]
+        pw, inv = _powers(len(own) + 1)
+        sums = np.empty(len(own) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum((own.astype(np.uint64) + np.uint64(1)) * pw[: len(own)], dtype=np.uint64, out=sums[1:])
+        lo, hi = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((sums[hi] - sums[lo]) * inv[lo] + (hi - lo).astype(np.uint64) * _A)
+        i = j
+    return out
 
 
 def ngrams(h: np.ndarray, upto: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

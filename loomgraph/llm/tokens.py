@@ -1,22 +1,23 @@
 """Token-ID output (op3): raw id payloads in blocks, and a minimal perfect hash index from document keys to places in them.
 
-A corpus is three Parquet tables under one path of the shared store, written and read by Spark alone, so that any store will do:
+A corpus is four Parquet tables under one path of the shared store, written and read by Spark alone, so that any store will do:
 
-* payload: (shard, block, doc_ids, lengths, ids, raw) with blocks in ascending key order; `raw` holds the ids of the block's
-  documents one after another as little-endian unsigned 32-bit integers, doc_ids and lengths (in ids) are int64 arrays as bytes.
-* shards: (shard, n_ids) for the ids before each shard.
+* payload: (shard, block, doc_ids, lengths, n_docs, n_ids, raw) with blocks in ascending key order; `raw` holds the ids of the
+  block's documents one after another as little-endian unsigned 32-bit integers.
+* shards: (shard, n_ids, n_docs) for the ids before each shard.
+* meta: the number of buckets of the index.
 * index: (bucket, n, seeds, prints, places): in each bucket of keys a minimal perfect hash function (hash and displace: `seeds`
   has one displacement for each group of about four keys). Key k has slot f(k) in 0..n-1; prints[slot] is a 32-bit fingerprint
   that tells most absent keys, places[slot] is (shard, block, position in the block, first id in the shard, ids).
 
-A lookup takes a bucket, one displacement, one slot: constant time, and no key is stored in the index.
+A lookup takes a bucket, one displacement, one slot: constant time, and no key is stored in the index. `fetch` and `fetch_one` cut
+the ids of keys from the payload by their places; Spark skips the row groups of other shards, blocks and buckets.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,136 +28,258 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PRE, shared_dir, sized, table
-from .textbytes import mix, release
+from .common import PRE, materialise, shared_dir, sized, table
+from .textbytes import hashes, mix, release, steps, texts
 
 #: Ids of a payload block after which the next one begins, and keys of an index bucket on average.
-BLOCK_IDS, BUCKET_KEYS = 1 << 18, 8192
-#: Words whose ids a Python worker keeps.
-CACHED_WORDS = 150_000
+BLOCK_IDS, BUCKET_KEYS = 1 << 18, 1024
 PLACE = np.dtype([("shard", "<i4"), ("block", "<i4"), ("pos", "<i4"), ("start", "<i8"), ("n", "<i8")])
-_ODD_SPACES = "\x1c\x1d\x1e\x1f"
-#: Texts in which small letters or commas and stops cut off from their words might be other words to the library: signs in a
-#: row before a blank; a capital sigma; marks that go with the letter before.
-_SIGNS = re.compile(r"[.,](?<=[^\w\s][.,]|_[.,])\s")
-_MARKS = re.compile("[\u03a3\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u1dc0-\u1dff\u20d0-\u20ff]")
-
-
-def same_words(text: str, lower: bool) -> str:
-    """text with stops and commas as words of their own, in small letters if the tokenizer ignores case: fewer different words."""
-    if _SIGNS.search(text):
-        return text
-    if lower and (text.isascii() or not _MARKS.search(text)):
-        text = text.lower()
-    return text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
-
-
-class WordEncoder:
-    """Ids (as bytes) of whole texts. Only for tokenizers that drop white space, never join words over it and part letters from signs.
+#: Different pieces and ids that a Python worker keeps at most; beyond either it begins anew.
+PIECES, POOL = 1 << 20, 1 << 23
+#: Pieces that are encoded as one text.
+TOGETHER = 512
+#: What the fast path knows, as the tokenizer's file says it. Other normalizers, pre-tokenizers and models get whole texts.
+KNOWN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+KNOWN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Classes of bytes: 0 white space, 1 letters (with the two-byte letters of Latin-1), 2 digits, 3 signs, 4 all else. A word (what
+#: lies between white space) with a byte of class 4 is one piece; others are cut into runs of letters, digits and runs of signs.
+CLASSES = np.full(256, 4, np.uint8)
+CLASSES[33:127] = 3
+CLASSES[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
+CLASSES[48:58] = 2
+CLASSES[[9, 10, 11, 12, 13, 32]] = 0
+CLASSES[[39, 124]] = 4  # an apostrophe may begin a suffix, a bar belongs to control strings
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
+
+
+def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with small letters where pieces are cut, starts, ends, whether a piece was cut from a word, number up to each text)."""
+    n = len(data)
+    kind = CLASSES[data]
+    lead = np.flatnonzero(data == 0xC3)
+    second = data[np.minimum(lead + 1, n - 1)]
+    kind[lead[(second == 0x97) | (second == 0xB7)]] = 4  # the two signs among them
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=new[1:])
+    new |= kind == 2
+    first = off[:-1][off[:-1] < n]
+    new[first] = True
+    odd = np.flatnonzero(kind == 4)
+    whole = np.zeros(n + 1, np.int8)
+    if len(odd):
+        blank = kind == 0
+        edge = np.empty(n, bool)
+        edge[0] = True
+        np.not_equal(blank[1:], blank[:-1], out=edge[1:])
+        edge[first] = True
+        at = np.flatnonzero(edge)
+        word = np.unique(np.searchsorted(at, odd, "right") - 1)
+        lo, hi = at[word], np.append(at, n)[word + 1]
+        whole[lo] += 1
+        whole[hi] -= 1
+        whole = np.cumsum(whole, dtype=np.int8)
+        new[whole[:-1] > 0] = False
+        new[lo] = True
+    at = np.flatnonzero(new)
+    ends = np.append(at[1:], n)
+    solid = kind[at] != 0
+    starts, ends = at[solid], ends[solid]
+    cut = whole[starts] == 0
+    low = SMALL[data]
+    upper = lead[(second >= 0x80) & (second <= 0x9E)] + 1
+    low[upper] += 32
+    if len(odd):
+        low = np.where(whole[:-1] > 0, data, low)
+    return low, starts, ends, cut, np.searchsorted(starts, off)
+
+
+class Known:
+    """Ids by piece: an open hash table of numpy arrays, keyed by a 64-bit hash and checked by length and outer bytes."""
+
+    def __init__(self):
+        self.keys, self.checks = np.zeros(2 * PIECES, np.uint64), np.zeros(2 * PIECES, np.uint32)
+        self.at, self.n = np.zeros(2 * PIECES, np.int32), np.zeros(2 * PIECES, np.int32)
+        self.pool, self.used, self.held = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The slot of each piece, or -1."""
+        mask = len(self.keys) - 1
+        out, live, slot = np.full(len(h), -1), np.arange(len(h)), (h & np.uint64(mask)).astype(np.int64)
+        while len(live):
+            k = self.keys[slot]
+            hit = (k == h[live]) & (self.checks[slot] == check[live])
+            out[live[hit]] = slot[hit]
+            on = ~hit & (k != 0)
+            live, slot = live[on], (slot[on] + 1) & mask
+        return out
 
-    Then a text's ids are those of its words in a row, and the library encodes a word once while it is kept: words that were
-    met among the last CACHED_WORDS to twice as many stay. New words that are letters alone, or letters and one sign, go to
-    the library many in a row and are told apart by the ids that end a word; where that doesn't come out as expected, and for
-    all other words, each is encoded by itself. Texts with separators that only Python takes as space are encoded whole.
+    def add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """New pieces, each once; ids: theirs one after another, n: how many each has."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(n) - n
+        self.used, self.held = self.used + len(ids), self.held + len(h)
+        mask = len(self.keys) - 1
+        live, slot = np.arange(len(h)), (h & np.uint64(mask)).astype(np.int64)
+        while len(live):
+            free = self.keys[slot] == 0
+            _, one = np.unique(slot[free], return_index=True)
+            take = np.flatnonzero(free)[one]
+            s, x = slot[take], live[take]
+            self.keys[s], self.checks[s], self.at[s], self.n[s] = h[x], check[x], begin[x], n[x]
+            rest = np.ones(len(live), bool)
+            rest[take] = False
+            live, slot = live[rest], (slot[rest] + 1) & mask
+
+
+class Encoder:
+    """Ids of whole texts, the same as the library's encode(text, add_special_tokens=False).
+
+    A tokenizer whose file has the normalizer, split and word ends named above parts every text at white space, and words of
+    plain letters, digits and signs as `pieces` does; so a text's ids are those of its pieces in a row, and each different
+    piece goes to the library once while it is kept. Many pieces go in one call and are told apart by the ids that end a word;
+    where their number isn't as expected each goes by itself, as do words with any other sign. All other tokenizers, and texts
+    with separators that only some take as space, are encoded by the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are what runs side by side; idle library threads only spin
         from tokenizers import Tokenizer
 
-        self.tok, self.known, self.old = Tokenizer.from_file(path), {}, {}
-        self.lower = "Lowercase" in json.dumps(json.loads(self.tok.to_str()).get("normalizer"))
-        vocabulary, suffix = self.tok.get_vocab(), getattr(self.tok.model, "end_of_word_suffix", None)
+        self.tok, self.known = Tokenizer.from_file(path), None
+        parts = json.loads(self.tok.to_str())
+        vocabulary, suffix = self.tok.get_vocab(), parts["model"].get("end_of_word_suffix")
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
         if suffix:
             self.last[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
-
-    def forget(self) -> None:
-        self.known, self.old = {}, {}
-
-    def learn(self, new: list[str]) -> dict[str, bytes]:
-        plain, rest, out = [], [], {}
-        for w in new:
-            x = w.lower()
-            if x.isalpha():
-                plain.append((w, 1))
-            elif x[-1] in ".,;:!?" and x[:-1].isalpha():
-                plain.append((w, 2))
-            else:
-                rest.append(w)
-        parts = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for part, e in zip(parts, self.tok.encode_batch_fast([" ".join(w for w, _ in p) for p in parts], add_special_tokens=False), strict=True):
-            ends = np.cumsum([n for _, n in part])
-            ids = np.array(e.ids, "<u4")
-            stops = np.flatnonzero(self.last[ids]) + 1
-            if len(stops) != ends[-1]:
-                rest += [w for w, _ in part]
-                continue
-            cut = [0, *stops[ends - 1].tolist()]
-            out.update({w: ids[x:y].tobytes() for (w, _), x, y in zip(part, cut[:-1], cut[1:], strict=True)})
-        for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[w] = np.array(e.ids, "<u4").tobytes()
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {i for i, t in enumerate(texts) if any(c in t for c in _ODD_SPACES)}
-        split = [[] if i in odd else same_words(t, self.lower).split() for i, t in enumerate(texts)]
-        if len(self.known) > CACHED_WORDS:
-            self.known, self.old = {}, self.known
-        got = [list(map(self.known.get, p)) for p in split]
-        gaps = [[k for k, v in enumerate(g) if v is None] if None in g else [] for g in got]
-        missing = {p[k] for p, ks in zip(split, gaps, strict=True) for k in ks}
-        if missing:
-            found = {w: v for w in missing if (v := self.old.get(w)) is not None}
-            found |= self.learn([w for w in missing if w not in found])
-            self.known |= found
-            for p, g, ks in zip(split, got, gaps, strict=True):
-                for k in ks:
-                    g[k] = found[p[k]]
-        out = [b"".join(g) for g in got]
-        for i in odd:
-            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        norm, pre = parts.get("normalizer") or {}, parts.get("pre_tokenizer") or {}
+        split, level = [*(pre.get("pretokenizers") or []), {}, {}][:2]
+        plain = all("<|" in t["content"] and not any(c.isspace() for c in t["content"]) for t in parts.get("added_tokens", []))
+        self.fast = bool(
+            suffix and plain and parts["model"].get("type") == "BPE" and not parts["model"].get("dropout") and not parts.get("truncation") and not parts.get("padding")
+            and norm.get("normalizers") == KNOWN_NORMALIZER and split.get("pattern") == {"Regex": KNOWN_SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+            and level.get("type") == "ByteLevel" and not level.get("add_prefix_space") and not level.get("use_regex") and len(pre.get("pretokenizers") or []) == 2
+        )
+
+    def whole(self, own: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tok.encode_batch_fast(own, add_special_tokens=False)]
+        return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, cut: np.ndarray, h: np.ndarray, check: np.ndarray) -> None:
+        each: list[int] = []
+        plain = np.flatnonzero(cut)
+        for i in range(0, len(plain), 16 * TOGETHER):
+            parts = [plain[j : j + TOGETHER] for j in range(i, min(i + 16 * TOGETHER, len(plain)), TOGETHER)]
+            lines = []
+            for p in parts:
+                size = ends[p] - starts[p] + 1
+                from_ = np.repeat(starts[p] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                line = low[np.minimum(from_, len(low) - 1)]
+                line[np.cumsum(size) - 1] = 32
+                lines.append(line.tobytes().decode())
+            for p, e in zip(parts, self.tok.encode_batch_fast(lines, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.uint32)
+                stops = np.flatnonzero(self.last[ids]) + 1
+                if len(stops) != len(p) or (len(stops) and stops[-1] != len(ids)):
+                    each += p.tolist()
+                    continue
+                self.known.add(h[p], check[p], ids, np.diff(stops, prepend=0))
+        each += np.flatnonzero(~cut).tolist()
+        for i in range(0, len(each), 16 * TOGETHER):
+            p = each[i : i + 16 * TOGETHER]
+            ids, n = self.whole([low[starts[x] : ends[x]].tobytes().decode() for x in p])
+            self.known.add(h[p], check[p], ids, n)
+
+    def encode(self, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts one after another, how many each has), each text's ids with end_id after them."""
+        if not self.fast or not len(data) or (np.bitwise_and(data, 0xFC) == 0x1C).any():  # 0x1C to 0x1F: space to some
+            own = [data[x:y].tobytes().decode() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            ids, n = self.whole(own)
+            return np.insert(ids, np.cumsum(n), np.uint32(end_id)), n + 1
+        if self.known is None or self.known.held > PIECES * 3 // 4 or self.known.used > POOL:
+            self.known = Known()
+        low, starts, ends, cut, upto = pieces(data, off)
+        h = hashes(low, starts, ends) | np.uint64(1)
+        check = (np.minimum(ends - starts, 255) << 24 | cut.astype(np.int64) << 23 | (low[starts] & 127).astype(np.int64) << 16 | low[np.minimum(starts + 1, len(low) - 1)].astype(np.int64) << 8 | low[ends - 1]).astype(np.uint32)
+        at = self.known.find(h, check)
+        gap = np.flatnonzero(at < 0)
+        if len(gap):
+            _, one = np.unique(h[gap], return_index=True)
+            one = np.sort(gap[one])
+            if self.known.held + len(one) > PIECES:
+                self.known = Known()
+                return self.encode_fresh(low, starts, ends, cut, upto, h, check, end_id)
+            self.learn(low, starts[one], ends[one], cut[one], h[one], check[one])
+            at[gap] = self.known.find(h[gap], check[gap])
+        return self.joined(at, h, check, upto, end_id, low, starts, ends)
+
+    def encode_fresh(self, low, starts, ends, cut, upto, h, check, end_id):
+        """As encode, after a new beginning; a step with more different pieces than are kept gets a table of its own size."""
+        _, one = np.unique(h, return_index=True)
+        one = np.sort(one)
+        while len(self.known.keys) < 2 * len(one):
+            for c in ("keys", "checks", "at", "n"):
+                setattr(self.known, c, np.concatenate([getattr(self.known, c)] * 2))
+        self.learn(low, starts[one], ends[one], cut[one], h[one], check[one])
+        return self.joined(self.known.find(h, check), h, check, upto, end_id, low, starts, ends)
+
+    def joined(self, at, h, check, upto, end_id, low, starts, ends):
+        k = self.known
+        first, n = k.at[at].astype(np.int64), k.n[at].astype(np.int64)
+        lost = np.flatnonzero(at < 0)  # pieces with the hash of another one of this step
+        extra = np.zeros(0, np.uint32)
+        if len(lost):
+            extra, m = self.whole([low[x:y].tobytes().decode() for x, y in zip(starts[lost].tolist(), ends[lost].tolist(), strict=True)])
+            first[lost], n[lost] = k.used + 1 + np.cumsum(m) - m, m
+        first, n = np.insert(first, upto[1:], k.used), np.insert(n, upto[1:], 1)
+        source = np.concatenate([k.pool[: k.used], np.array([end_id], np.uint32), extra])
+        to = np.cumsum(n)
+        ids = source[np.repeat(first - (to - n), n) + np.arange(to[-1])]
+        return ids, np.diff(to[upto[1:] + np.arange(len(upto) - 1)], prepend=0)
 
 
 @lru_cache(2)
-def word_encoder(path: str) -> WordEncoder:
-    """One for each file and Python worker; the words go with `forget` when a task ends, as idle workers would hold them."""
-    return WordEncoder(path)
+def encoder_of(path: str) -> Encoder:
+    """One for each file and Python worker, with the pieces met so far."""
+    return Encoder(path)
 
 
 def _blocks(path: str, end_id: int, key: str, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["shard", "block", "doc_ids", "lengths", "n_docs", "n_ids", "raw"]
+    """The documents of a task (one shard) as rows of about BLOCK_IDS ids."""
+    kinds = {"shard": pa.int32(), "block": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "n_docs": pa.int64(), "n_ids": pa.int64(), "raw": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(path)
-        encode, last = encoder.encode, np.array([end_id], "<u4").tobytes()
-        keys: list[int] = []
-        held: list[bytes] = []
-        size = block = 0
-        shard = -1
+        encoder = encoder_of(path)
+        keys: list[pa.Array] = []
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        block = shard = 0
 
         def out() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in held], "<i8")
-            row = [[shard], [block], [np.array(keys, "<i8").tobytes()], [lengths.tobytes()], [len(held)], [int(lengths.sum())], [b"".join(held)]]
-            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=names)
+            n = np.concatenate(counts)
+            row = [shard, block, pa.concat_arrays(keys).to_pylist(), n.tolist(), len(n), int(n.sum()), np.concatenate(held).astype("<u4").tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds.values(), strict=True)], names=list(kinds))
 
         for b in batches:
-            ids, values, part = (b.column(b.schema.get_field_index(c)) for c in (key, text, f"{PRE}shard"))
-            for lo in range(0, b.num_rows, 256):
-                own = values.slice(lo, 256).fill_null("").to_pylist()
-                for i, data in enumerate(encode(own)):
-                    if shard != part[lo + i].as_py() or size >= 4 * BLOCK_IDS:
-                        if held:
-                            yield out()
-                        block = block + 1 if shard == part[lo + i].as_py() else 0
-                        shard, size = part[lo + i].as_py(), 0
-                        keys, held = [], []
-                    keys.append(ids[lo + i].as_py())
-                    held.append(data + last)
-                    size += len(held[-1])
-        encoder.forget()
+            if not b.num_rows:
+                continue
+            ids, shard = b.column(b.schema.get_field_index(key)), b.column(b.schema.get_field_index(f"{PRE}shard"))[0].as_py()
+            for i, _, data, off in steps(*texts(b.column(b.schema.get_field_index(text)))):
+                got, n = encoder.encode(data, off, end_id)
+                lo, at = 0, np.concatenate([[0], np.cumsum(n)])
+                while lo < len(n):
+                    room = BLOCK_IDS - sum(len(x) for x in held)
+                    hi = max(lo + 1, int(np.searchsorted(at, at[lo] + room, "right")) - 1)
+                    keys.append(ids.slice(i + lo, hi - lo))
+                    held.append(got[at[lo] : at[hi]])
+                    counts.append(n[lo:hi])
+                    lo = hi
+                    if sum(len(x) for x in held) >= BLOCK_IDS or lo < len(n):
+                        yield out()
+                        block, keys, held, counts = block + 1, [], [], []
         if held:
             yield out()
         held = []
@@ -208,21 +331,25 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_hash(keys, 1 << 40) >> np.uint64(32)).astype("<u4")
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (_hash(keys, 2 << 40) % np.uint64(buckets)).astype(np.int32)
+
+
 def write_corpus(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 2, order: list | None = None, rows_each: int = 20_000) -> None:
-    """Encode docs and write payload, shards and index under path.
+    """Encode docs and write payload, shards, meta and index under path.
 
-    Documents lie in the order of `order` (columns; None: the key), nulls first. Null texts are empty; a null key is written as
-    the least int64 and isn't in the index; documents with equal keys are all written, and a lookup finds the first of them.
+    Documents lie in the order of `order` (columns; None: the key), nulls first. Null texts are empty. A null key is written and
+    isn't in the index; documents with equal keys are all written, and a lookup finds the first of them.
     """
     spark, n = docs.sparkSession, docs.count()
     by = order or [F.col(key)]
     shards = max(1, -(-n // rows_each))
-    kept = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)).cast("long")).alias(key), text, *[c.alias(f"{PRE}o{i}") for i, c in enumerate(by)])
+    kept = docs.select(F.col(key).cast("long").alias(key), text, *[c.alias(f"{PRE}o{i}") for i, c in enumerate(by)])
     sort = [f"{PRE}o{i}" for i in range(len(by))]
     # among equal keys the texts' hashes part the rows, so that one key isn't one task
     sort = [*sort, F.xxhash64(text)]
     placed = kept.repartitionByRange(shards, *sort).sortWithinPartitions(*sort).withColumn(f"{PRE}shard", F.spark_partition_id())
-    schema = "shard int, block int, doc_ids binary, lengths binary, n_docs long, n_ids long, raw binary"
+    schema = "shard int, block int, doc_ids array<bigint>, lengths array<bigint>, n_docs long, n_ids long, raw binary"
     placed.select(key, text, f"{PRE}shard").mapInArrow(_blocks(tokenizer, end_id, key, text), schema).write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(f"{path}/payload")
     payload = spark.read.schema(schema).parquet(f"{path}/payload")
     payload.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_docs").alias("n_docs")).write.parquet(f"{path}/shards")
@@ -231,20 +358,22 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
         "shard", F.col("x.block").alias("block"), F.expr("aggregate(slice(b, 1, p), 0L, (a, y) -> a + y.n_ids)").alias("before")
     )
     buckets = max(1, -(-n // BUCKET_KEYS))
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/meta")
 
     def places(batches):
         for b in batches:
-            for shard, block, ids, lengths, first in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                k, m = np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<i8")
-                at = first + np.concatenate([[0], np.cumsum(m)[:-1]])
-                bucket = (_hash(k, 2 << 40) % np.uint64(buckets)).astype(np.int32)
-                cols = [pa.array(bucket), pa.array(k), pa.array(np.full(len(k), shard, np.int32)), pa.array(np.full(len(k), block, np.int32)), pa.array(np.arange(len(k), dtype=np.int32)), pa.array(at), pa.array(m)]
+            ids, lengths = b.column(2), b.column(3)
+            for row, (shard, block, first) in enumerate(zip(*(b.column(i).to_pylist() for i in (0, 1, 4)), strict=True)):
+                k, m = ids[row].values, lengths[row].values.to_numpy()
+                at = first + np.cumsum(m) - m
+                real = np.flatnonzero(k.is_valid().to_numpy(zero_copy_only=False))
+                own = k.drop_null().to_numpy()
+                cols = [pa.array(bucket_of(own, buckets)), pa.array(own), pa.array(np.full(len(own), shard, np.int32)), pa.array(np.full(len(own), block, np.int32)), pa.array(real.astype(np.int32)), pa.array(at[real]), pa.array(m[real])]
                 yield pa.RecordBatch.from_arrays(cols, names=["bucket", "key", "shard", "block", "pos", "start", "n"])
 
     def build(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["key", "shard", "block", "pos"]).drop_duplicates("key")
         keys = pdf.key.to_numpy()
         seeds = perfect_hash(keys)
         at = slots_of(keys, seeds, len(keys))
@@ -256,24 +385,35 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
 
     first = payload.select("shard", "block", "doc_ids", "lengths").join(before, ["shard", "block"])
     rows = first.mapInArrow(places, "bucket int, key long, shard int, block int, pos int, start long, n long")
-    once = rows.filter(F.col("key") != -(1 << 63)).groupBy("bucket", "key").agg(F.min(F.struct("shard", "block", "pos", "start", "n")).alias("x")).select("bucket", "key", "x.*")
-    once.groupBy("bucket").applyInPandas(build, "bucket int, n long, seeds binary, prints binary, places binary").write.parquet(f"{path}/index")
+    once = rows.groupBy("bucket", "key").agg(F.min(F.struct("shard", "block", "pos", "start", "n")).alias("x")).select("bucket", "key", "x.*")
+    built = once.groupBy("bucket").applyInPandas(build, "bucket int, n long, seeds binary, prints binary, places binary")
+    # in the order of the buckets, so that a lookup of few keys skips files and row groups
+    built.write.option("parquet.block.size", 4 << 20).parquet(f"{path}/index")
+
+
+def buckets_of(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}/meta").first()[0]
+
+
+def _place(row, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the keys the index row of their bucket has, their places): a displacement, a slot, a fingerprint for each."""
+    at = slots_of(keys, np.frombuffer(row.seeds, "<u4"), int(row.n))
+    fine = np.frombuffer(row.prints, "<u4")[at] == fingerprints(keys)
+    return fine, np.frombuffer(row.places, PLACE)[at[fine]]
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, shard, block, pos, start in the shard, n) of the keys that the index has, by their fingerprints.
 
-    An absent key passes its fingerprint once in 2**32; nulls are never found; repeated keys are found as often.
+    Keys meet the index's rows in their bucket. An absent key passes its fingerprint once in 2**32; nulls are never found;
+    repeated keys are found once.
     """
-    index = spark.read.parquet(f"{path}/index")
-    buckets = (index.agg(F.max("bucket")).first()[0] or 0) + 1
-    total = index.agg(F.sum("n")).first()[0] or 0
-    buckets = max(buckets, -(-total // BUCKET_KEYS))
+    index, buckets = spark.read.parquet(f"{path}/index"), buckets_of(spark, path)
 
     def dealt(batches):
         for b in batches:
-            k = b.column(0).drop_null().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array((_hash(k, 2 << 40) % np.uint64(buckets)).astype(np.int32)), pa.array(k)], names=["bucket", key])
+            k = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(k, buckets)), pa.array(k)], names=["bucket", key])
 
     def find(_, asked, rows):
         import pandas as pd
@@ -281,16 +421,59 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id")
         names = [key, "shard", "block", "pos", "start", "n"]
         if not len(rows) or not len(asked):
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
-        r, k = rows.iloc[0], asked[key].to_numpy()
-        at = slots_of(k, np.frombuffer(r.seeds, "<u4"), int(r.n))
-        fine = np.frombuffer(r.prints, "<u4")[at] == fingerprints(k)
-        got = np.frombuffer(r.places, PLACE)[at[fine]]
+        k = asked[key].to_numpy()
+        fine, got = _place(rows.iloc[0], k)
         return pd.DataFrame({key: k[fine]} | {c: got[c] for c in names[1:]})
 
-    asked = keys.select(F.col(key).cast("long").alias(key)).mapInArrow(dealt, f"bucket int, {key} long")
+    once = keys.select(F.col(key).cast("long").alias(key)).filter(F.col(key).isNotNull()).distinct()
+    asked = once.mapInArrow(dealt, f"bucket int, {key} long")
     return asked.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, f"{key} long, shard int, block int, pos int, start long, n long")
 
 
+def fetch(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, raw) of the keys that the index has: raw ids (with the end id) as bytes, cut from the payload.
+
+    The places of a block are gathered (at most its documents) and meet the block; only these blocks' raw ids are read where
+    few keys are asked for. A key whose block holds another one there (a false fingerprint) isn't returned.
+    """
+    payload = spark.read.parquet(f"{path}/payload")
+    wanted = materialise(lookup(spark, path, keys, key).groupBy("shard", "block").agg(F.collect_list(F.struct(F.col(key).alias("key"), "pos")).alias("asked")), "wanted")
+    few = wanted.select("shard", "block").limit(65).collect()
+    if len(few) <= 64:
+        cond = F.lit(False)
+        for shard, block in few:
+            cond = cond | ((F.col("shard") == shard) & (F.col("block") == block))
+        payload = payload.filter(cond)
+
+    def cut(batches):
+        for b in batches:
+            for row in range(b.num_rows):
+                asked, ids, lengths = b.column(0)[row].as_py(), b.column(1)[row].values.to_pylist(), b.column(2)[row].values.to_numpy()
+                raw, to = memoryview(b.column(3)[row].as_buffer()), np.cumsum(lengths)
+                own = [(x["key"], int(lengths[x["pos"]]), bytes(raw[4 * int(to[x["pos"]] - lengths[x["pos"]]) : 4 * int(to[x["pos"]])])) for x in asked if ids[x["pos"]] == x["key"]]
+                cols = list(zip(*own, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=[key, "n_tokens", "raw"])
+
+    met = payload.join(sized(wanted, wanted.count(), 32 * 1024), ["shard", "block"]).select("asked", "doc_ids", "lengths", "raw")
+    return met.mapInArrow(cut, f"{key} long, n_tokens long, raw binary")
+
+
+def fetch_one(spark: SparkSession, path: str, key: int) -> np.ndarray | None:
+    """The ids of one document, end id included, or None: one row of the index and one block of the payload are read."""
+    k = np.array([key], np.int64)
+    row = spark.read.parquet(f"{path}/index").filter(F.col("bucket") == int(bucket_of(k, buckets_of(spark, path))[0])).first()
+    if row is None:
+        return None
+    fine, got = _place(row, k)
+    if not fine[0]:
+        return None
+    p = got[0]
+    at = F.slice("lengths", 1, int(p["pos"]))
+    block = spark.read.parquet(f"{path}/payload").filter((F.col("shard") == int(p["shard"])) & (F.col("block") == int(p["block"])) & (F.element_at("doc_ids", int(p["pos"]) + 1) == key))
+    raw = block.select(F.substring("raw", F.lit(4) * F.aggregate(at, F.lit(0).cast("long"), lambda a, x: a + x).cast("int") + 1, F.lit(4 * int(p["n"])))).first()
+    return None if raw is None else np.frombuffer(raw[0], "<u4")
+
+
 def read_corpus(spark: SparkSession, path: str, key: str = "doc_id", digest: bool = False) -> DataFrame:
     """One row a document, from the files: key, shard, block, pos, start (ids before it), n_tokens, raw ids as bytes.
 
@@ -318,35 +501,40 @@ def read_corpus(spark: SparkSession, path: str, key: str = "doc_id", digest: boo
 
     def documents(batches):
         for b in batches:
-            raws = b.column(4)
-            for row, (shard, block, ids, lengths, first) in enumerate(zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True)):
-                k, m = np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<i8")
+            docs, sizes, raws = b.column(2), b.column(3), b.column(4)
+            for row, (shard, block, first) in enumerate(zip(*(b.column(i).to_pylist() for i in (0, 1, 5)), strict=True)):
+                k, m = docs[row].values, sizes[row].values.to_numpy()
                 to = np.cumsum(m)
                 at = to - m
                 raw = memoryview(raws[row].as_buffer())
                 cut = (raw[4 * x : 4 * y] for x, y in zip(at.tolist(), to.tolist(), strict=True))
                 data = [zlib.crc32(x) for x in cut] if digest else [bytes(x) for x in cut]
-                cols = [pa.array(k), pa.array(np.full(len(k), shard, np.int32)), pa.array(np.full(len(k), block, np.int32)), pa.array(np.arange(len(k), dtype=np.int32)), pa.array(first + at), pa.array(m), pa.array(data, last[1])]
+                cols = [k, pa.array(np.full(len(k), shard, np.int32)), pa.array(np.full(len(k), block, np.int32)), pa.array(np.arange(len(k), dtype=np.int32)), pa.array(first + at), pa.array(m), pa.array(data, last[1])]
                 yield pa.RecordBatch.from_arrays(cols, names=[key, "shard", "block", "pos", "start", "n_tokens", last[0]])
         release()
 
     rows = before.count()
     joined = payload.join(sized(before, rows, 32), ["shard", "block"]).select("shard", "block", "doc_ids", "lengths", "raw", "first")
-    out = joined.mapInArrow(documents, f"{key} long, shard int, block int, pos int, start long, n_tokens long, {last[0]} {'long' if digest else 'binary'}")
-    return out.withColumn(key, F.when(F.col(key) != -(1 << 63), F.col(key)))
+    return joined.mapInArrow(documents, f"{key} long, shard int, block int, pos int, start long, n_tokens long, {last[0]} {'long' if digest else 'binary'}")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, order: list | None = None) -> DataFrame:
-    """docs written as a corpus in the shared folder and read back: doc_id, start, n_tokens, ids_crc32, shard, block, indexed."""
+    """docs written as a corpus in the shared folder and read back: doc_id, start, n_tokens, ids_crc32, shard, block, indexed.
+
+    Every key of docs is looked up; what the index says of its place and length has to agree with the files, else the query
+    fails. indexed is false for null keys and for all but the first document of a key.
+    """
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/loomgraph/corpus-{uuid.uuid4().hex}"
     write_corpus(docs, path, public_tokenizers.path("word_bpe_49k.json"), order=order)
     read = read_corpus(spark, path, digest=True)
-    found = lookup(spark, path, docs.select("doc_id")).dropDuplicates(["doc_id"]).select("doc_id", F.struct("shard", "block", "pos").alias("at"))
+    found = lookup(spark, path, docs.select("doc_id")).select("doc_id", F.struct("shard", "block", "pos").alias("at"), F.col("n").alias("said"))
+    indexed = F.col("at") == F.struct("shard", "block", "pos")
+    wrong = (F.col("doc_id").isNotNull() & F.col("at").isNull()) | (indexed & (F.col("said") != F.col("n_tokens")))
     return read.join(found, "doc_id", "left").select(
-        "doc_id", "start", "n_tokens", "ids_crc32", "shard", "block", F.coalesce(F.col("at") == F.struct("shard", "block", "pos"), F.lit(False)).alias("indexed")
-    )
+        "doc_id", "start", F.when(wrong, F.raise_error(F.lit("the index and the files differ"))).otherwise(F.col("n_tokens")).alias("n_tokens"), "ids_crc32", "shard", "block", F.coalesce(indexed, F.lit(False)).alias("indexed")
+    )
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

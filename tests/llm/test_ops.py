@@ -129,6 +129,66 @@ def test_token_ids_repeats_and_empty(spark, tmp_path):
     assert tokens.encoded(spark, docs(spark, [])).count() == 0
 
 
+def test_encoder_equals_the_library():
+    import public_tokenizers
+    import pyarrow as pa
+
+    own = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert own.fast
+    rng = random.Random(5)
+    parts = ["a", "Ab", "THE", "\u00c9", "\u00df", "\u00d7", "\u0130", "\u03a3", "'", "'s", "'ll", "<|endoftext|>", "<|", "1", "23", "\u00b2", ".", ",", "!?", "_", " ", "\n", "\x1f", "\x85", "\u3000", "\u0301", "\u0338", "e\u0301", "\ud55c", "\u1112\u1161", "\u6f22", "\u041f\u0440", "\U0001f600", "\u200d", "\ufb01", "\x00"]
+    texts = ["\u0130. x", "\u0130, x", ""] + ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(6000)] + ["".join(chr(rng.choice([rng.randint(0, 0x3FF), rng.randint(0x1E00, 0xD7FF)])) for _ in range(8)) for _ in range(3000)]
+    for i in range(0, len(texts), 1000):
+        part = texts[i : i + 1000]
+        ids, n = own.encode(*textbytes.texts(pa.array(part)), 2)
+        at = np.concatenate([[0], np.cumsum(n)])
+        for t, x, y, e in zip(part, at[:-1], at[1:], own.tok.encode_batch(part, add_special_tokens=False), strict=True):
+            assert ids[x:y].tolist() == [*e.ids, 2], repr(t)
+
+
+def test_encoder_begins_anew_and_unknown_tokenizers(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "PIECES", 64)
+    own = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    bytewise = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not bytewise.fast
+    rng = random.Random(6)
+    for size in (10, 40, 300, 5):
+        part = [" ".join("".join(rng.choices("abcdefg", k=4)) for _ in range(size)) for _ in range(4)]
+        for e in (own, bytewise):
+            ids, n = e.encode(*textbytes.texts(pa.array(part)), 2)
+            assert ids.tolist() == [i for x in e.tok.encode_batch(part, add_special_tokens=False) for i in [*x.ids, 2]]
+
+
+def test_fetch_by_key(spark, tmp_path):
+    import public_tokenizers
+
+    path = f"file://{tmp_path}/c"
+    hot = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    rest = spark.range(200).select((F.col("id") * 1000 + F.lit(-(1 << 63))).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    tokens.write_corpus(hot.union(rest), path, public_tokenizers.path("word_bpe_49k.json"))
+    asked = rest.select("doc_id").union(spark.createDataFrame([(5,), (6,), (None,)], "doc_id long"))
+    got = {r.doc_id: np.frombuffer(r.raw, "<u4").tolist() for r in tokens.fetch(spark, path, asked).collect()}
+    want = {i * 1000 - (1 << 63): reference_ids(f"text {i}") for i in range(200)} | {5: reference_ids("same")}
+    assert got == want
+    assert tokens.fetch_one(spark, path, 5).tolist() == want[5]
+    assert tokens.fetch_one(spark, path, -(1 << 63)).tolist() == want[-(1 << 63)]
+    assert tokens.fetch_one(spark, path, 6) is None
+
+
+def test_op3_query_equals_the_library(spark):
+    from itertools import accumulate
+
+    got = {r.doc_id: r for r in tokens.op3_token_ids(spark, SF).collect()}
+    rows = sorted((r.doc_id, r.text) for r in table(spark, SF, "documents").select("doc_id", "text").collect())
+    ids = [reference_ids(t) for _, t in rows]
+    for (i, _), x, start in zip(rows, ids, [0, *accumulate(map(len, ids))], strict=False):
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32, got[i].indexed) == (start, len(x), zlib.crc32(np.array(x, "<u4").tobytes()), True)
+    assert len(got) == len(rows)
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000))
     at = tokens.slots_of(keys, tokens.perfect_hash(keys), len(keys))
