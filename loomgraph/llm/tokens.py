@@ -101,7 +101,11 @@ class Known:
     def __init__(self):
         self.keys, self.checks = np.zeros(2 * PIECES, np.uint64), np.zeros(2 * PIECES, np.uint32)
         self.at, self.n = np.zeros(2 * PIECES, np.int32), np.zeros(2 * PIECES, np.int32)
-        self.pool, self.used, self.held = np.zeros(1 << 16, np.uint32), 0, 0
+        self.pool, self.used, self.held = np.zeros(1 << 16, np.uint32), 1, 0  # the first place is for the end id
+
+    def room(self, n: int) -> None:
+        while self.used + n > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
 
     def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
         """The slot of each piece, or -1."""
@@ -117,8 +121,7 @@ class Known:
 
     def add(self, h: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
         """New pieces, each once; ids: theirs one after another, n: how many each has."""
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.room(len(ids))
         self.pool[self.used : self.used + len(ids)] = ids
         begin = self.used + np.cumsum(n) - n
         self.used, self.held = self.used + len(ids), self.held + len(h)
@@ -229,15 +232,16 @@ class Encoder:
     def joined(self, at, h, check, upto, end_id, low, starts, ends):
         k = self.known
         first, n = k.at[at].astype(np.int64), k.n[at].astype(np.int64)
-        lost = np.flatnonzero(at < 0)  # pieces with the hash of another one of this step
-        extra = np.zeros(0, np.uint32)
+        lost = np.flatnonzero(at < 0)  # pieces with the hash of another one of this step: not kept
         if len(lost):
             extra, m = self.whole([low[x:y].tobytes().decode() for x, y in zip(starts[lost].tolist(), ends[lost].tolist(), strict=True)])
-            first[lost], n[lost] = k.used + 1 + np.cumsum(m) - m, m
-        first, n = np.insert(first, upto[1:], k.used), np.insert(n, upto[1:], 1)
-        source = np.concatenate([k.pool[: k.used], np.array([end_id], np.uint32), extra])
+            k.room(len(extra))
+            k.pool[k.used : k.used + len(extra)] = extra
+            first[lost], n[lost] = k.used + np.cumsum(m) - m, m
+        k.pool[0] = end_id
+        first, n = np.insert(first, upto[1:], 0), np.insert(n, upto[1:], 1)
         to = np.cumsum(n)
-        ids = source[np.repeat(first - (to - n), n) + np.arange(to[-1])]
+        ids = k.pool[np.repeat(first - (to - n), n) + np.arange(to[-1])]
         return ids, np.diff(to[upto[1:] + np.arange(len(upto) - 1)], prepend=0)
 
 

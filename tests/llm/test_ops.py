@@ -328,7 +328,37 @@ def test_near_duplicates(spark, monkeypatch):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({c for c, _ in got.values()}) and ids.count(None) == 2
     assert neardup.near_duplicates(df.limit(0)).count() == 0
-    assert neardup.depth() == 5 and neardup.depth(recall=0.9) == 6
+    assert neardup.depth() == 5 and neardup.depth(recall=0.9) == 8 and neardup.depth(deepest=6, recall=0.9) == 6
+
+
+def test_near_duplicates_repeated_rows(spark):
+    a = " ".join(f"w{i}" for i in range(40))
+    near = a.replace("w39", "v")
+    rows = [(1, a), (1, a), (2, near), (3, "other words stand here alone now"), (3, "other words stand here alone now")]
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {1: (1, 1, 0), 2: (1, 1, 0), 3: (3, 0, 0)}
+
+
+def test_forest_shortens_prefixes_by_level(spark):
+    # three documents of one tree: the first two share six values, the third five of them
+    label = np.array([[0, 1, 1, 1, 1, 1, 1, 1, 1], [0, 1, 1, 1, 1, 1, 1, 2, 2], [0, 1, 1, 1, 1, 1, 3, 3, 3], [0, 1, 1, 9, 9, 9, 9, 9, 9], [1, 1, 1, 1, 1, 1, 1, 1, 1]])
+    pad = np.array([[0, 0, 0, 0, 0, 0, 0, 0, 0]])
+    whole = np.concatenate([pad, label, pad + 2])
+    need = lambda *x: np.array([8, *x, 8])
+    assert neardup.matched(whole, need(6, 8, 8, 8, 8), 5).tolist() == [False, False, True, False, False, False, False]
+    assert neardup.matched(whole, need(8, 8, 5, 8, 8), 5).tolist() == [False, False, True, True, False, False, False]
+    assert neardup.matched(whole, need(8, 8, 8, 8, 8), 5).tolist() == [False] * 7
+    # partners that a small set can have
+    assert neardup.least_similarity(3) == 1 and neardup.least_similarity(4) == 0.8 and abs(neardup.least_similarity(6) - 5 / 6) < 1e-12
+    assert neardup.depths()[3] == 8 and neardup.depths()[4] == 5 and neardup.depths()[-1] == 5
+
+
+def test_forest_parts_are_joined(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text + f" v{i}") for i in range(40)] + [(100 + i, f"own words of {i} stand in this text alone {i} {i}") for i in range(5)]
+    sig = neardup.signatures(docs(spark, rows), "doc_id", "text", 0.8).select(F.col("id").alias("rep"), "need", "labels")
+    root = {r.id: r.root for r in components.components(neardup.forest(sig, 0.8, rows_each=20)).collect()}
+    assert {root[i] for i in range(40)} == {0}
 
 
 def test_alike_holds_the_bound_for_long_documents():
