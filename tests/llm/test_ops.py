@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -465,6 +466,42 @@ def test_neighbours_find_what_brute_force_finds(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_scores_and_ties(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 7))
+    v = np.concatenate([base, base[:30], base[:30] * 2.0, base[:5] * 2.0**660, base[5:10] * 2.0**-660])  # equal directions, very large and very small
+    odd = [(500 + i, [1.0, float(i)]) for i in range(4)]  # another length: a space of its own
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + odd, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, F.col("vec_id") % 5 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    unit = neighbours.unit(v)
+    for q in range(0, len(v), 5):
+        s = (unit * unit[q]).sum(1)
+        s[q] = -9
+        best = np.lexsort((np.arange(len(v)), -s.round(12)))[:5]
+        assert [i for i, _ in got[q]] == best.tolist()
+        assert all(abs(x - s[i]) < 1e-12 for i, x in got[q])
+    assert [i for i, _ in got[500]] == [501, 502, 503] and set(got) == {*range(0, len(v), 5), 500}
+
+
+def test_op9_query_has_recall(spark):
+    got = defaultdict(dict)
+    for r in neighbours.op9_neighbours(spark, SF).collect():
+        got[r.query_id][r.vec_id] = r.score
+    rows = [(r.vec_id, r.embedding) for r in table(spark, SF, "embeddings").collect()]
+    fine = [(i, x) for i, x in rows if x and all(c is not None and np.isfinite(c) for c in x) and any(x)]
+    ids, v = np.array([i for i, _ in fine]), np.array([x for _, x in fine], float)
+    unit, hits, asked = v / np.linalg.norm(v, axis=1, keepdims=True), 0, [k for k, i in enumerate(ids) if i % 50 == 0]
+    assert set(got) == set(ids[asked].tolist())
+    for k in asked:
+        s = unit @ unit[k]
+        s[k] = -9
+        best = np.lexsort((ids, -s))[:5]
+        hits += len(set(ids[best].tolist()) & set(got[ids[k]]))
+    assert hits >= 0.9 * 5 * len(asked)
+
+
 # 10: decontamination
 
 
@@ -500,6 +537,16 @@ def test_tiles(seed):
     assert sum(n for *_, n in decontam.tiles(h(item), h(doc), 3)) == brute_tiles(item, doc, 3)
 
 
+def test_tiles_of_repeated_tokens():
+    same = np.full(100_000, 7, np.uint64)
+    began = time.time()
+    assert decontam.tiles(same[:300], same, 5) == [(0, 0, 300)]
+    other = same.copy()
+    other[::12] = np.arange(len(other[::12]), dtype=np.uint64) + np.uint64(100)
+    got = decontam.tiles(same[:300], other, 5)
+    assert sum(n for *_, n in got) == 300 - 300 % 11 + (300 % 11 if 300 % 11 >= 5 else 0) and time.time() - began < 20
+
+
 def test_decontamination(spark, monkeypatch):
     w = [f"q{i}" for i in range(30)]
     items = spark.createDataFrame([(1, " ".join(w)), (2, "Short one."), (3, None), (4, ""), (1, " ".join(w))], "item_id long, text string")
