@@ -66,7 +66,7 @@ def crc_of_id(name: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
 
 
-def buckets_for(rows: int, rows_each: int, at_most: int = 4096) -> int:
+def buckets_for(rows: int, rows_each: int, at_most: int = 1 << 16) -> int:
     return max(1, min(at_most, math.ceil(rows / rows_each)))
 
 

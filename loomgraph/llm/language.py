@@ -24,6 +24,8 @@ from .textbytes import steps, texts
 #: Texts for each language, about: landmarks, and further ones that the regression is fitted on.
 LANDMARKS, TRAIN = 60, 440
 UNKNOWN = "und"
+#: Cells of the matrix of texts and n-grams that is held at a time, at most (one text has a row, whatever the model's size).
+INDICATORS = 1 << 24
 _SPACE = 32
 
 
@@ -82,7 +84,11 @@ class Model:
 
     def decide(self, data: np.ndarray, off: np.ndarray, place: np.ndarray, rows: list[np.ndarray], rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Values of each language for each text, and which texts have a letter. N-grams with rare letters are looked up in grams."""
-        n = len(off) - 1
+        n, most = len(off) - 1, max(1, INDICATORS // max(1, len(self.grams)))
+        if n > most:  # many short texts: their rows of indicators are made a part at a time
+            parts = [(i, min(n, i + most)) for i in range(0, n, most)]
+            got = [self.decide(data[off[i] : off[j]], off[i : j + 1] - off[i], place, rows, rare) for i, j in parts]
+            return np.concatenate([v for v, _ in got]), np.concatenate([x for _, x in got])
         points, at = code_points(data, off)
         of = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
         letter = np.bincount(of[lower_letters()[points] > 0], minlength=n) > 0
@@ -151,7 +157,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     for k, n in sorted(counts.items()):
         share = F.when(F.col(lang) == k, F.lit(min(1_000_000, -(-goal * 1_000_000 // n)))).otherwise(share)
     key = F.xxhash64("doc_id", F.lit(9))
-    picked = own.filter(F.pmod(key, F.lit(1_000_000)) < share).limit(4 * goal * max(1, len(counts)))
+    picked = own.filter(F.pmod(key, F.lit(1_000_000)) < share).orderBy(key, "doc_id").limit(4 * goal * max(1, len(counts)))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

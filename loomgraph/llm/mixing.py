@@ -156,7 +156,7 @@ def mix(docs: DataFrame, weights: Mapping | None = None, source: str = "source",
     steps = steps.join(sized(known, len(names), 100), "who").withColumnsRenamed({c: f"{PRE}{c}" for c in ("block", "slot", "release", "deadline", "start")})
     plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
     key = F.xxhash64(F.lit(seed), *plain)
-    placed = ranked(docs, [source], key, f"{PRE}rank", buckets_for(total, 50_000)).withColumn("block", F.floor(F.col(f"{PRE}rank") / block_rows))
+    placed = ranked(docs, [source], key, f"{PRE}rank", buckets_for(total, 8_000)).withColumn("block", F.floor(F.col(f"{PRE}rank") / block_rows))
     joined = placed.join(sized(steps, sum(blocks), 100), F.col(source).eqNullSafe(F.col(f"{PRE}source")) & (F.col("block") == F.col(f"{PRE}block")), "left")
     return joined.select(
         *docs.columns,

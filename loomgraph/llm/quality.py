@@ -136,10 +136,12 @@ def fit(sample: list[tuple[int, np.ndarray]], cost: float = 1.0, smooth: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = TRAIN_ROWS) -> Model:
-    """A model of the labels that aren't held out; `most` of them, by the hash of the id. A doc_id with several labels has the least."""
+    """A model of the labels that aren't held out; `most` of them, by the hash of the id. A doc_id with several
+    labels has the least, one with several texts the least of them."""
     own = labels.filter(F.col(column).isin(0, 1) & (crc_of_id() % 4 != 2)).groupBy("doc_id").agg(F.min(column).alias("y"))
     own = own.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)  # at most `most` rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    # one row an id: of repeated ids the least text counts
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
