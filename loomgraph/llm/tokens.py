@@ -35,7 +35,7 @@ from .textbytes import hashes, mix, release, steps, texts
 BLOCK_IDS, BUCKET_KEYS = 1 << 18, 1024
 PLACE = np.dtype([("shard", "<i4"), ("block", "<i4"), ("pos", "<i4"), ("start", "<i8"), ("n", "<i8")])
 #: Different pieces and ids that a Python worker keeps at most; beyond either it begins anew.
-PIECES, POOL = 1 << 20, 1 << 23
+PIECES, POOL = 1 << 19, 1 << 22
 #: Pieces that are encoded as one text.
 TOGETHER = 512
 #: What the fast path knows, as the tokenizer's file says it. Other normalizers, pre-tokenizers and models get whole texts.
@@ -247,7 +247,7 @@ class Encoder:
 
 @lru_cache(2)
 def encoder_of(path: str) -> Encoder:
-    """One for each file and Python worker, with the pieces met so far."""
+    """One for each file and Python worker; the pieces met go when a task ends."""
     return Encoder(path)
 
 
@@ -284,6 +284,7 @@ def _blocks(path: str, end_id: int, key: str, text: str) -> Callable[[Iterator[p
                     if sum(len(x) for x in held) >= BLOCK_IDS or lo < len(n):
                         yield out()
                         block, keys, held, counts = block + 1, [], [], []
+        encoder.known = None  # idle workers would hold them
         if held:
             yield out()
         held = []
