@@ -110,3 +110,8 @@ def collapse_labels(labels: Column, most: int) -> Column:
 def repository_key(name: Column) -> Column:
     """Names that differ in case, signs and a common ending are one."""
     return F.regexp_replace(F.lower(F.regexp_replace(name, "[^A-Za-z0-9]+", "")), "(service|svc|api)$", "")
+
+
+def owner_of(symbol: Column) -> Column:
+    """What stands before a symbol's last dot: the class of a method; "" where there is none."""
+    return F.regexp_extract(symbol, r"^(.+)\.[^.]*$", 1)

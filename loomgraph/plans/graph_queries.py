@@ -236,18 +236,12 @@ def only_transitive(s, d):
     return bwd.join(fwd, "id", "left_anti").select("id")
 
 
-@query("trv_18_owners", "select regexp_extract(p_name || '.' || p_brand || '.x', '^(.+)\\.[^.]*$', 1) as owner, count(*) as methods from part group by 1")
-def owners(s, d):
-    name = F.concat_ws(".", "p_name", "p_brand", F.lit("x"))
-    return V.read(s, d, "part").groupBy(F.regexp_extract(name, r"^(.+)\.[^.]*$", 1).alias("owner")).agg(F.count("*").alias("methods"))
-
-
-@query("trv_19_channel_view", f"with c as {CH} select 'producer' as side, from_id as id, confidence from c where to_id = 'channel:Brand#11' union all select 'consumer', to_id, confidence from c where from_id = 'channel:Brand#11'")
-def channel_view(s, d, name: str = "Brand#11"):
+@query("trv_19_channel_view", f"with c as {CH} select 'producer' as side, from_id as id, confidence from c where type = 'emits' and to_id like 'channel:%.5.%' union all select 'consumer', to_id, confidence from c where type = 'consumes' and from_id like 'channel:%.5.%'")
+def channel_view(s, d, name: str = "%.5.%"):
     c = V.channels(s, d)
     at = name if name.startswith("channel:") else f"channel:{name}"
-    a = c.filter(F.col("to_id") == at).select(F.lit("producer").alias("side"), F.col("from_id").alias("id"), "confidence")
-    return a.unionByName(c.filter(F.col("from_id") == at).select(F.lit("consumer").alias("side"), F.col("to_id").alias("id"), "confidence"))
+    a = c.filter((F.col("type") == "emits") & F.col("to_id").like(at)).select(F.lit("producer").alias("side"), F.col("from_id").alias("id"), "confidence")
+    return a.unionByName(c.filter((F.col("type") == "consumes") & F.col("from_id").like(at)).select(F.lit("consumer").alias("side"), F.col("to_id").alias("id"), "confidence"))
 
 
 SCC = f"""with recursive t as {TR}, r as (select from_id as a, to_id as b from t union select r.a, t.to_id from r join t on t.from_id = r.b),
@@ -274,15 +268,21 @@ def hotspots(s, d):
     return T.in_degree(V.edges(s, d), V.nodes(s, d)).filter("in_degree >= 20")
 
 
+def every_channel(s, d, c):
+    """The channels that either side names, and one that is declared for each part."""
+    named = c.select(F.when(F.col("type") == "emits", F.col("to_id")).otherwise(F.col("from_id")).alias("channel"))
+    return V.read(s, d, "part").select(F.concat(F.lit("channel:"), "p_brand", F.lit("."), F.col("p_partkey").cast("string"), F.lit(".1")).alias("channel")).union(named).distinct()
+
+
 @query(
     "gra_07_dead_channels",
-    f"""with c as {CH}, b as (select distinct 'channel:' || p_brand as channel from part)
+    f"""with c as {CH}, b as (select 'channel:' || p_brand || '.' || p_partkey || '.1' as channel from part union select to_id from c where type = 'emits' union select from_id from c where type = 'consumes')
     select channel, case when p is null and q is null then 'both' when p is null then 'producer' else 'consumer' end as missing from b
       left join (select to_id as channel, 1 as p from c where type = 'emits' group by 1) using (channel) left join (select from_id as channel, 1 as q from c where type = 'consumes' group by 1) using (channel) where p is null or q is null""",
 )
 def dead_channels(s, d):
     c = V.channels(s, d)
-    every = V.read(s, d, "part").select(F.concat(F.lit("channel:"), "p_brand").alias("channel")).distinct()
+    every = every_channel(s, d, c)
     p = c.filter("type = 'emits'").select(F.col("to_id").alias("channel"), F.lit(1).alias("p")).distinct()
     q = c.filter("type = 'consumes'").select(F.col("from_id").alias("channel"), F.lit(1).alias("q")).distinct()
     missing = F.when(F.col("p").isNull() & F.col("q").isNull(), "both").when(F.col("p").isNull(), "producer").otherwise("consumer")
@@ -303,11 +303,11 @@ def dead_methods(s, d):
 
 @query(
     "gra_12_channel_survey",
-    f"with c as {CH}, b as (select distinct 'channel:' || p_brand as channel from part), f as (select channel, channel in (select to_id from c where type = 'emits') as p, channel in (select from_id from c where type = 'consumes') as q from b) select count(*) as channels, count(*) filter (p and q) as linked, count(*) filter (p and not q) as only_published, count(*) filter (q and not p) as only_handled from f",
+    f"with c as {CH}, b as (select 'channel:' || p_brand || '.' || p_partkey || '.1' as channel from part union select to_id from c where type = 'emits' union select from_id from c where type = 'consumes'), f as (select channel, channel in (select to_id from c where type = 'emits') as p, channel in (select from_id from c where type = 'consumes') as q from b) select count(*) as channels, count(*) filter (p and q) as linked, count(*) filter (p and not q) as only_published, count(*) filter (q and not p) as only_handled from f",
 )
 def channel_survey(s, d):
     c = V.channels(s, d)
-    every = V.read(s, d, "part").select(F.concat(F.lit("channel:"), "p_brand").alias("channel")).distinct()
+    every = every_channel(s, d, c)
     ends = c.select(F.when(F.col("type") == "emits", F.col("to_id")).otherwise(F.col("from_id")).alias("channel"), (F.col("type") == "emits").alias("p")).groupBy("channel").agg(F.max("p").alias("p"), F.max(~F.col("p")).alias("q"))
     f = every.join(ends, "channel", "left").fillna(False)
     return f.agg(F.count("*").alias("channels"), F.expr("count_if(p and q)").alias("linked"), F.expr("count_if(p and not q)").alias("only_published"), F.expr("count_if(q and not p)").alias("only_handled"))

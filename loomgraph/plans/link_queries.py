@@ -105,10 +105,12 @@ def taken(s, d):
     return c.filter("type = 'emits'").select("from_id", "to_id").join(b, "to_id").groupBy("from_id", "to_id").agg(F.sort_array(F.collect_set("taker")).alias("takers"), F.bool_or("s").alias("sure"))
 
 
-@query("join_15_keep_declared", f"with c as ({V.CHANNELS_SQL}) select from_id, to_id from c where type = 'emits' and to_id in (select 'channel:' || p_brand from part where p_size < 3)")
+@query("join_15_keep_declared", f"with c as ({V.CHANNELS_SQL}) select from_id, to_id from c where type = 'emits' and cast(split_part(to_id, '.', 2) as bigint) in (select p_partkey from part where p_size < 3)")
 def keep_declared(s, d):
-    declared = V.read(s, d, "part").filter("p_size < 3").select(F.concat(F.lit("channel:"), "p_brand").alias("to_id"))
-    return V.channels(s, d).filter("type = 'emits'").join(declared, "to_id", "left_semi").select("from_id", "to_id")
+    """Emits of channels that are declared: those of small parts."""
+    declared = V.read(s, d, "part").filter("p_size < 3").select(F.col("p_partkey").cast("string").alias("part"))
+    own = V.channels(s, d).filter("type = 'emits'").withColumn("part", F.element_at(F.split("to_id", r"\."), 2))
+    return own.join(declared, "part", "left_semi").select("from_id", "to_id")
 
 
 @query("join_19_host_services", "with h as (select distinct regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host from pages), s as (select split_part(host, '.', -2) as service, count(*) as hosts, min(host) as host from h group by 1) select service, hosts, case when hosts = 1 then host end as host from s")
@@ -228,8 +230,3 @@ def sequences(s, d):
 @query("trv_22_participants", "select conv_id, role, count(*) as steps, min(turn) as first from conversations group by 1, 2")
 def participants(s, d):
     return V.read(s, d, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("steps"), F.min("turn").alias("first"))
-
-
-@query("doc_01_doctor", "select source, count(*) as rows, count(*) filter (length(text) < 200) as thin, count(*) filter (contains(text, '|')) as tables from documents group by 1")
-def doctor(s, d):
-    return V.read(s, d, "documents").groupBy("source").agg(F.count("*").alias("rows"), F.expr("count_if(length(text) < 200)").alias("thin"), F.expr("count_if(contains(text, '|'))").alias("tables"))

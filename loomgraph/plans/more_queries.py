@@ -154,12 +154,14 @@ def outgoing_calls(s, d):
     return x.select("call_id", outcome.alias("outcome"), F.when(k == 0, "marker").when((k == 1) & one_b, "binding").when((k == 2) & one_e, "env").alias("way"))
 
 
-@query("join_11_procedure_calls", "with e as (select p_type as key, p_brand as service, min(p_partkey) as entry from part where p_size < 4 group by 1, 2), g as (select key, count(*) as n, min(entry) as entry from e group by 1), c as (select l_orderkey as o, l_linenumber as l, p_type as key, p_brand as service from lineitem join part on p_partkey = l_partkey where l_linenumber = 1) select o, l, coalesce(e.entry, case when g.n = 1 then g.entry end) as entry from c left join e using (key, service) left join g using (key)")
+@query("join_11_procedure_calls", "with e as (select p_name as key, p_brand as service, min(p_partkey) as entry from part group by 1, 2), g as (select key, count(*) as n, min(entry) as entry from e group by 1), c as (select l_orderkey as o, l_linenumber as l, p_name as key, 'Brand#' || (l_suppkey % 25) as service from lineitem join part on p_partkey = l_partkey) select o, l, coalesce(e.entry, case when g.n = 1 then g.entry end) as entry from c left join e using (key, service) left join g using (key)")
 def procedure_calls(s, d):
-    p = V.read(s, d, "part").select("p_partkey", F.col("p_type").alias("key"), F.col("p_brand").alias("service"), "p_size")
-    e = p.filter("p_size < 4").groupBy("key", "service").agg(F.min("p_partkey").alias("own"))
+    """The call of every line: a procedure of its own service, else the one that a single service has."""
+    p = V.read(s, d, "part").select("p_partkey", F.col("p_name").alias("key"), F.col("p_brand").alias("service"))
+    e = p.groupBy("key", "service").agg(F.min("p_partkey").alias("own"))
     g = e.groupBy("key").agg(F.count("*").alias("n"), F.min("own").alias("any"))
-    c = V.read(s, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("p_partkey")).join(p, "p_partkey")
+    service = F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 25).cast("string"))
+    c = V.read(s, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("p_partkey"), service.alias("service")).join(p.select("p_partkey", "key"), "p_partkey")
     return c.join(e, ["key", "service"], "left").join(g, "key", "left").select("o", "l", F.coalesce("own", F.when(F.col("n") == 1, F.col("any"))).alias("entry"))
 
 
@@ -252,14 +254,6 @@ def observed_diff(s, d):
     return D.delta(x.filter(F.col("at") < cut), x.filter(F.col("at") >= cut), keys).groupBy(names.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("set_07_baseline", "with b as (select source, lang, count(*) as n from documents where doc_id % 2 = 0 group by 1, 2), h as (select source, lang, count(*) as n from documents where doc_id % 3 = 0 group by 1, 2) select source, lang, coalesce(h.n, 0) - coalesce(b.n, 0) as change from b full join h using (source, lang)")
-def baseline(s, d):
-    x = V.read(s, d, "documents")
-    a, b = (x.filter(c).groupBy("source", "lang").agg(F.count("*").alias(n)) for c, n in (("doc_id % 2 = 0", "x"), ("doc_id % 3 = 0", "y")))
-    j = a.join(b, ["source", "lang"], "full").fillna(0, ["x", "y"])
-    return j.select("source", "lang", (F.col("y") - F.col("x")).alias("change"))
-
-
 SPEC = "select p_type || ' ' || p_name as op, p_brand as prop, min(p_size) as type from part where {} group by 1, 2"
 
 
@@ -289,10 +283,10 @@ def ways_in(s, d):
     return V.nodes(s, d).filter("type = 'customer'").join(used, "id", "left").groupBy("service").agg(F.count("u").alias("read"), F.count("*").alias("found"))
 
 
-@query("agg_23_confirmed_guesses", f"with c as {CH}, o as (select distinct 'supplier:' || l_suppkey as from_id, 'channel:' || p_brand as to_id from lineitem join part on p_partkey = l_partkey where l_quantity = 50) select count(*) as guesses, count(o.to_id) as confirmed from c left join o using (from_id, to_id) where type = 'emits' and confidence = 'heuristic'")
+@query("agg_23_confirmed_guesses", f"with c as {CH}, o as (select distinct 'supplier:' || l_suppkey as from_id, 'channel:' || p_brand || '.' || l_partkey || '.' || l_linenumber as to_id from lineitem join part on p_partkey = l_partkey where l_quantity > 25) select count(*) as guesses, count(o.to_id) as confirmed from c left join o using (from_id, to_id) where type = 'emits' and confidence = 'heuristic'")
 def confirmed(s, d):
-    seen = V.read(s, d, "lineitem").filter("l_quantity = 50").join(V.read(s, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    seen = seen.select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("from_id"), F.concat(F.lit("channel:"), "p_brand").alias("to_id")).distinct().withColumn("o", F.lit(1))
+    seen = V.read(s, d, "lineitem").filter("l_quantity > 25").join(V.read(s, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    seen = seen.select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("from_id"), F.concat(F.lit("channel:"), "p_brand", F.lit("."), F.col("l_partkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string")).alias("to_id")).distinct().withColumn("o", F.lit(1))
     g = V.channels(s, d).filter("type = 'emits' and confidence = 'heuristic'").join(seen, ["from_id", "to_id"], "left")
     return g.agg(F.count("*").alias("guesses"), F.count("o").alias("confirmed"))
 
@@ -307,7 +301,7 @@ def accepted(s, d):
     return V.read(s, d, "part").select(F.col("p_partkey").alias("k"), test.alias("accepted"))
 
 
-@query("flt_18_missed_rows", SP + f"select service, count(*) as missed from spans where {BAD} and entry <> 'view' group by 1")
+@query("flt_18_predicate", SP + f"select service, count(*) as missed from spans where {BAD} and entry <> 'view' group by 1")
 def missed(s, d):
     from ..operators.telemetry import failed
 

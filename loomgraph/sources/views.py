@@ -104,24 +104,25 @@ TRADE_SQL = """
 
 
 def channels(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers emit to a channel for each brand they had fifty returned of at a discount; customers consume the brands they bought one of on urgent orders."""
-    brand = read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("channel:"), F.col("p_brand")).alias("channel"))
-    line = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_discount").join(brand, "l_partkey")
-    emits = line.filter("l_returnflag = 'R' and l_quantity = 50 and l_discount >= 0.09").select(_id("supplier", "l_suppkey").alias("from_id"), F.col("channel").alias("to_id"), F.lit("emits").alias("type")).distinct()
-    urgent = read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    takes = line.filter("l_quantity = 1").join(urgent, "l_orderkey").select(F.col("channel").alias("from_id"), _id("customer", "o_custkey").alias("to_id"), F.lit("consumes").alias("type")).distinct()
-    both = emits.unionByName(takes)
-    party = F.when(F.col("type") == "emits", F.col("from_id")).otherwise(F.col("to_id"))
-    sure = F.when(F.substring_index(party, ":", -1).cast("long") % 3 == 0, "heuristic").otherwise("static")
-    return both.withColumn("confidence", sure)
+    """Of every line: its supplier emits to the channel of its part and line number, its order's customer consumes that channel, or
+    (every third customer) one of another number that nobody emits to."""
+    brand = read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    line = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").join(brand, "l_partkey")
+    orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    name = lambda number: F.concat(F.lit("channel:"), "p_brand", F.lit("."), F.col("l_partkey").cast("string"), F.lit("."), number.cast("string"))
+    sure = lambda party: F.when(F.col(party) % 3 == 1, "heuristic").otherwise("static").alias("confidence")
+    emits = line.select(_id("supplier", "l_suppkey").alias("from_id"), name(F.col("l_linenumber")).alias("to_id"), F.lit("emits").alias("type"), sure("l_suppkey")).distinct()
+    other = F.when(F.col("o_custkey") % 3 == 0, F.col("l_linenumber") + 7).otherwise(F.col("l_linenumber"))
+    takes = line.join(orders, "l_orderkey").select(name(other).alias("from_id"), _id("customer", "o_custkey").alias("to_id"), F.lit("consumes").alias("type"), sure("o_custkey")).distinct()
+    return emits.unionByName(takes)
 
 
 CHANNELS_SQL = """
-  select distinct 'supplier:' || l_suppkey as from_id, 'channel:' || p_brand as to_id, 'emits' as type, case when l_suppkey % 3 = 0 then 'heuristic' else 'static' end as confidence
-  from lineitem join part on p_partkey = l_partkey where l_returnflag = 'R' and l_quantity = 50 and l_discount >= 0.09
+  select distinct 'supplier:' || l_suppkey as from_id, 'channel:' || p_brand || '.' || l_partkey || '.' || l_linenumber as to_id, 'emits' as type, case when l_suppkey % 3 = 1 then 'heuristic' else 'static' end as confidence
+  from lineitem join part on p_partkey = l_partkey
   union all
-  select distinct 'channel:' || p_brand, 'customer:' || o_custkey, 'consumes', case when o_custkey % 3 = 0 then 'heuristic' else 'static' end
-  from lineitem join part on p_partkey = l_partkey join orders on o_orderkey = l_orderkey where o_orderpriority = '1-URGENT' and l_quantity = 1
+  select distinct 'channel:' || p_brand || '.' || l_partkey || '.' || case when o_custkey % 3 = 0 then l_linenumber + 7 else l_linenumber end, 'customer:' || o_custkey, 'consumes', case when o_custkey % 3 = 1 then 'heuristic' else 'static' end
+  from lineitem join part on p_partkey = l_partkey join orders on o_orderkey = l_orderkey
 """
 
 
