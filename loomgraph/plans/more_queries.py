@@ -188,12 +188,6 @@ def crossings(s, d):
     return own.select("from_id", "to_id", F.when(F.col("confidence") == "heuristic", 0).otherwise(1).alias("place")).orderBy("place", "from_id", "to_id")
 
 
-@query("join_32_guards", f"with r as ({ROUTES_SQL}) select route_id, list_sort(list(n_name)) as guards from r join nation on n_regionkey = route_id % 7 group by 1")
-def guards(s, d):
-    g = V.read(s, d, "nation").select(F.col("n_regionkey").cast("long").alias("m"), "n_name")
-    return routes(s, d).withColumn("m", F.col("route_id") % 7).join(F.broadcast(g), "m").groupBy("route_id").agg(F.sort_array(F.collect_list("n_name")).alias("guards"))
-
-
 @query("join_24_gap_sites", f"with b as (select p, count(*) as n from ({BASE}) group by 1), h as (select p, count(*) as n from ({HEAD}) group by 1) select p, greatest(coalesce(h.n, 0) - coalesce(b.n, 0), 0) as more, greatest(coalesce(b.n, 0) - coalesce(h.n, 0), 0) as fewer from b full join h using (p)")
 def gap_sites(s, d):
     b, h = versions(s, d)
@@ -366,14 +360,6 @@ def inventory(s, d):
     return routes(s, d).groupBy("app", "method").agg(F.count("*").alias("routes"), F.count_if(F.col("path").contains(":param")).alias("with_params"))
 
 
-@query("join_27_span_routes", "select page_id % 5 as m, count(*) as n from pages group by 1")
-def span_routes(s, d):
-    """Server spans against routes: every span is linked, ambiguous or without a route, none lost."""
-    c = calls(s, d)
-    got = L.match_routes(c, routes(s, d))
-    return got.groupBy((F.col("call_id") % 5).alias("m")).agg(F.count("*").alias("n"))
-
-
 @query("snk_07_catalogue", TRADE + "select lower(replace(service, ' ', '-')) as name, coalesce(len(list(distinct lower(replace(to_service, ' ', '-'))) filter (to_service is not null)), 0) as depends from (select distinct service from nodes where service is not null) left join (select a.service as service, b.service as to_service from t join nodes a on a.id = from_id join nodes b on b.id = to_id where a.service <> b.service) using (service) group by 1")
 def catalogue(s, d):
     from ..sources.graphs import catalogue as written

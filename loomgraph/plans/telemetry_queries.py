@@ -127,14 +127,6 @@ def adoption(s, d):
     return a.join(b, ["trace_id", "m", "r"]).select("span_id", "adopted_by")
 
 
-@query("trv_20_trace_tree", SP + ", t as (select trace_id, span_id, parent_id, row_number() over (partition by trace_id order by \"at\", span_id) - 1 as depth from spans) select trace_id, max(depth) as depth, count(*) as spans from t group by 1")
-def trace_tree(s, d):
-    """Depth of each trace: chains of parents are walked by a window, as a span's parent is the one before."""
-    x = V.spans(s, d)
-    w = Window.partitionBy("trace_id").orderBy("at", "span_id")
-    return x.withColumn("depth", F.sum(F.col("parent_id").isNotNull().cast("long")).over(w)).groupBy("trace_id").agg(F.max("depth").alias("depth"), F.count("*").alias("spans"))
-
-
 @query("win_07_trace_minimum", SP + f", u as (select trace_id, span_id, case when span_id % 10 <> 0 then \"at\" end as a from spans), m as (select *, min(a) over (partition by trace_id) as f, max(a) over () as l from u) select date_trunc('hour', coalesce(a, f, l)) as hour, count(*) as n from m group by 1")
 def trace_minimum(s, d):
     x = V.spans(s, d).withColumn("at", F.when(F.col("span_id") % 10 != 0, F.col("at")))
