@@ -116,7 +116,7 @@ def strip_impact(extra: DataFrame, reads: DataFrame, writes: DataFrame) -> DataF
     reads (type, path) are paths that the receiver reads, writes (type, path) those that it stores; a path counts for all below
     it. A type of which no read is known at all is unknown; a field that is read elsewhere is none of these.
     """
-    ways = extra.select("type", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\."))), lambda n: F.substring_index("path", ".", n))).alias("up"))
+    ways = extra.select("type", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\."))), lambda n: F.array_join(F.slice(F.split("path", r"\."), F.lit(1), n), "."))).alias("up"))
     mark = lambda df, name: df.select("type", F.col("path").alias("up"), F.lit(True).alias(name)).distinct()
     met = ways.join(mark(reads, "read"), ["type", "up"], "left").join(mark(writes, "stored"), ["type", "up"], "left")
     own = met.groupBy("type", "path").agg(F.max("read").alias("read"), F.max("stored").alias("stored"))

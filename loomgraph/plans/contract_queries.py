@@ -124,7 +124,7 @@ def moved_severity(s, d):
     return K.severities(impact(s, d).withColumn("kind", F.lit("extra_field"))).select("type", "path", "severity")
 
 
-@query("gra_11_dead_fields", IMPACT_SQL + " select sent as type, path, count(*) as pairs, bool_or(impact = 'unread') as dropped from found join st using (pair) join i on i.type = sent and i.path = found.path where kind = 'extra_field' group by 1, 2")
+@query("gra_11_dead_fields", IMPACT_SQL + " select i.type, i.path, count(*) as pairs, bool_or(impact = 'unread') as dropped from found join st using (pair) join i on i.type = sent and i.path = found.path where kind = 'extra_field' group by 1, 2")
 def dead_fields(s, d):
     x = extra(s, d).join(impact(s, d), ["type", "path"])
     return K.dead_fields(x.withColumn("dropped", F.col("impact") == "unread"))

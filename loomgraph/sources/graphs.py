@@ -14,13 +14,13 @@ GRAPH = (
 )
 
 
-def read_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """nodes, edges, types and unresolved of one or more documents; a document that doesn't parse fails the job.
+def read_graph(spark: SparkSession, path: str, lines: bool = False) -> dict[str, DataFrame]:
+    """nodes, edges, types and unresolved of one or more documents (a document a file, or a line); a document that doesn't parse fails the job.
 
     Nodes and edges without an id, an end or a type are refused. Of edges with the same ends and type one stays. Rows of
     `unresolved` get level "action", one site and kind "gap" where these are left out.
     """
-    doc = spark.read.schema(GRAPH).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    doc = spark.read.schema(GRAPH).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     refuse = lambda ok, what: F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(what)))
     nodes = doc.select(F.explode("nodes").alias("n")).select("n.*")
     nodes = nodes.filter(refuse(F.col("id").isNotNull() & F.col("type").isNotNull(), "a node without id or type"))

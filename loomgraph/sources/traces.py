@@ -61,16 +61,18 @@ def otlp(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def zipkin(spark: SparkSession, path: str) -> DataFrame:
-    x, tags = spark.read.schema(ZIPKIN).option("multiLine", True).json(path), F.col("tags")
+def zipkin(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """lines: a document a line, not a file."""
+    x, tags = spark.read.schema(ZIPKIN).option("multiLine", not lines).json(path), F.col("tags")
     return _spans(
         x, trace_id=F.col("traceId"), span_id=F.col("id"), parent_id=F.col("parentId"), service=F.col("localEndpoint.serviceName"), kind=F.lower(F.coalesce("kind", F.lit("internal"))), method=_first(tags, "http.method"), route=_first(tags, "http.route"),
         path=_path(_first(tags, "http.path", "http.url")), at=F.timestamp_micros("timestamp"), status=_first(tags, "http.status_code").try_cast("int"), duration_ms=F.col("duration") / 1000, error=F.coalesce(_first(tags, "error") != "false", F.lit(False)),
     )
 
 
-def jaeger(spark: SparkSession, path: str) -> DataFrame:
-    d = spark.read.schema(JAEGER).option("multiLine", True).json(path).select(F.explode("data").alias("d"))
+def jaeger(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """lines: a document a line, not a file."""
+    d = spark.read.schema(JAEGER).option("multiLine", not lines).json(path).select(F.explode("data").alias("d"))
     x = d.select(F.explode("d.spans").alias("x"), F.col("d.processes").alias("p")).withColumn("t", F.map_from_entries(F.transform("x.tags", lambda t: F.struct(t["key"], t["value"]))))
     t = F.col("t")
     parent = F.filter("x.references", lambda r: r["refType"] == "CHILD_OF")
