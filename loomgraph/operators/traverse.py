@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CONFIDENCE, rank
-from ..store import materialise
+from ..store import materialise, sized
+
+#: Bytes of an id with what goes along, when a set of ids is measured for a broadcast.
+ROW_BYTES = 64
 
 
 def steps_of(edges: DataFrame, direction: str = "out", types: Sequence[str] | None = None) -> DataFrame:
@@ -21,16 +24,19 @@ def steps_of(edges: DataFrame, direction: str = "out", types: Sequence[str] | No
 def reach(edges: DataFrame, seeds: DataFrame, direction: str = "out", types: Sequence[str] | None = None, depth: int = 6, by: str | None = None) -> DataFrame:
     """(id, depth) of all ids within `depth` steps of seeds.id, least depth first reached. With `by`, apart for each value of seeds.by."""
     keys = [by, "id"] if by else ["id"]
-    step = steps_of(edges, direction, types).select("a", "b").distinct()
+    step = steps_of(edges, direction, types).select("a", "b")
     step = materialise(step, "steps") if depth > 1 else step  # edges may be a costly view; levels read them again and again
     seen = materialise(seeds.select(*keys).distinct().withColumn("depth", F.lit(0)), "reach")
-    front = seen
+    front, size = seen, seen.count()
+    total = size
     for k in range(1, depth + 1):
-        new = front.withColumnRenamed("id", "a").join(step, "a").select(*([by] if by else []), F.col("b").alias("id")).distinct()
-        front = materialise(new.join(seen, keys, "left_anti").withColumn("depth", F.lit(k)).select(*keys, "depth"), "reach")
-        if not front.limit(1).count():
+        # a front and a seen set of measured size are broadcast, so the edges stay where they are; larger ones are shuffled
+        new = step.join(sized(front.withColumnRenamed("id", "a").drop("depth"), size, ROW_BYTES), "a").select(*([by] if by else []), F.col("b").alias("id")).distinct()
+        front = materialise(new.join(sized(seen.select(*keys), total, ROW_BYTES), keys, "left_anti").withColumn("depth", F.lit(k)).select(*keys, "depth"), "reach")
+        size = front.count()
+        if not size:
             break
-        seen = seen.unionByName(front)
+        seen, total = seen.unionByName(front), total + size
     return seen
 
 
@@ -89,17 +95,22 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, types: Sequence[str] | None
 
     Walks do as well as simple paths, as a detour weakens none; so a level keeps only ids that are new or better than before.
     """
-    step = steps_of(edges, "in", types).select("a", "b", rank(F.col("confidence")).alias("r")).groupBy("a", "b").agg(F.max("r").alias("r"))
+    step = steps_of(edges, "in", types).select("a", "b", rank(F.col("confidence")).alias("r"))
     step = materialise(step, "steps") if depth > 1 else step
     best = materialise(seeds.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(len(CONFIDENCE) - 1).alias("r")), "blast")
-    front = best
+    front, size = best, best.count()
+    total = size
     for k in range(1, depth + 1):
-        new = front.select(F.col("id").alias("a"), F.col("r").alias("q")).join(step, "a").groupBy(F.col("b").alias("id")).agg(F.max(F.least("q", "r")).alias("r"))
-        old = best.select("id", F.col("r").alias("was"))
+        own = sized(front.select(F.col("id").alias("a"), F.col("r").alias("q")), size, ROW_BYTES)
+        new = step.join(own, "a").groupBy(F.col("b").alias("id")).agg(F.max(F.least("q", "r")).alias("r"))
+        old = sized(best.select("id", F.col("r").alias("was")), total, ROW_BYTES)
         front = materialise(new.join(old, "id", "left").filter("was is null or r > was").select("id", F.lit(k).alias("depth"), "r"), "blast")
-        if not front.limit(1).count():
+        size = front.count()
+        if not size:
             break
-        best = materialise(best.unionByName(front).groupBy("id").agg(F.min("depth").alias("depth"), F.max("r").alias("r")), "blast")
+        best, total = best.unionByName(front).groupBy("id").agg(F.min("depth").alias("depth"), F.max("r").alias("r")), total + size
+        if k < depth:
+            best = materialise(best, "blast")
     names = F.array(*[F.lit(c) for c in CONFIDENCE])
     return best.select("id", "depth", F.element_at(names, F.col("r") + 1).alias("confidence"))
 
