@@ -19,12 +19,10 @@ def depths(spans: DataFrame) -> DataFrame:
     first = own.join(known, ["trace_id", "parent_id"], "left")
     up = F.when(F.col("there"), F.col("parent_id"))
     now = materialise(first.select("trace_id", "span_id", F.coalesce(up, "span_id").alias("at"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("depth"), up.isNull().alias("done")), "depths")
-    rounds = 0
-    while now.filter("not done").limit(1).count():
+    left, before = now.filter("not done").count(), -1
+    while left and left != before:  # a round that settles no span leaves rings alone
         above = now.select("trace_id", F.col("span_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("done").alias("top"))
         moved = now.join(above, ["trace_id", "at"]).select("trace_id", "span_id", F.col("next").alias("at"), F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.col("more")).alias("depth"), (F.col("done") | F.col("top")).alias("done"))
         now = materialise(moved, "depths")
-        rounds += 1
-        if rounds > 62:  # more steps than a trace can have spans: what is left goes in rings
-            break
+        left, before = now.filter("not done").count(), left
     return now.filter("done").select("trace_id", "span_id", "depth", F.col("at").alias("root"))

@@ -30,7 +30,7 @@ def xray(spark: SparkSession, path: str, depth: int = 6) -> DataFrame:
 
     A level is one explode of the level above; the parent's id and trace go along.
     """
-    level = spark.read.text(path).select(F.from_json("value", f"struct<{_segment(depth)}>").alias("s")).filter("s is not null")
+    level = spark.read.text(path).select(F.from_json("value", f"struct<{_segment(depth)}>").alias("s")).filter("s.id is not null")
     level = level.select("s", F.col("s.trace_id").alias("trace"), F.col("s.parent_id").alias("parent"))
     out = None
     for k in range(depth + 1):

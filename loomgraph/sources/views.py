@@ -57,18 +57,18 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     def of(df: DataFrame, kind: str, a, b) -> DataFrame:
         return df.select(a.alias("from_id"), b.alias("to_id"), F.lit(kind).alias("type"), F.lit("static").alias("confidence"))
 
-    def folded(kind: str, a, b) -> DataFrame:
-        rows = line.groupBy(a.alias("from_id"), b.alias("to_id")).agg(F.max("l_returnflag").alias("flag"))
+    def folded(kind: str, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+        rows = line.groupBy(a[1], b[1]).agg(F.max("l_returnflag").alias("flag"))  # by numbers: ids are made once they are few
         sure = F.when(F.col("flag") == "R", "static").when(F.col("flag") == "N", "declared").otherwise("heuristic")
-        return rows.select("from_id", "to_id", F.lit(kind).alias("type"), sure.alias("confidence"))
+        return rows.select(_id(*a).alias("from_id"), _id(*b).alias("to_id"), F.lit(kind).alias("type"), sure.alias("confidence"))
 
     return (
         of(read(spark, d, "nation"), "in_region", _id("nation", "n_nationkey"), _id("region", "n_regionkey"))
         .unionByName(of(read(spark, d, "customer"), "lives_in", _id("customer", "c_custkey"), _id("nation", "c_nationkey")))
         .unionByName(of(read(spark, d, "supplier"), "based_in", _id("supplier", "s_suppkey"), _id("nation", "s_nationkey")))
         .unionByName(of(read(spark, d, "orders"), "placed_by", _id("order", "o_orderkey"), _id("customer", "o_custkey")))
-        .unionByName(folded("contains", _id("order", "l_orderkey"), _id("part", "l_partkey")))
-        .unionByName(folded("supplied_by", _id("part", "l_partkey"), _id("supplier", "l_suppkey")))
+        .unionByName(folded("contains", ("order", "l_orderkey"), ("part", "l_partkey")))
+        .unionByName(folded("supplied_by", ("part", "l_partkey"), ("supplier", "l_suppkey")))
     )
 
 
