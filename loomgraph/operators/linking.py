@@ -84,14 +84,14 @@ def pattern_takes(name: Column, pattern: Column) -> Column:
     return fits & F.when(tail, F.size(n) >= F.size(p)).otherwise(F.size(n) == F.size(p))
 
 
-def join_patterns(names: DataFrame, filters: DataFrame, rounds: int = 16) -> DataFrame:
+def join_patterns(names: DataFrame, filters: DataFrame) -> DataFrame:
     """names (name), filters (consumer, pattern, forward): (name, consumer) to a fixpoint; a forward is a name that is matched again.
 
     Patterns are joined by their first part, or under "*" if that is a hole: keys, not a product.
     """
     f = filters.withColumn("head", F.when(F.substring_index("pattern", ".", 1).isin("*", ">"), "*").otherwise(F.substring_index("pattern", ".", 1)))
     fresh, seen, out = names.select("name").distinct(), names.select("name").distinct(), None
-    for _ in range(rounds):
+    while True:  # forwards are names of filters, so there are only so many to come
         heads = fresh.withColumn("head", F.explode(F.array(F.substring_index("name", ".", 1), F.lit("*"))))
         hits = materialise(heads.join(f, "head").filter(pattern_takes(F.col("name"), F.col("pattern"))).select("name", "consumer", "forward").distinct(), "patterns")
         out = hits if out is None else out.unionByName(hits)

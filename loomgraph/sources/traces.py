@@ -126,13 +126,24 @@ def sniff(head: str) -> str | None:
     return next((n for n, m in marks if m in head), None)
 
 
-def read_traces(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Spans of files in any known format; unknown ones are left out. Only the first 64 KB of each file are looked at."""
-    by: dict[str, list[str]] = {}
+def formats(spark: SparkSession, paths: list[str], head: int = 65536) -> dict[str, str | None]:
+    """The format of each file by its first `head` characters; None where no mark is in them."""
+    out: dict[str, str | None] = {}
     for p in paths:
-        # a file's first characters, by Spark's reader: the store may not be one that open() can read
-        first = spark.read.option("lineSep", "\0").text(p).select(F.left("value", F.lit(65536)).alias("h")).first()
-        if first and (kind := sniff(first[0])):
+        # by Spark's reader: the store may not be one that open() can read
+        first = spark.read.option("lineSep", "\0").text(p).select(F.left("value", F.lit(head)).alias("h")).first()
+        out[p] = sniff(first[0]) if first else None
+    return out
+
+
+def read_traces(spark: SparkSession, paths: list[str], strict: bool = False) -> DataFrame:
+    """Spans of files in any known format. Files that `formats` can't name are left out, or with strict fail the call."""
+    found = formats(spark, paths)
+    if strict and None in found.values():
+        raise ValueError(f"no known format: {[p for p, k in found.items() if k is None]}")
+    by: dict[str, list[str]] = {}
+    for p, kind in found.items():
+        if kind:
             by.setdefault(kind, []).append(p)
     out = spark.createDataFrame([], _spans(spark.range(0)).schema)
     for kind, own in by.items():

@@ -22,9 +22,11 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder is set only where it is unset, as in tests."""
+    """spark.checkpoint.dir; where that is unset a local folder is set, if all runs in one JVM, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"{tempfile.gettempdir()}/loomgraph-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
