@@ -104,13 +104,13 @@ def tf_strings(s, d):
 
 @query(
     "tf_more_strings",
-    """select p_partkey as k, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') as title, p_name as chomp, trim('xx' || p_name || 'x', 'x') as trim, p_name as round_trip,
-      coalesce(nullif('', ''), p_name) as first_full, try_cast(p_brand as double) as bad_number, cast(p_size as double) as number, p_size = 1 as flag, p_name || '.txt' as base, '/a/' || p_partkey as dir from part where p_name not like 'x%' and p_name not like '%x'""",
+    """select p_partkey as k, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') as title, p_name as chomp, trim(p_name, 'x') as trim, p_name as round_trip,
+      coalesce(nullif('', ''), p_name) as first_full, try_cast(p_brand as double) as bad_number, cast(p_size as double) as number, p_size = 1 as flag, p_name || '.txt' as base, '/a/' || p_partkey as dir from part""",
 )
 def tf_more(s, d):
     n = F.col("p_name")
     path = F.concat(F.lit("/a/"), F.col("p_partkey").cast("string"), F.lit("/"), n, F.lit(".txt"))
-    return V.read(s, d, "part").filter("p_name not like 'x%' and p_name not like '%x'").select(
+    return V.read(s, d, "part").select(
         F.col("p_partkey").alias("k"), X.title(n).alias("title"), X.chomp(F.concat(n, F.lit("\r\n\n"))).alias("chomp"), F.btrim(F.concat(F.lit("xx"), n, F.lit("x")), F.lit("x")).alias("trim"), F.unbase64(F.base64(n.cast("binary"))).cast("string").alias("round_trip"),
         X.coalesce(F.lit(""), n).alias("first_full"), F.col("p_brand").try_cast("double").alias("bad_number"), F.col("p_size").cast("string").try_cast("double").alias("number"), F.when(F.col("p_size") == 1, "true").otherwise("false").try_cast("boolean").alias("flag"), X.basename(path).alias("base"), X.dirname(path).alias("dir"),
     )

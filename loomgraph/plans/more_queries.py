@@ -323,10 +323,9 @@ def impacted(s, d):
     return c.select("id", F.when(F.col("change") == "removed", "base").otherwise("head").alias("side"))
 
 
-@query("dif_08_check_reasons", f"with b as ({BASE}), h as ({HEAD}) select case when b.id is null then 'added' when h.id is null then 'removed' else 'changed' end as reason, count(*) as n from b full join h on b.id = h.id where b.id is null or h.id is null or b.p is distinct from h.p group by 1 having count(*) > 1000")
+@query("dif_08_check_reasons", f"with b as ({BASE}), h as ({HEAD}) select case when b.id is null then 'added' when h.id is null then 'removed' else 'changed' end as reason, count(*) as n from b full join h on b.id = h.id where b.id is null or h.id is null or b.p is distinct from h.p group by 1")
 def check_reasons(s, d):
-    c = D.diff_rows(*versions(s, d), ["id"], ["p"]).groupBy(F.col("change").alias("reason")).agg(F.count("*").alias("n"))
-    return c.filter("n > 1000")
+    return D.diff_rows(*versions(s, d), ["id"], ["p"]).groupBy(F.col("change").alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("con_07_traffic_vs_declared", "with seen as (select event_type as entry, count(*) as n, count(*) filter (cast(json_extract_string(props, '$.k') as int) > 50) as k from events group by 1), d(entry, path, optional) as (values ('view', 'k', false), ('click', 'k', true), ('error', 'm', false)) select d.entry, d.path, case when d.path = 'k' and not optional and k < n then 'optionality_mismatch' when d.path = 'm' then 'declared_never_sent' else 'agrees' end as kind from d join seen using (entry) where n >= 50")
