@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import audit as A
+from ..operators import shapes as H
 from ..operators import specs as P
 from ..sources import views as V
 from .registry import query
+from .telemetry_queries import SP
 
 
 def facts(s, d, table: str, **columns: str):
@@ -299,3 +301,92 @@ def change_kinds(s, d):
     b, h = facts(s, d, "part", **OPS_B).filter("c <> 5"), facts(s, d, "part", **OPS_H).filter("c not in (0, 3, 4)")
     of = lambda ops, w: ops.select("document", "kind", "op", "c").join(F.broadcast(parts.filter(F.col("side") == w)), "c").drop("c", "side")  # noqa: E731  (the list above)
     return P.spec_changes(b, h, of(b, "b"), of(h, "h"))
+
+
+GUARDED = dict(
+    route="'r' || c_custkey", method="'GET'", path=pick("c_nationkey", "'/open/' || c_custkey", "'/items/' || c_custkey", "'/items'"), controller=pick("c_custkey", "'Ctl'", "null"),
+    public_note=pick("c_custkey", "null", "null", "null", "null", "null", "null", "null", "''", "'partners'"), auth_note="case when c_custkey % 11 = 3 then 'signed' end", open="c_custkey % 13 = 5",
+    refuses="c_custkey % 7 = 1", middleware_read="c_custkey % 17 <> 2",
+)
+GATES = dict(route="'r' || o_custkey", layer=pick("o_orderkey", "'guard'", "'middleware'", "'pipe'", "'guard'", "'guard'"), skipped_by="case when o_orderkey % 5 in (0, 1, 3) then 'Open' end")
+HANDLERS = dict(route="'r' || o_custkey", label=pick("o_orderkey", "'Ctl.get'", "'worker'", "'Ctlx.get'"))
+FEW, MANY, HELD = "o_totalprice > 140000", "o_orderstatus = 'P'", "o_totalprice < 100000"
+
+
+@query(
+    "gra_15_audit_rows",
+    f"with r as ({said('customer', **GUARDED)}), g as (select * from ({said('orders where ' + FEW, **GATES)}) where layer in ('guard', 'middleware')), h as (select x.route, bool_or(x.label like 'Ctl.%' and r.controller is not null) as app, bool_or(not (x.label like 'Ctl.%' and r.controller is not null)) as other from ({said('orders where ' + MANY, **HANDLERS)}) x join r using (route) group by 1),"
+    f" f as (select * from r where route not in (select route from g where layer = 'middleware' or skipped_by is null)), d as (select distinct 'r' || o_custkey as route from orders where {HELD})"
+    " select route, 'route-shadowed' as reason, 'action' as level from h where app and other union all select route, case when public_note = '' then 'marker-reason-missing' when public_note is not null then 'route-public-declared' when auth_note is not null then 'route-guard-skipped' when refuses then 'route-checked-in-body' when not middleware_read then 'route-unguarded' when route in (select route from g) then 'route-guard-skipped' else 'route-unguarded' end,"
+    " case when public_note is null and auth_note is null and not refuses and middleware_read and route not in (select route from g) then 'action' else 'info' end from f where public_note is not null or (not open and path not like '/open/%' and route in (select route from d))",
+)
+def audit_rows(s, d):
+    """Every customer is a route; its dear orders are gates, its open ones handlers, its cheap ones the data it comes to."""
+    o = V.read(s, d, "orders")
+    of = lambda where, columns: o.filter(where).selectExpr(*[f"{sql} as {name}" for name, sql in columns.items()])
+    return A.route_audit(facts(s, d, "customer", **GUARDED), of(FEW, GATES), of(MANY, HANDLERS), of(HELD, {"route": GATES["route"]}), public=("GET /open/**",))
+
+
+GAPS = dict(service="'s' || l_suppkey", reason=pick("l_partkey", "'call-through-token'", "'call-module-ref'", "'di-token-unknown'", "'other'", "'di-token-ambiguous'"), cause="case when l_linenumber = 2 then 'own' when l_linenumber = 3 then '' end", package="case when l_returnflag = 'R' then 'pkg' || l_tax end", sites="case when l_linestatus = 'F' then l_linenumber end")
+
+
+@query(
+    "gra_24_cause_parts",
+    f"with g as ({said('lineitem', **GAPS, listed='l_linenumber = 5')}), p as (select service, case when nullif(cause, '') is not null then cause when reason = 'call-through-token' then 'untyped-di-token' when reason = 'call-module-ref' then 'container-lookup' when reason = 'di-token-unknown' then 'token-not-provided' when reason = 'di-token-ambiguous' then 'token-ambiguous' else reason end as cause, package, coalesce(sites, 1) as sites from g where not listed"
+    " union all select service, 'a', null, 2 from g where listed union all select service, 'b', 'q', 3 from g where listed) select service, cause, package, cast(sum(sites) as bigint) as sites, count(*) as rows from p group by 1, 2, 3",
+)
+def cause_parts(s, d):
+    listed = "case when l_linenumber = 5 then array(named_struct('cause', 'a', 'package', cast(null as string), 'sites', 2), named_struct('cause', 'b', 'package', 'q', 'sites', 3)) end"
+    return A.folded_causes(facts(s, d, "lineitem", **GAPS, causes=listed), ["service"])
+
+
+@query(
+    "gra_25_busiest_blind_spots",
+    SP + ', g as (select service, entry as kind, k as name, count(*) as n, max("at") as t from spans group by 1, 2, 3), r as (select *, row_number() over (partition by service, kind order by n desc, name) as o from g)'
+    " select service, kind, cast(sum(n) as bigint) as count, count(*) as places, max(t) as last_seen, list(name order by o) filter (o <= 3) as names, greatest(count(*) - 3, 0) as more from r group by 1, 2",
+)
+def busiest_blind_spots(s, d):
+    x = V.spans(s, d).select("service", F.col("entry").alias("kind"), F.col("k").alias("name"), F.lit(1).alias("count"), F.col("at").alias("last_seen"))
+    return A.blind_spots(x, 3).withColumn("names", F.col("names.name"))
+
+
+def bodies(s, d):
+    """(entry, body): events as nested bodies; by their number a key is left out, null or of another type."""
+    i = F.col("event_id")
+    tag = F.when(i % 5 == 0, F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit(1).alias("w")), F.struct(F.lit("x").alias("name"), F.lit(2).alias("w"))))
+    body = F.to_json(F.struct(i.alias("id"), F.when(i % 3 == 0, F.struct(F.col("user_id").alias("uid"), F.when(i % 2 == 0, "a").alias("role"))).alias("user"), tag.alias("tags"), F.when(i % 7 == 0, F.lit("late")).alias("note")))
+    mixed = F.when(i % 11 == 0, F.regexp_replace(body, r'"id":(\d+)', r'"id":"$1"')).when(i % 23 == 0, F.lit("{")).otherwise(body)
+    return V.read(s, d, "events").select(F.col("event_type").alias("entry"), mixed.alias("body"))
+
+
+SHAPES = """with e as (select event_type as entry, event_id as i from events where event_id % 23 <> 0 or event_id % 11 = 0),
+  p as (select entry, '' as path, 'object' as t from e union all select entry, 'id', case when i % 11 = 0 then 'string' else 'number' end from e union all select entry, 'user', 'object' from e where i % 3 = 0 union all select entry, 'user.uid', 'number' from e where i % 3 = 0
+    union all select entry, 'user.role', 'string' from e where i % 6 = 0 union all select entry, 'tags', 'array' from e where i % 5 = 0 union all select entry, 'tags[]', 'object' from e where i % 5 = 0 union all select entry, 'tags[].w', 'number' from e where i % 5 = 0
+    union all select entry, 'tags[].name', 'string' from e where i % 5 = 0 union all select entry, 'note', 'string' from e where i % 7 = 0),
+  g as (select entry, path, list_sort(list(distinct t)) as types, count(*) as n from p group by 1, 2), s as (select g.*, u.n as of from g join g u on u.entry = g.entry and u.path = regexp_extract(g.path, '^(.*)\\.[^.]*$', 1)) """
+
+
+@query("agg_18_body_shapes", SHAPES + "select entry, path, types, n, of, n < of and not suffix(path, '[]') as optional from s")
+def shapes_of_bodies(s, d):
+    return H.body_shapes(bodies(s, d), ["entry"])
+
+
+@query("fn_21_shape_at", SHAPES + "select entry, path, types, n from s where path = 'tags[].w'")
+def shape_at(s, d):
+    return H.shape_at(H.body_shapes(bodies(s, d), ["entry"]), "tags[].w").select("entry", "path", "types", "n")
+
+
+DECLARED = [("id", "number", False), ("user", "User", False), ("user.uid", "number", False), ("user.age", "number", True), ("user.name", "string", False), ("tags", "Tag[]", True), ("tags[].name", "string", False), ("note", "boolean | null", True), ("never", "string", True), ("absent.deep", "string", False)]
+
+
+@query(
+    "con_07_traffic_compared",
+    SHAPES + ", d(path, type, opt) as (values ('id', 'number', false), ('user', 'object', false), ('user.uid', 'number', false), ('user.age', 'number', true), ('user.name', 'string', false), ('tags', 'array', true), ('tags[].name', 'string', false), ('note', 'boolean', true), ('never', 'string', true)),"
+    " h as (select entry, path as parent, n as held from g), w as (select distinct entry from g), x as (select d.*, w.entry, s.types, s.n, coalesce(s.of, h.held) as of from d cross join w left join s on s.entry = w.entry and s.path = d.path left join h on h.entry = w.entry and h.parent = regexp_extract(d.path, '^(.*)\\.[^.]*$', 1))"
+    " select entry, path, 'missing_required' as kind, 'warning' as severity, 0 as seen, of from x where n is null and not opt and of > 0 union all select entry, path, 'declared_never_sent', 'info', 0, of from x where n is null and opt and of >= 10 union all select entry, path, 'optionality_mismatch', 'warning', n, of from x where not opt and n < of"
+    " union all select entry, path, 'type_mismatch', 'warning', n, of from x where n is not null and types <> [type] union all select entry, path, 'extra_field', 'info', n, of from s where path in ('user.role', 'tags[].w')",
+)
+def traffic_compared(s, d):
+    shapes = H.body_shapes(bodies(s, d), ["entry"])
+    declared = V.read(s, d, "events").select(F.col("event_type").alias("entry")).distinct().select("entry", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("type"), F.lit(o).alias("optional")) for p, t, o in DECLARED])).alias("x")).select("entry", "x.*")
+    return H.compare_traffic(shapes, declared, ["entry"], least=10)

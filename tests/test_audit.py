@@ -3,6 +3,7 @@
 import json
 
 from loomgraph.operators import audit as A
+from loomgraph.operators import shapes as H
 from loomgraph.operators import specs as P
 
 ROUTE = "method string, path string, decorators array<string>, handler string, controller string, public_note string"
@@ -67,3 +68,37 @@ def test_operations_pair_by_added_parameters(spark):
     got = rows(P.pair_operations(base, head), "op", "other", "how")
     assert got == sorted([("GET /a/b", "GET /a/:param/b", "moved"), ("GET /c", None, "removed"), ("GET /:param/c", None, "added"), ("GET /c/:param", None, "added"), ("old", "new", "moved"), ("GET /t/:param", None, "removed"), ("GET /t", None, "added")], key=repr)
     assert P.pair_operations(base.limit(0), head.limit(0)).count() == 0
+
+
+def test_places_of_bodies():
+    assert dict(H.places_of('{"a": [{"b": 1}, {"b": null}, 2], "c": {}}')) == {"": ["object"], "a": ["array"], "a[]": ["number", "object"], "a[].b": ["null", "number"], "c": ["object"]}
+    assert H.places_of(None) == H.places_of("") == H.places_of("{") == [] and len(H.places_of("[" * 20_000)) == 0
+    assert dict(H.places_of("[[1]]")) == {"": ["array"], "[]": ["array"], "[][]": ["number"]}
+
+
+def test_shapes_and_traffic(spark):
+    b = spark.createDataFrame([("e", '{"a": 1, "o": {"x": 1}}'), ("e", '{"a": "1"}'), ("e", "no"), ("e", None), (None, "1")], "entry string, body string")
+    shapes = H.body_shapes(b, ["entry"])
+    assert rows(shapes.filter("entry is not null"), "path", "types", "n", "of", "optional") == [("", ["object"], 2, 2, False), ("a", ["number", "string"], 2, 2, False), ("o", ["object"], 1, 2, True), ("o.x", ["number"], 1, 1, False)]
+    declared = spark.createDataFrame([("e", "a", "any", False), ("e", "b", "string", False), ("e", "c", "string", True), ("e", "o", "O", True), ("e", "o.y", "string", False), ("f", "z", "string", False)], "entry string, path string, type string, optional boolean")
+    got = rows(H.compare_traffic(shapes, declared, ["entry"], least=2), "path", "kind", "seen", "of")
+    assert got == [("b", "missing_required", 0, 2), ("c", "declared_never_sent", 0, 2), ("o.x", "extra_field", 1, 1), ("o.y", "missing_required", 0, 1)]
+    assert H.body_shapes(b.limit(0), ["entry"]).count() == 0
+
+
+def test_route_audit_of_little_known_routes(spark):
+    fields = "route string, method string, path string, controller string, public_note string, auth_note string, open boolean, refuses boolean, middleware_read boolean"
+    r = spark.createDataFrame([(x, "GET", f"/{x}", None, None, None, None, None, None) for x in ("bare", "nodata", "gated", "skipped", "pub")], fields)
+    gates = spark.createDataFrame([("gated", "guard", None), ("gated", "guard", "Open"), ("skipped", "guard", "Open"), ("bare", "pipe", None)], "route string, layer string, skipped_by string")
+    hands = spark.createDataFrame([("bare", None), ("bare", "w")], "route string, label string")
+    data = spark.createDataFrame([(x, "t") for x in ("bare", "bare", "gated", "skipped", "pub")], "route string, data string")
+    got = rows(A.route_audit(r, gates, hands, data, public=("/pub",)), "route", "reason", "level")
+    assert got == [("bare", "route-unguarded", "action"), ("skipped", "route-guard-skipped", "info")]
+
+
+def test_causes_and_blind_spots(spark):
+    fields = "reason string, cause string, package string, sites int, causes array<struct<cause: string, package: string, sites: int>>"
+    g = spark.createDataFrame([("call-module-ref", None, "", None, None), ("x", "", "p", 3, []), ("x", "c", None, 2, [("a", None, 2), (None, None, 9)]), (None, None, None, None, None)], fields)
+    assert rows(A.folded_causes(g), "cause", "package", "sites") == [("a", None, 2), ("container-lookup", None, 1), ("x", "p", 3), (None, None, 1)]
+    u = spark.createDataFrame([(None, "http", "b", 2, 1), (None, "http", "a", 1, 5), (None, "http", "a", 1, 2), (None, "http", "c", 1, 1)], "service string, kind string, name string, count int, last_seen int")
+    assert rows(A.blind_spots(u, 2), "count", "places", "last_seen", "names", "more") == [(5, 3, 5, [("a", 2), ("b", 2)], 1)]
