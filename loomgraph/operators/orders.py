@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import materialise, sized
+
 # Ranks of severities, of levels, and of verdicts on a change; the lower, the earlier.
 SEVERITY = ("error", "warning", "info", "unchecked")
 LEVEL = ("action", "info", "nothing")
@@ -53,6 +55,19 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+def numbered_over_all(df: DataFrame, order: Sequence[Column], out: str = "place") -> DataFrame:
+    """Every row with its place (long, from 1) in one order of all rows: sorted by ranges, each numbered from what lies before.
+
+    Rows that the order holds equal may change places. No task sees more than its range; the ranges' counts are a row a task.
+    """
+    part = F.spark_partition_id()
+    own = F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)
+    held = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", part).withColumn("_at", own), "numbered")
+    counts = held.groupBy("_part").agg(F.count("*").alias("n"))
+    before = counts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return held.join(sized(before, counts.count(), 16), "_part").withColumn(out, F.col("_at") + F.col("_before") + 1).select(*df.columns, out)
+
+
 def top(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
     """The first `most` rows of all: each task keeps a bounded queue, and the queues are merged."""
     return df.orderBy(*order).limit(most)

@@ -208,3 +208,18 @@ def flow_tree(edges: DataFrame, nodes: DataFrame, entry: str, depth: int = 8, mo
 
     walk(entry, 0, "", ())
     return out
+
+
+def walk_back(edges: DataFrame, seeds: DataFrame, steps: DataFrame, base: int = 8, types: Sequence[str] | None = None) -> tuple[DataFrame, int]:
+    """(ids reached backwards with their depth, the depth walked): `base` hops and one more for each step (steps.id) climbed.
+
+    Walked again, further, whenever it climbed steps that it wasn't lengthened for; there are so many steps, so this ends.
+    """
+    depth = base
+    steps = materialise(steps.select("id").distinct(), "steps")
+    while True:
+        got = reach(edges, seeds, "in", types, depth)
+        needed = base + got.select("id").distinct().join(steps, "id", "left_semi").count()
+        if needed <= depth:
+            return got, depth
+        depth = needed

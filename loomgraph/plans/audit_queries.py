@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import audit as A
+from ..operators import linking as L
 from ..operators import shapes as H
 from ..operators import specs as P
+from ..operators import traverse as T
 from ..sources import views as V
+from .graph_queries import TR, WITH
+from .link_queries import MATCH, calls, routes
 from .registry import query
 from .telemetry_queries import SP
 
@@ -390,3 +394,53 @@ def traffic_compared(s, d):
     shapes = H.body_shapes(bodies(s, d), ["entry"])
     declared = V.read(s, d, "events").select(F.col("event_type").alias("entry")).distinct().select("entry", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).alias("type"), F.lit(o).alias("optional")) for p, t, o in DECLARED])).alias("x")).select("entry", "x.*")
     return H.compare_traffic(shapes, declared, ["entry"], least=10)
+
+
+@query(
+    "trv_06_walk_back",
+    WITH + f", t as {TR}, m as (select 'nation:3' as id, 0 as k union select t.from_id, k + 1 from m join t on t.to_id = m.id where k < 40), r as (select id, min(k) as depth from m group by 1), f as (select 1 as d union select 1 + (select count(*) from r where r.depth <= f.d and cast(split_part(r.id, ':', 2) as int) % 4 = 0) from f) select id, cast(depth as int) as depth, cast((select max(d) from f) as int) as walked from r where depth <= (select max(d) from f)",
+)
+def walk_back(s, d):
+    """Back from one nation; every fourth nation is a workflow's step, which lengthens the walk by a hop."""
+    t = V.trade_edges(s, d)
+    steps = V.nodes(s, d).filter("type = 'nation'").filter(F.substring_index("id", ":", -1).cast("int") % 4 == 0)
+    got, depth = T.walk_back(t, s.createDataFrame([("nation:3",)], "id string"), steps, 1)
+    return got.select("id", "depth", F.lit(depth).alias("walked"))
+
+
+USES = dict(
+    from_id="'a' || l_orderkey", to_id="'b' || l_linenumber", type=pick("l_linenumber", "'handles'", "'calls'", "'hits'", "'emits'", "'queries'"),
+    params="'Array<type:p' || (l_partkey % 50) || '>'", returns="case when l_returnflag = 'R' then 'Promise<type:p' || (l_suppkey % 50) || '|type:p' || (l_partkey % 50) || '>' end",
+)
+
+
+@query(
+    "agg_15_type_uses",
+    f"with e as ({said('lineitem', **USES, p='l_partkey % 50', q='l_suppkey % 50')}), u as (select 'type:p' || p as type, type as k, 'params' as side from e union all select 'type:p' || q, type, 'returns' from e where returns is not null union all select 'type:p' || p, type, 'returns' from e where returns is not null and p <> q),"
+    " g as (select type, case k when 'handles' then case side when 'params' then 'taking' else 'returning' end when 'calls' then 'calls' when 'hits' then 'crossings' when 'emits' then 'channels' end as used_by from u where k <> 'queries' union all select 'type:p' || (p_size % 50), 'nested' from part where p_size % 50 <> p_partkey % 50)"
+    " select type, used_by, count(*) as n from g group by 1, 2",
+)
+def type_uses(s, d):
+    held = V.read(s, d, "part").selectExpr("'type:p' || (p_partkey % 50) as id", "array('type:p' || (p_size % 50)) as refs")
+    return A.type_usage(facts(s, d, "lineitem", **USES), held).groupBy("type", "used_by").agg(F.count("*").alias("n"))
+
+
+@query(
+    "gra_16_rank_missing",
+    "with h as (select page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) as host, url from pages), x as (select *, regexp_replace(regexp_replace(lower(host), '[^a-z0-9]+', '', 'g'), '(service|svc|api)$', '') as key from h where host <> ''),"
+    " k as (select key, 'channel' as kind from x union all select key, 'host' from x where starts_with(url, 'https') union all select key, 'package' from x where contains(url, '?')), g as (select key, kind, count(*) as n from k group by 1, 2)"
+    " select key, count(*) as score, cast(sum(n) as bigint) as places, list(kind order by kind) as kinds, count(*) >= 2 or bool_or(kind = 'host') as worth from g where key not in (select key from x where page_id % 11 = 0) group by 1",
+)
+def rank_missing(s, d):
+    """Hosts of pages as signals of up to three kinds; those of every eleventh page are configured services."""
+    p = V.read(s, d, "pages").withColumn("host", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)).filter("host <> ''")
+    kinds = F.array_compact(F.array(F.lit("channel"), F.when(F.col("url").startswith("https"), "host"), F.when(F.col("url").contains("?"), "package")))
+    x = p.select(F.explode(kinds).alias("kind"), F.col("host").alias("name"), F.col("host").alias("token"), F.col("page_id").alias("place"))
+    return A.rank_missing(x, p.filter("page_id % 11 = 0").select(F.col("host").alias("name")))
+
+
+@query("snk_09_inventory_rows", MATCH + ", u as (select unnest(candidates) as route_id, c.app as caller from g join calls c using (call_id)), n as (select route_id, count(distinct caller) as callers from u group by 1) select route_id, app, upper(method) as method, path, route_id % 3 = 0 as guarded, coalesce(callers, 0) as callers from routes left join n using (route_id)")
+def inventory_rows(s, d):
+    r, c = routes(s, d), calls(s, d)
+    hits = L.match_routes(c, r).select("call_id", F.explode("candidates").alias("route_id")).join(c.select("call_id", F.col("app").alias("caller")), "call_id")
+    return A.route_inventory(r, hits, r.filter("route_id % 3 = 0")).select("route_id", "app", "method", "path", "guarded", "callers")

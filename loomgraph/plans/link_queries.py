@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import diff as D
 from ..operators import linking as L
+from ..operators.orders import numbered_over_all
 from ..sources import views as V
 from .function_queries import PATH
 from .registry import query
@@ -29,8 +29,7 @@ def routes(s, d):
     own = c.filter("call_id % 3 <> 1").select(F.regexp_replace("path", "[0-9]+", ":param").alias("path"), F.lit("GET").alias("method"), "app").distinct()
     more = s.createDataFrame([("/en/*", "ALL", "app9"), ("/:param/:param", "POST", "app0"), ("/de/*", "GET", "app1")], "path string, method string, app string")
     rows = own.unionByName(more).filter(F.size(S.segments(F.col("path"))) > 0)
-    # routes are declarations: few; their numbers follow one order over all
-    return rows.withColumn("route_id", F.row_number().over(Window.orderBy("path", "method", "app")).cast("long"))
+    return numbered_over_all(rows, [F.col("path"), F.col("method"), F.col("app")], "route_id")
 
 
 SEG = "list_filter(string_split({}, '/'), lambda x: x <> '')"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import diff as D
 from ..operators import linking as L
+from ..operators.orders import numbered_over_all
 from ..operators import rules as R
 from ..operators import traverse as T
 from ..sources import views as V
@@ -232,11 +233,12 @@ def besides_self(s, d):
 
 @query("win_05_positional_rank", "with p as (select s_suppkey as k, row_number() over (order by s_suppkey) as place, case when s_suppkey % 3 = 0 then s_acctbal end as score from supplier), a as (select k, place, row_number() over (order by place) as o from p where score is not null), b as (select k, row_number() over (order by score desc, k) as o from p where score is not null) select b.k, a.place from a join b using (o) union all select k, place from p where score is null")
 def positional_rank(s, d):
-    """Rows with a score are sorted among the places that such rows have; a report's rows, so few."""
-    p = V.read(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.row_number().over(Window.orderBy("s_suppkey")).alias("place"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_acctbal")).alias("score"))
+    """Rows with a score are sorted among the places that such rows have; the others keep theirs."""
+    k = F.col("k")
+    p = numbered_over_all(V.read(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_acctbal")).alias("score")), [k])
     has = p.filter("score is not null")
-    a = has.select("place", F.row_number().over(Window.orderBy("place")).alias("o"))
-    b = has.select("k", F.row_number().over(Window.orderBy(F.desc("score"), "k")).alias("o"))
+    a = numbered_over_all(has.select("place"), [F.col("place")], "o")
+    b = numbered_over_all(has.select("k", "score"), [F.desc("score"), k], "o").select("k", "o")
     return b.join(a, "o").select("k", "place").unionByName(p.filter("score is null").select("k", "place"))
 
 
