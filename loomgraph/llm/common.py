@@ -63,22 +63,22 @@ def sized(df: DataFrame, rows: int, row_bytes: int, at_most: int = BROADCAST_BYT
     return F.broadcast(df) if rows * row_bytes <= at_most else df
 
 
-def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, spread: Column, row_bytes: int, at_most: int = BROADCAST_BYTES) -> DataFrame:
-    """Inner join on the binary column `key`, which is unique in right (a written table); `n` of right counts the rows of each key.
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, spread: Column, row_bytes: int, at_most: int = BROADCAST_BYTES, keep: bool = False) -> DataFrame:
+    """Inner join (left join: keep) on the binary column `key`, which is unique in right (a written table); `n` of right counts the rows of each key.
 
     A small right is broadcast. Else the keys that have over 1 in HOT of all rows, so fewer than HOT of them, are broadcast; their
     rows of left are dealt by `spread` in the shuffle that joins the others, so that no task gets a hot key.
     """
     rows, total = right.agg(F.count("*"), F.sum(n)).first()
     if rows * row_bytes <= at_most:
-        return left.join(F.broadcast(right), key)
+        return left.join(F.broadcast(right), key, "left" if keep else "inner")
     hot = F.col(n) > max(1, (total or 0) // HOT)
     rest = [c for c in right.columns if c != key]
     first = right.filter(hot).select(F.col(key), F.struct(*rest).alias(f"{PRE}hot"))
     second = right.filter(~hot).select(F.col(key).alias(f"{PRE}cold_key"), F.struct(*rest).alias(f"{PRE}cold"))
     dealt = left.join(F.broadcast(first), key, "left").withColumn(f"{PRE}deal", F.when(F.col(f"{PRE}hot").isNull(), F.col(key)).otherwise(F.encode(F.xxhash64(spread).cast("string"), "utf-8")))
     both = dealt.join(second, F.col(f"{PRE}deal") == F.col(f"{PRE}cold_key"), "left").withColumn(f"{PRE}met", F.coalesce(f"{PRE}hot", f"{PRE}cold"))
-    return both.filter(F.col(f"{PRE}met").isNotNull()).select(*left.columns, *[F.col(f"{PRE}met.{c}").alias(c) for c in rest])
+    return (both if keep else both.filter(F.col(f"{PRE}met").isNotNull())).select(*left.columns, *[F.col(f"{PRE}met.{c}").alias(c) for c in rest])
 
 
 def crc_of_id(name: str = "doc_id") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, language, linededup, mixing, neardup, neighbours, pii, quality, sharding, tokens
+from . import chat, decontam, language, linededup, mixing, neardup, neighbours, pii, quality, repair, sharding, tokens
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_neighbours": neighbours.op9_neighbours,
         "op10_decontam": decontam.op10_decontam,
         "op12_line_dedup": linededup.op12_line_dedup,
+        "op13_repair": repair.op13_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.ORACLE_SQL, "op12_line_dedup": linededup.ORACLE_SQL}
+    return {"op4_chat": chat.ORACLE_SQL, "op12_line_dedup": linededup.ORACLE_SQL, "op13_repair": repair.ORACLE_SQL}
