@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, language, linededup, mixing, neardup, neighbours, pii, quality, repair, sharding, tokens
+from . import align, chat, decontam, language, linededup, mixing, neardup, neighbours, pii, quality, repair, sharding, tokens
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mix": mixing.op8_mix,
         "op9_neighbours": neighbours.op9_neighbours,
         "op10_decontam": decontam.op10_decontam,
+        "op11_align": align.op11_align,
         "op12_line_dedup": linededup.op12_line_dedup,
         "op13_repair": repair.op13_repair,
     }
