@@ -177,37 +177,15 @@ def collapse_channels(edges: DataFrame) -> DataFrame:
 
 
 def flow_tree(edges: DataFrame, nodes: DataFrame, entry: str, depth: int = 8, most: int = 150) -> list[tuple[int, str, str, str]]:
-    """(level, id, edge type, note) of what an entry leads to, in reading order; the tree is bounded by `most` rows.
+    """(level, id, edge type, note) of what an entry leads to, in reading order; the first `most` rows, level by level.
 
-    Steps into another service are expanded first when rows run short. A node on its own way is noted "cycle", one expanded
-    elsewhere "again", one left out "cut". Only what is within reach is fetched, and at most four times `most` of its edges.
+    Steps into another service come first. A node on its own way is noted "cycle", one expanded elsewhere "again", one under which
+    something is left out "cut" (see flows.flow_rows, which has the trees of many entries).
     """
-    seeds = nodes.filter(F.col("id") == entry).select("id")
-    near = reach(edges, seeds, "out", None, depth).orderBy("depth", "id").limit(most)
-    own = edges.join(F.broadcast(near.select(F.col("id").alias("from_id"))), "from_id", "left_semi")
-    place = nodes.select("id", "service")
-    hops = own.join(place.select(F.col("id").alias("from_id"), F.col("service").alias("x")), "from_id").join(place.select(F.col("id").alias("to_id"), F.col("service").alias("y")), "to_id")
-    crossing = F.coalesce(F.col("x") != F.col("y"), F.lit(False))
-    rows = hops.select("from_id", "to_id", "type", crossing.alias("c")).orderBy(F.desc("c"), "from_id", "type", "to_id").limit(4 * most).collect()
-    steps: dict[str, list] = {}
-    for r in rows:
-        steps.setdefault(r.from_id, []).append(r)
-    out: list[tuple[int, str, str, str]] = []
-    done: set[str] = set()
-
-    def walk(node: str, level: int, kind: str, way: tuple[str, ...]) -> None:
-        if len(out) >= most:
-            return
-        note = "cycle" if node in way else "again" if node in done and steps.get(node) else "cut" if level == depth and steps.get(node) else ""
-        out.append((level, node, kind, note))
-        if note:
-            return
-        done.add(node)
-        for r in sorted(steps.get(node, []), key=lambda r: (not r.c, r.type, r.to_id)):
-            walk(r.to_id, level + 1, r.type, (*way, node))
-
-    walk(entry, 0, "", ())
-    return out
+    from .flows import flow_rows
+
+    rows = flow_rows(edges, nodes, nodes.filter(F.col("id") == entry), depth, most)
+    return [(r.level, r.id, r.type or "", r.note) for r in rows.orderBy("path").select("level", "id", "type", "note").collect()]  # at most `most`
 
 
 def walk_back(edges: DataFrame, seeds: DataFrame, steps: DataFrame, base: int = 8, types: Sequence[str] | None = None) -> tuple[DataFrame, int]:
