@@ -7,6 +7,8 @@ a few bytes compared in Arrow batches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -72,10 +74,33 @@ def ways_in(edges: DataFrame, starts: DataFrame, depth: int = 16) -> DataFrame:
 
 
 def counts_reached(edges: DataFrame, starts: DataFrame, marked: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, reaches): starts (id) that reach any of marked (id), and how many of them."""
+    """(id, reaches): starts (id) that reach any of marked (id), and how many of them.
+
+    The marked nodes' bitmaps are added bit by bit within each task, a bucket at a time, so what is shuffled is a row for each
+    start that a task has met, not for each pair of a start and a node.
+    """
     numbers = numbered_starts(starts)
-    own = reach_bits(edges, numbers, depth).join(marked.select("id").distinct(), "id", "left_semi")
-    return unfolded(own, ["id"], numbers).groupBy(F.col("start").alias("id")).agg(F.count("*").alias("reaches"))
+    own = reach_bits(edges, numbers, depth).join(marked.select("id").distinct(), "id", "left_semi").select("bucket", "bits").sortWithinPartitions("bucket")
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket, total = None, None
+        for f in frames:
+            for k, bits in zip(f["bucket"], f["bits"], strict=True):
+                if k != bucket:
+                    if total is not None:
+                        yield _told(bucket, total)
+                    bucket, total = k, np.zeros(1 << 15, np.int64)
+                total += np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
+        if total is not None:
+            yield _told(bucket, total)
+
+    counted = own.mapInPandas(sums, "number long, n long").groupBy("number").agg(F.sum("n").alias("reaches"))
+    return counted.join(numbers, "number").select("id", "reaches")
+
+
+def _told(bucket: int, total: np.ndarray) -> pd.DataFrame:
+    at = np.flatnonzero(total)
+    return pd.DataFrame({"number": (bucket - 1) * 32768 + at + 1, "n": total[at]})
 
 
 def writes_reached(edges: DataFrame, entries: DataFrame, writes: DataFrame, depth: int = 8) -> DataFrame:

@@ -208,3 +208,38 @@ def reached_from(edges: DataFrame, entries: DataFrame, marked: DataFrame, depth:
     live = materialise(back, "live")
     own = edges.join(live.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(live.select(F.col("id").alias("to_id")), "to_id", "left_semi")
     return counts_reached(own, entries.join(live, "id", "left_semi"), marked, depth)
+
+
+def compared(base: tuple, head: tuple, depth: int = 8) -> DataFrame:
+    """(what, id, change): the whole comparison of two versions (nodes, edges, types or None, unresolved or None).
+
+    node and edge: added, removed, changed. type: added or removed as a whole, or one of its fields (id with its path) added,
+    removed, of another type or optionality. unresolved: rows of a service and reason that are gone or came, one row for each
+    pair. join: a node that had edges into another service or store, is still there and has none, is lost. flow: an entry
+    whose steps changed.
+    """
+    (nodes_a, edges_a, types_a, gaps_a), (nodes_b, edges_b, types_b, gaps_b) = base, head
+    row = lambda df, what, change, i=F.col("id"): df.select(F.lit(what).alias("what"), i.alias("id"), change.alias("change"))
+    own = [c for c in ("type", "kind", "label", "service") if c in nodes_a.columns]
+    key = F.concat(F.col("from_id"), F.lit(" -"), "type", F.lit("-> "), "to_id").alias("id")
+    same = [c for c in ("confidence", "params", "returns") if c in edges_a.columns and c in edges_b.columns]
+    found = [
+        row(D.diff_rows(nodes_a.select("id", *own), nodes_b.select("id", *own), ["id"], own), "node", F.col("change")),
+        row(D.diff_rows(edges_a.select(key, *same).dropDuplicates(["id"]), edges_b.select(key, *same).dropDuplicates(["id"]), ["id"], same or ["id"]), "edge", F.col("change")),
+    ]
+    if types_a is not None and types_b is not None:
+        from .contracts import declaration_changes
+
+        found.append(row(D.diff_rows(types_a.select("id").distinct(), types_b.select("id").distinct(), ["id"], ["id"]), "type", F.col("change")))
+        flat = lambda t: D.flatten_types(t.select("id", "fields"), 1)
+        found.append(row(declaration_changes(flat(types_a), flat(types_b)), "type", F.col("change"), F.concat_ws(".", "id", "path")))
+    if gaps_a is not None and gaps_b is not None:
+        bag = D.bag_difference(gaps_a, gaps_b, ["service", "reason"])
+        where = F.concat_ws("/", "service", "reason")
+        found += [row(bag.filter("gone > 0"), "unresolved", F.concat(F.lit("gone "), "gone"), where), row(bag.filter("came > 0"), "unresolved", F.concat(F.lit("came "), "came"), where)]
+    crossing = lambda e: e.filter(F.col("type").isin(*CROSSING)).select("from_id").distinct()
+    lost = D.lost_joins(crossing(edges_a), crossing(edges_b)).select(F.col("from_id").alias("id")).join(nodes_b.select("id").distinct(), "id", "left_semi")
+    found.append(row(lost, "join", F.lit("lost")))
+    flows = changed_flows((nodes_a, edges_a), (nodes_b, edges_b), depth).filter("added + removed > 0 or side <> 'both'")
+    found.append(row(flows, "flow", F.when(F.col("side") == "both", F.concat(F.lit("+"), "added", F.lit(" -"), "removed")).otherwise(F.col("side")), F.col("entry")))
+    return reduce(DataFrame.unionByName, found)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import bitmaps as B
 from ..operators import diff as D
 from ..operators import linking as L
 from ..operators.orders import numbered_over_all
@@ -102,8 +103,8 @@ def missing_sources(s, d):
 @query("gra_22_busiest", WITH + f", t as {TR}, r as (select to_id as seed, to_id as id, 0 as k from t union select r.seed, t.from_id, k + 1 from r join t on t.to_id = r.id where k < 3), m as (select seed, count(distinct id) as doors from r group by 1) select to_id as id, count(*) as in_degree, max(doors) as doors from t join m on seed = to_id group by 1")
 def busiest(s, d):
     t = V.trade_edges(s, d)
-    seeds = t.select(F.col("to_id").alias("seed"), F.col("to_id").alias("id")).distinct()
-    doors = T.reach(t, seeds, "in", None, 3, by="seed").groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("doors"))
+    ids = t.select(F.col("from_id").alias("id")).union(t.select("to_id"))
+    doors = B.ways_in(t, ids, 3).select("id", F.col("ways").alias("doors"))
     return t.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("in_degree")).join(doors, "id")
 
 

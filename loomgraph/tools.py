@@ -14,8 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import bitmaps as B
 from .operators import contracts as K
 from .operators import diff as D
+from .operators import flows as W
 from .operators import orders as O
 from .operators import rules as R
 from .operators import traverse as T
@@ -96,12 +98,25 @@ class Graph:
         return T.reach(self.edges, self._seeds(entry), "out", CROSSING if crossing else FORWARD, depth).join(self.nodes, "id")
 
     def writes_reached(self, entries: DataFrame, depth: int = 8) -> DataFrame:
-        """(entry, table): tables that are written within `depth` steps of each of entries (id); each is walked by itself."""
-        seeds = entries.select("id", F.col("id").alias("entry"))
-        near = T.reach(self.edges, seeds, "out", ("handles", "calls"), depth, by="entry")
+        """(entry, table): tables that are written within `depth` steps of each of entries (id); all are walked at once, as bitmaps."""
         op = F.col("op") if "op" in self.edges.columns else F.lit("write")
         writes = self.edges.filter((F.col("type") == "queries") & op.isin("write", "delete")).select(F.col("from_id").alias("id"), F.col("to_id").alias("table"))
-        return near.join(writes, "id").select("entry", "table").distinct()
+        return B.writes_reached(self.edges.filter(F.col("type").isin("handles", "calls")), entries, writes, depth)
+
+    def sequences(self, entries: DataFrame | None = None, depth: int = 8) -> DataFrame:
+        """(entry, place, kind, source, target, label): the steps of each entry's flow, in order; of all entries, or those given (id)."""
+        own = self.nodes.filter("type = 'entry'") if entries is None else entries
+        return W.sequences(W.flow_rows(self.edges.filter(F.col("type").isin(*FORWARD)), self.nodes, own, depth))
+
+    def flow_changes(self, base: Graph, depth: int = 8) -> DataFrame:
+        """(entry, reaches, side, same, added, removed): flows that a change since base touches, and how their steps changed."""
+        own = lambda g: (g.nodes, g.edges.filter(F.col("type").isin(*FORWARD)))
+        return W.changed_flows(own(base), own(self), depth)
+
+    def comparison(self, base: Graph, depth: int = 8) -> DataFrame:
+        """(what, id, change): all that changed since base: nodes, edges, types, rows not followed, lost joins, entries and flows."""
+        keyed = lambda g: (g.nodes, g.edges.filter(F.col("type").isin(*FORWARD)), g.types, g.unresolved)
+        return W.compared(keyed(base), keyed(self), depth)
 
     def who_emits(self, channel: str) -> DataFrame:
         return self.edges.filter((F.col("type") == "emits") & (F.col("to_id") == U.channel_id(F.lit(channel)))).select(F.col("from_id").alias("id"), "confidence").join(self.nodes, "id", "left")
