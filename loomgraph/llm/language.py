@@ -15,10 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, table
+from .common import PRE, crc_of_id, importable, table
 from .textbytes import steps, texts
 
 #: Texts for each language, about: landmarks, and further ones that the regression is fitted on.
@@ -149,15 +149,21 @@ def fit(sample: list[tuple[str, np.ndarray]], ridge: float = 0.1) -> Model:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """A model of docs' rows with a language that aren't held out; about LANDMARKS + TRAIN rows of each, by their hashes."""
+    """A model of docs' rows with a language that aren't held out: the LANDMARKS + TRAIN of each language with the least hashes.
+
+    Null texts and languages teach nothing; repeated rows count each; an empty table gives a model without languages. A hash
+    bound per language cuts hot languages before the shuffle, and ranks within a language take exactly so many of the rest.
+    """
+    importable(docs.sparkSession)
     own = docs.filter((crc_of_id() % 5 != 0) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in own.groupBy(lang).count().collect()}  # a row for each language
     goal = LANDMARKS + TRAIN
     share = F.lit(0)
     for k, n in sorted(counts.items()):
-        share = F.when(F.col(lang) == k, F.lit(min(1_000_000, -(-goal * 1_000_000 // n)))).otherwise(share)
+        share = F.when(F.col(lang) == k, F.lit(min(1 << 40, -(-4 * goal * (1 << 40) // n)))).otherwise(share)
     key = F.xxhash64("doc_id", F.lit(9))
-    picked = own.filter(F.pmod(key, F.lit(1_000_000)) < share).orderBy(key, "doc_id").limit(4 * goal * max(1, len(counts)))
+    least = F.row_number().over(Window.partitionBy(lang).orderBy(key, "doc_id"))
+    picked = own.filter(F.pmod(key, F.lit(1 << 40)) < share).withColumn(f"{PRE}n", least).filter(F.col(f"{PRE}n") <= goal)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,6 +182,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     if {"lang_pred", "score"} & set(docs.columns):
         raise ValueError("docs already has lang_pred or score")
 
+    importable(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, rows, rare = model.tables()
         names = np.array([*model.langs, UNKNOWN], object)

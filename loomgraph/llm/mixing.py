@@ -126,16 +126,17 @@ def slots(rows: DataFrame, parts: Sequence[int], short: Sequence[tuple[int, int]
     return rows.mapInArrow(run, PLACED)
 
 
-def mix(docs: DataFrame, weights: Mapping | None = None, source: str = "source", block_rows: int = 64, temperature: float = 0.5, cycle: int = 1000, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping | None = None, source: str = "source", block_rows: int = 64, temperature: float = 0.5, cycle: int = 1000, seed: int = 11, prefix: str = "") -> DataFrame:
     """All rows and columns of docs plus block (in its source), slot, release and deadline (in slots) and position (gapless).
 
     weights: by source, in any unit; sources that are missing or have none come after all others. None: rows to the power
     `temperature`. Positions follow the slots; rows of a block lie together; only a source's last block may be short. release
     and deadline are those of the block's phase. A null source is a source of its own; repeated rows stay; an empty table
     gives an empty result. The driver walks a slot for each block and holds a number or two for each source and stretch of
-    `cycle` slots: sources are counted, not their rows.
+    `cycle` slots: sources are counted, not their rows. The added columns' names begin with `prefix`.
     """
-    taken = {"block", "slot", "release", "deadline", "position"} & set(docs.columns)
+    out = {c: prefix + c for c in ("block", "slot", "release", "deadline", "position")}
+    taken = set(out.values()) & set(docs.columns)
     if taken:
         raise ValueError(f"docs already has {sorted(taken)}")
     spark = docs.sparkSession
@@ -156,13 +157,13 @@ def mix(docs: DataFrame, weights: Mapping | None = None, source: str = "source",
     steps = steps.join(sized(known, len(names), 100), "who").withColumnsRenamed({c: f"{PRE}{c}" for c in ("block", "slot", "release", "deadline", "start")})
     plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
     key = F.xxhash64(F.lit(seed), *plain)
-    placed = ranked(docs, [source], key, f"{PRE}rank", buckets_for(total, 8_000)).withColumn("block", F.floor(F.col(f"{PRE}rank") / block_rows))
-    joined = placed.join(sized(steps, sum(blocks), 100), F.col(source).eqNullSafe(F.col(f"{PRE}source")) & (F.col("block") == F.col(f"{PRE}block")), "left")
+    placed = ranked(docs, [source], key, f"{PRE}rank", buckets_for(total, 8_000)).withColumn(f"{PRE}at", F.floor(F.col(f"{PRE}rank") / block_rows))
+    joined = placed.join(sized(steps, sum(blocks), 100), F.col(source).eqNullSafe(F.col(f"{PRE}source")) & (F.col(f"{PRE}at") == F.col(f"{PRE}block")), "left")
     return joined.select(
         *docs.columns,
-        "block",
-        *[F.col(f"{PRE}{c}").alias(c) for c in ("slot", "release", "deadline")],
-        (F.col(f"{PRE}start") + F.col(f"{PRE}rank") % block_rows).alias("position"),
+        F.col(f"{PRE}at").alias(out["block"]),
+        *[F.col(f"{PRE}{c}").alias(out[c]) for c in ("slot", "release", "deadline")],
+        (F.col(f"{PRE}start") + F.col(f"{PRE}rank") % block_rows).alias(out["position"]),
     )
 
 
@@ -172,6 +173,10 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs in the order of the mix: file by file and row by row, once written."""
-    order = mix(docs)
-    return order.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    """docs in the order of the mix: file by file and row by row, once written; with their own columns, whatever these are called.
+
+    A null source is a source of its own, repeated rows stay, an empty table gives none; rows of a source that equal one another
+    may change places.
+    """
+    order, position = mix(docs, prefix=f"{PRE}mix_"), f"{PRE}mix_position"
+    return order.repartitionByRange(position).sortWithinPartitions(position).select(*docs.columns)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, table
+from .common import PRE, crc_of_id, importable, table
 from .textbytes import RUNS, ngrams, release, steps, texts, words
 
 #: Labelled rows at most that the model is fitted on: those with the smallest hashes of their ids.
@@ -138,6 +138,7 @@ def fit(sample: list[tuple[int, np.ndarray]], cost: float = 1.0, smooth: float =
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = TRAIN_ROWS) -> Model:
     """A model of the labels that aren't held out; `most` of them, by the hash of the id. A doc_id with several
     labels has the least, one with several texts the least of them."""
+    importable(docs.sparkSession)
     own = labels.filter(F.col(column).isin(0, 1) & (crc_of_id() % 4 != 2)).groupBy("doc_id").agg(F.min(column).alias("y"))
     own = own.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most)  # at most `most` rows of two numbers
     # one row an id: of repeated ids the least text counts
@@ -158,22 +159,26 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int
     return fit([got[k] for k in sorted(got)])
 
 
-def score(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
-    """All columns of docs plus score (0 to 1) and predicted (1 if score >= least). Null texts count as empty."""
-    if {"score", "predicted"} & set(docs.columns):
-        raise ValueError("docs already has score or predicted")
+def score(docs: DataFrame, model: Model, least: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of docs plus a score (0 to 1) and a prediction (1 if the score >= least), called `names`.
+
+    Null texts count as empty; repeated rows are scored alike; an empty table gives none. docs must not have those names already.
+    """
+    if set(names) & set(docs.columns):
+        raise ValueError(f"docs already has one of {names}")
+    importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = np.zeros(1 << 24, bool)
         sieve[model.grams >> np.uint32(8)] = True
         for b in batches:
             s = np.concatenate([model.scores(data, off, sieve) for _, _, data, off in steps(*texts(b.column("text")))] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= least).astype(np.int32))], schema=pa.schema([*b.schema, ("score", pa.float64()), ("predicted", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= least).astype(np.int32))], schema=pa.schema([*b.schema, (names[0], pa.float64()), (names[1], pa.int32())]))
         release()
 
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", DoubleType()).add("predicted", IntegerType()))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(names[0], DoubleType()).add(names[1], IntegerType()))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,5 +188,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects."""
-    return score(docs, train(docs, labels)).filter("predicted = 1").select(*docs.columns)
+    """docs without those that the classifier rejects, with their own columns, whatever these are called.
+
+    Null texts count as empty texts, which have a score too; of repeated rows all stay or go; null ids are scored like others
+    but never learned from; an empty table gives none.
+    """
+    names = (f"{PRE}score", f"{PRE}predicted")
+    return score(docs, train(docs, labels), names=names).filter(F.col(names[1]) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

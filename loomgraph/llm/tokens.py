@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -489,12 +490,13 @@ def read_corpus(spark: SparkSession, path: str, key: str = "doc_id", digest: boo
     # one row a shard of about rows_each documents; sums of sums keep any array small
     part = shards.withColumn("part", F.floor(F.col("shard") / 1024))
     sums = part.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    totals = [r[0] for r in sums.orderBy("part").select("n").collect()]  # one number for each 1024 shards
-    starts = [sum(totals[:i]) for i in range(len(totals))] or [0]
+    totals = sums.orderBy("part").collect()  # one row for each 1024 shards that have any
+    starts = [(r[0], s - r[1]) for r, s in zip(totals, accumulate(r[1] for r in totals), strict=True)]
+    firsts = sized(spark.createDataFrame(starts, "part long, first long"), len(starts), 16)
     arrays = part.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("shard", "n_ids"))).alias("s"))
-    base = arrays.select("part", "s", F.posexplode("s").alias("p", "x")).select(
+    base = arrays.join(firsts, "part").select("first", "s", F.posexplode("s").alias("p", "x")).select(
         F.col("x.shard").alias("shard"),
-        (F.expr("aggregate(slice(s, 1, p), 0L, (a, y) -> a + y.n_ids)") + F.element_at(F.lit(starts), F.col("part").cast("int") + 1)).alias("base"),
+        (F.expr("aggregate(slice(s, 1, p), 0L, (a, y) -> a + y.n_ids)") + F.col("first")).alias("base"),
     )
 
     blocks = payload.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("block", "n_ids"))).alias("b"))
