@@ -48,17 +48,20 @@ STATEMENTS = dict(
         "'call something(' || o_custkey || ')'",
     ),
 )
-TABLE = r"""((?:"[^"]+"|`[^`]+`|\[[^\]]+\]|[a-z_][\w$]*)(?:\.(?:"[^"]+"|[a-z_][\w$]*))?)"""
+#: Statements cut into tokens, and what their neighbours say; i counts tokens from 1.
+TOKENS_SQL = r"""select k, list_transform(regexp_extract_all(t, '--[^\n]*|''[^'']*''|"[^"]*"|`[^`]*`|\[[^\]]*\]|\w[\w$]*|\S'), lambda x: case when regexp_matches(x, '^\w') then lower(x) else x end) as t from s"""
+FOUND_SQL = r"""select *, list_filter(range(1, len(t) + 1), lambda i: t[i] in ('from', 'join') or (t[i] = 'into' and t[i - 1] = 'insert') or t[i] in ('update', 'truncate')) as named,
+  list_filter(range(1, len(t) + 1), lambda i: coalesce(t[i - 1] in ('with', 'recursive', ','), false) and regexp_matches(t[i], '^[a-z_]') and (t[i + 1] = 'as' or (t[i + 1] = '(' and list_contains(t[i:], 'as') and t[i + list_position(t[i:], ')')] = 'as'))) as defined,
+  list_filter(range(1, len(t) + 1), lambda i: t[i] in ('select', 'insert', 'update', 'delete') and t[i - 1] = ')') as verbs from x"""
 
 
 @query(
     "fn_14_statements",
-    f"with s as ({said('orders', **STATEMENTS)}), l as (select k, t, lower(t) as x from s)"
-    r""" select k, case when regexp_matches(x, '^\s*(with.*\)\s*)?select\b') then 'read' when regexp_matches(x, '^\s*(insert\s+into|update)\b') then 'write' when regexp_matches(x, '^\s*(delete\s+from|truncate)\b') then 'delete' end as operation,
-      list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(x, '\b(?:from|join|insert\s+into|update|truncate(?:\s+table)?)\s+"""
-    + TABLE
-    + r"""', 1), lambda v: regexp_extract(regexp_replace(v, '["`\[\]]', '', 'g'), '([^.]*)$', 1)), lambda v: not list_contains(regexp_extract_all(x, '(?:\bwith\s+|,\s*)(\w+)(?:\s*\([^()]*\)\s*|\s+)as\s*(?:materialized\s*)?\(', 1), v)))) as tables,
-      regexp_matches(x, '\b(in|any|unnest)\s*\(') or regexp_matches(x, '\bvalues\s*\([^()]*\)\s*,\s*\(') as batch, starts_with(x, 'update') and (x like '%where%and state =%' or x like '%returning%') as conditional from l""",
+    f"with s as ({said('orders', **STATEMENTS)}), x as ({TOKENS_SQL}), f as ({FOUND_SQL})"
+    r""" select k, case case when t[1] = 'with' then t[verbs[1]] else t[1] end when 'select' then 'read' when 'insert' then 'write' when 'update' then 'write' when 'delete' then 'delete' when 'truncate' then 'delete' end as operation,
+      list_sort(list_distinct(list_filter(list_transform(named, lambda i: lower(replace(replace(replace(replace(case when t[i + 2] = '.' then t[i + 3] when t[i] = 'truncate' and t[i + 1] = 'table' then t[i + 2] else t[i + 1] end, '"', ''), '`', ''), '[', ''), ']', ''))), lambda v: not list_contains(list_transform(defined, lambda i: t[i]), v)))) as tables,
+      len(list_filter(range(1, len(t)), lambda i: (t[i] in ('in', 'any', 'unnest') and t[i + 1] = '(') or (t[i] = ')' and t[i + 1] = ',' and t[i + 2] = '(' and list_contains(t, 'values')))) > 0 as batch,
+      t[1] = 'update' and (list_contains(t, 'returning') or len(list_filter(range(1, len(t)), lambda i: t[i] = 'and' and t[i + 2] = '=' and list_position(t, 'where') < i)) > 0) as conditional from f""",
 )
 def statements(s, d):
     t = F.col("t")
@@ -71,11 +74,18 @@ NAMES = dict(
 )
 
 
+#: Stated once more, so that a wrong list shows; words begin at a capital after another letter, before a small one, or after a sign.
+STEMS_SQL = "['auth', 'verif', 'permission', 'access', 'allowed', 'entitle', 'role', 'member', 'employee', 'session', 'token', 'signature', 'credential']"
+OPEN_SQL = "(public|anonymous|allow-?_?anon|guest|unauthenticated|no[_-]?auth|skip[_-]?auth|without[_-]?auth|open[_-]?access)"
+SKIPS_SQL = "(skip|bypass|ignore|exclude|exempt|disable|optional|allow|without|public|anonymous|guest|unauth|no[_-]?auth|open[_-]?access)"
+
+
 @query(
     "fn_18_access_names",
-    f"with n as ({said('customer', **NAMES)}) select k, regexp_matches(lower(name), '{S.PUBLIC_WORDS}') as public, regexp_matches(lower(name), '{S.OPT_OUT_WORDS}') as opt_out, "
-    r"len(list_filter(string_split_regex(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), "
-    f"lambda w: regexp_matches(lower(w), '^({S.AUTH_STEMS})'))) > 0 as auth_check from n",
+    f"with n as ({said('customer', **NAMES)}), c as (select *, string_split(name, '') as c from n)"
+    f" select k, regexp_matches(lower(name), '{OPEN_SQL}') as public, regexp_matches(lower(name), '{SKIPS_SQL}') as opt_out,"
+    " len(list_filter(range(1, len(c) + 1), lambda i: (i = 1 or not regexp_matches(c[i - 1], '[A-Za-z]') or (regexp_matches(c[i], '[A-Z]') and (regexp_matches(c[i - 1], '[a-z]') or coalesce(regexp_matches(c[i + 1], '[a-z]'), false))))"
+    f" and len(list_filter({STEMS_SQL}, lambda s: starts_with(lower(substr(name, i::int)), s))) > 0)) > 0 as auth_check from c",
 )
 def access_names(s, d):
     n = F.col("name")
@@ -100,7 +110,7 @@ ROUTE_FACTS = dict(
     "gra_05_route_facts",
     f"with r as ({said('part', **ROUTE_FACTS)}), x as (select *, lower(regexp_extract(path, '([^/]*)$', 1)) as last, list_filter(string_split(lower(path), '/'), lambda v: v <> '') as p from r),"
     r""" n as (select *, list_filter(p, lambda v: v in ('webhook', 'webhooks', 'hooks', 'callback', 'callbacks') or (v in ('notify', 'notifications') and method <> 'GET'))[1] as got,
-      case when regexp_matches(handler, '(^w|W)ebhooks?$|^handleWebhook([A-Z]|$)') then 'webhook' when regexp_matches(handler, '(^c|C)allbacks?$|^onCallback([A-Z]|$)') then 'callback' when regexp_matches(handler, '(^p|P)robe$') then 'probe'
+      case when suffix(handler, 'Webhook') then 'webhook' when starts_with(handler, 'onCallback') then 'callback' when suffix(handler, 'Probe') then 'probe'
         when controller = 'HealthController' then 'probe' when controller = 'PaymentsCallbackController' then 'callback' end as named from x),
     c as (select *, case when path like '/public/%' then 'declared||configuration' when public_note is not null then 'declared||note'
       when path like '/internal/%' or decorator = 'Cron' or coalesce(controller, '') || '.' || coalesce(handler, '') = 'OrdersController.get' then 'infrastructure|configured|configuration'
