@@ -198,48 +198,50 @@ def _literal(v: Column) -> Column:
 
 
 def opened(nodes: DataFrame) -> DataFrame:
-    """Schema nodes with what they are: `text` where that is known at once, else `joint` and children; `type_kind` where one is a type."""
+    """Schema nodes with what they are: `text` where that is known at once, else `joint` and children; `type_kind` where one is a type.
+
+    What is asked more than once of a schema is a column of its own for a while, so it is worked out, and compiled, once.
+    """
     s = F.col("s")
-    ref = text_at(s, "$['$ref']")
-    plain, several = text_at(s, "$.type"), at(s, "$.type", "array<string>")
-    kinds = F.when(F.coalesce(kind_of(at(s, "$.type")).startswith("ARRAY"), F.lit(False)), several).otherwise(F.array(plain))
-    solid = F.filter(kinds, lambda k: k.isNotNull() & (k != "null"))
-    kind = F.coalesce(F.get(solid, F.lit(0)), F.get(kinds, F.lit(0)))
-    nullable = F.coalesce(at(s, "$.nullable", "boolean"), F.lit(False)) | (F.array_contains(kinds, "null") & (F.size(solid) > 0))
-    members = {c: items(s, f"$.{c}") for c in ("allOf", "oneOf", "anyOf")}
-    composed = F.when(F.size(members["allOf"]) > 0, "allOf").when(F.size(members["oneOf"]) > 0, "oneOf").when(F.size(members["anyOf"]) > 0, "anyOf")
-    enum = F.transform(items(s, "$.enum"), _literal)
-    is_enum, full = F.size(enum) > 0, ~F.exists(enum, lambda x: x.isNull())
-    properties = at(s, "$.properties", "map<string,variant>")
+    typed = at(s, "$.type")
+    own = nodes.withColumns({
+        "_ref": text_at(s, "$['$ref']"), "_kinds": F.when(F.coalesce(kind_of(typed).startswith("ARRAY"), F.lit(False)), at(s, "$.type", "array<string>")).otherwise(F.array(text_at(s, "$.type"))),
+        "_all": items(s, "$.allOf"), "_one": items(s, "$.oneOf"), "_any": items(s, "$.anyOf"), "_enum": F.transform(items(s, "$.enum"), _literal), "_item": at(s, "$.items"),
+        "_props": at(s, "$.properties", "map<string,variant>"), "_need": F.coalesce(at(s, "$.required", "array<string>"), F.array().cast("array<string>")),
+        "_loose": F.coalesce(at(s, "$.nullable", "boolean"), F.lit(False)),
+    })
+    own = own.withColumns({"_solid": F.filter("_kinds", lambda k: k.isNotNull() & (k != "null")), "_names": F.array_sort(F.map_keys("_props"))})
+    own = own.withColumn("_kind", F.coalesce(F.get("_solid", F.lit(0)), F.get("_kinds", F.lit(0))))
     component = F.col("role") == "component"
+    is_enum, full, has = F.size("_enum") > 0, ~F.exists("_enum", lambda x: x.isNull()), F.col("_props").isNotNull()
     # a named schema is an enum or an object before it is anything else; others are what they refer to first
-    what = F.when(component, F.when(is_enum, "enum").when(properties.isNotNull(), "object").otherwise("alias")).otherwise(
-        F.when(ref.isNotNull(), "ref").when(composed.isNotNull(), composed).when(is_enum & full, "literals").when(kind == "array", "array")
-        .when(properties.isNotNull(), "object").when(kind == "object", "empty").otherwise("scalar")
+    what = F.when(component, F.when(is_enum, "enum").when(has, "object").otherwise("alias")).otherwise(
+        F.when(F.col("_ref").isNotNull(), "ref").when(F.size("_all") > 0, "allOf").when(F.size("_one") > 0, "oneOf").when(F.size("_any") > 0, "anyOf")
+        .when(is_enum & full, "literals").when(F.col("_kind") == "array", "array").when(has, "object").when(F.col("_kind") == "object", "empty").otherwise("scalar")
     )
+    nullable = ~component & (F.col("_loose") | (F.array_contains("_kinds", "null") & (F.size("_solid") > 0)))
+    own = own.withColumns({"what": what, "nullable": F.coalesce(nullable, F.lit(False))})
     type_id = F.concat(F.lit("type:"), "service", F.lit("#"), "name")
-    w = F.col("what")
+    w, name = F.col("what"), F.col("name")
     text = (
         F.when(w == "ref", F.when(F.col("_ref").startswith(SCHEMAS), F.concat(F.lit("type:"), "service", F.lit("#"), F.substring("_ref", len(SCHEMAS) + 1, 1 << 20))).otherwise(UNKNOWN))
         .when(w == "literals", F.array_join("_enum", " | ")).when(w == "empty", "object").when(w.isin("object", "enum"), type_id)
         .when(w == "scalar", F.coalesce(_table(SCALARS, F.col("_kind")), F.lit(UNKNOWN)))
     )
-    required = F.coalesce(at(s, "$.required", "array<string>"), F.array().cast("array<string>"))
-    name = F.col("name")
-    names = F.array_sort(F.map_keys(properties))
     child = lambda i, role, k, n, opt, v: F.struct(i.cast("int").alias("ord"), F.lit(role).alias("role"), k.cast("string").alias("key"), n.alias("name"), opt.alias("optional"), v.alias("s"))
     none, no = F.lit(None), F.lit(False)
-    children = F.when(w == "object", F.transform(names, lambda k, i: child(i, "field", k, F.concat(name, _capital(k)), ~F.array_contains(required, k), properties[k])))
-    for c in ("allOf", "oneOf", "anyOf"):
-        children = children.when(w == c, F.transform(members[c], lambda v, i: child(i, "member", none, F.concat(name, (i + 1).cast("string")), no, v)))
-    item = at(s, "$.items")
-    children = children.when((w == "array") & item.isNotNull(), F.array(child(F.lit(0), "member", none, F.concat(name, F.lit("Item")), no, item)))
-    children = children.when(w == "alias", F.array(child(F.lit(0), "alias", none, F.concat(name, F.lit("Alias")), no, s)))
-    out = nodes.withColumns({"what": what, "_ref": ref, "_enum": enum, "_kind": kind, "nullable": nullable & ~component})
-    out = out.withColumns({"text": text, "children": F.coalesce(children.cast(CHILD), F.array().cast(CHILD))})
-    members_of = F.when(w == "enum", F.filter("_enum", lambda x: x.isNotNull()))
-    out = out.withColumn("type_kind", F.when(w.isin("object", "enum"), w).when(w == "alias", UNKNOWN)).withColumn("members", members_of)
-    return out.withColumn("type_id", F.when(F.col("type_kind").isNotNull(), type_id)).drop("_ref", "_enum", "_kind", "s")
+    several = F.when(w == "allOf", F.col("_all")).when(w == "oneOf", F.col("_one")).when(w == "anyOf", F.col("_any"))
+    children = (
+        F.when(w == "object", F.transform("_names", lambda k, i: child(i, "field", k, F.concat(name, _capital(k)), ~F.array_contains("_need", k), F.col("_props")[k])))
+        .when(w.isin("allOf", "oneOf", "anyOf"), F.transform(several, lambda v, i: child(i, "member", none, F.concat(name, (i + 1).cast("string")), no, v)))
+        .when((w == "array") & F.col("_item").isNotNull(), F.array(child(F.lit(0), "member", none, F.concat(name, F.lit("Item")), no, F.col("_item"))))
+        .when(w == "alias", F.array(child(F.lit(0), "alias", none, F.concat(name, F.lit("Alias")), no, s)))
+    )
+    out = own.withColumns({
+        "text": text, "children": F.coalesce(children.cast(CHILD), F.array().cast(CHILD)), "type_kind": F.when(w.isin("object", "enum"), w).when(w == "alias", UNKNOWN),
+        "members": F.when(w == "enum", F.filter("_enum", lambda x: x.isNotNull())),
+    })
+    return out.withColumn("type_id", F.when(F.col("type_kind").isNotNull(), type_id)).drop("s", *[c for c in out.columns if c.startswith("_")])
 
 
 def schemas(roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
