@@ -11,6 +11,7 @@ from ..operators import telemetry as TM
 from ..sources import declared as DC
 from ..sources import graphs as G
 from ..sources import more_traces as MT
+from ..sources import registry as TF
 from ..sources import traces as TR
 from ..sources import views as V
 from ..store import shared_dir
@@ -167,6 +168,63 @@ def sniffed(s, d):
     return n.select(MT.format_of(text).alias("format")).groupBy("format").agg(F.count("*").alias("documents"))
 
 
+MIXED = ("otlp", "zipkin", "jaeger", "har", "access", "report", "agent", "xray", "history", "none")
+
+
+def mixed_folder(s, d):
+    """A folder of files in nine formats and one of none: each event is a line of its format's files; segments are nested eight deep."""
+    e = V.read(s, d, "events").select("event_id", (F.col("event_id") % 10).cast("int").alias("k"), F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"))
+    nanos = lambda c: (c * 1_000_000).cast("string")
+    attribute_of = attribute("http.response.status_code", F.col("status"))
+    micros = F.col("ms") * 1000
+    segment = F.to_json(F.struct(F.concat("id", F.lit(".8")).alias("id"), F.lit("leaf").alias("name"), (F.col("ms") / 1000).alias("start_time")))
+    for n in range(7, -1, -1):
+        head = F.concat(F.lit('{"id":"'), "id", F.lit(f".{n}" if n else ""), F.lit('","trace_id":"t","name":"n","start_time":'), (F.col("ms") / 1000).cast("string"), F.lit(',"http":{"response":{"status":'), F.col("status").cast("string"), F.lit('}},"subsegments":['))
+        segment = F.concat(head, segment, F.lit("]}"))
+    texts = {
+        "otlp": F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(F.struct(F.lit("t").alias("traceId"), F.col("id").alias("spanId"), nanos(F.col("ms")).alias("startTimeUnixNano"), nanos(F.col("ms")).alias("endTimeUnixNano"), F.array(attribute_of).alias("attributes"))).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))),
+        "zipkin": F.to_json(F.array(F.struct(F.lit("t").alias("traceId"), "id", micros.alias("timestamp"), F.struct(F.lit("a").alias("serviceName")).alias("localEndpoint"), F.create_map(F.lit("http.status_code"), F.col("status").cast("string")).alias("tags")))),
+        "jaeger": F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.lit("t").alias("traceID"), F.col("id").alias("spanID"), F.lit("p").alias("processID"), micros.alias("startTime"), F.array(F.struct(F.lit("http.status_code").alias("key"), F.col("status").cast("string").alias("value"))).alias("tags"))).alias("spans"), F.create_map(F.lit("p"), F.struct(F.lit("a").alias("serviceName"))).alias("processes"))).alias("data"))),
+        "har": F.concat(F.lit('{"log":{"entries":[{"startedDateTime":"'), F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), F.lit('","time":1,"request":{"method":"GET","url":"https://a/x","headers":[{"name":"traceparent","value":"00-'), F.lpad("event_id", 32, "0"), F.lit("-"), F.lpad("event_id", 16, "0"), F.lit('-01"}]},"response":{"status":'), F.col("status").cast("string"), F.lit("}}]}}")),
+        "access": F.to_json(F.struct(F.col("id").alias("requestId"), F.col("ms").cast("string").alias("requestTimeEpoch"), F.col("status").cast("string").alias("status"))),
+        "report": F.concat(F.lit("REPORT RequestId: "), "id", F.lit(" Duration: 1.5 ms")),
+        "agent": F.to_json(F.struct(F.lit("a").alias("service"), F.lit("t").alias("trace"), F.array(F.struct("id", F.col("ms").alias("start"), "status")).alias("records"))),
+        "xray": segment,
+        "history": F.concat(F.lit('{"executionArn":"'), "id", F.lit('","events":[{"id":1,"type":"TaskStateEntered","timestamp":"2024-01-01T00:00:00Z","stateEnteredEventDetails":{"name":"A"}}]}')),
+        "none": F.concat(F.lit("nothing known "), "id"),
+    }
+    base = f"{shared_dir(s)}/loomgraph/mixed-{uuid.uuid4().hex}"
+    for n, kind in enumerate(MIXED):
+        e.filter(F.col("k") == n).select(texts[kind].alias("value")).write.text(f"{base}/{kind}")
+    return base
+
+
+MIXED_SQL = """with e as (select event_id, 's' || event_id as id, epoch_us(ts) // 1000 as ms, case when event_type = 'error' then 500 else 200 end as status, ['otlp', 'zipkin', 'jaeger', 'har', 'access', 'report', 'agent', 'xray', 'history', 'none'][event_id % 10 + 1] as format from events)
+    select format, case format when 'har' then lpad(event_id::varchar, 16, '0') when 'history' then id || '/1' else id end as span_id, case format when 'report' then null when 'history' then 1704067200000 else ms end as at_ms, case when format not in ('report', 'history') then status end as status from e where format <> 'none'
+    union all select format, id || '.' || n, ms, case when n < 8 then status end from e, range(1, 9) r(n) where format = 'xray'"""
+
+
+@query("src_07_mixed_folder", MIXED_SQL)
+def mixed_spans(s, d):
+    """One folder of all formats read at once: the format of each file is told by its text."""
+    spans, _ = TF.read_any(s, mixed_folder(s, d))
+    return spans.select("format", "span_id", F.unix_millis("at").alias("at_ms"), "status")
+
+
+@query("src_07_mixed_stream", MIXED_SQL)
+def mixed_stream(s, d):
+    """The same folder as a stream of files, five a batch, written batch by batch and read back."""
+    out = TF.stream_any(s, mixed_folder(s, d), files=5)
+    return s.read.parquet(f"{out}/spans").select("format", "span_id", F.unix_millis("at").alias("at_ms"), "status")
+
+
+@query("src_07_unread_files", "select count(*) > 0 as found, 'no known format' as problem from events where event_id % 10 = 9")
+def unread_files(s, d):
+    """Files without a known format are rows with a reason."""
+    _, problems = TF.read_any(s, mixed_folder(s, d))
+    return problems.groupBy("problem").agg((F.count("*") > 0).alias("found"))
+
+
 @query("src_20_globs", f"select pattern, count(*) as n from (values ('services/*/traces/*.json', '^services/[^/]*/traces/[^/]*\\.json$'), ('services/**/svc?.json', '^services/(.*/)?svc[^/]\\.json$'), ('**/1*.json', '^(.*/)?1[^/]*\\.json$')) g(pattern, re) join (select distinct 'services/' || service || '/traces/' || trace_id || '.json' as p from ({RAW_SQL}) union select distinct 'services/a/b/' || service || '.json' from ({RAW_SQL}) union select distinct 'x/' || user_id || '.json' from events) on regexp_matches(p, re) group by 1")
 def globs(s, d):
     r = raw(s, d)

@@ -11,41 +11,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import importable
-from .traces import HAR, _path, _spans
+from ..store import importable, materialise
+from .traces import HAR, _file, _path, _spans
 
 _PART = (
-    "id:string,parent_id:string,trace_id:string,name:string,namespace:string,start_time:double,end_time:double,fault:boolean,"
-    "http:struct<request:struct<method:string,url:string>,response:struct<status:int>>"
+    "struct<id:string,parent_id:string,trace_id:string,name:string,namespace:string,start_time:double,end_time:double,fault:boolean,"
+    "http:struct<request:struct<method:string,url:string>,response:struct<status:int>>,subsegments:array<variant>>"
 )
 
 
-def _segment(depth: int) -> str:
-    """The fields of a segment with `depth` levels of subsegments."""
-    return f"{_PART},subsegments:array<struct<{_segment(depth - 1)}>>" if depth else _PART
+def xray(spark: SparkSession, path: str) -> DataFrame:
+    """Segments, one JSON object a line, and their subsegments to any depth."""
+    return xray_spans(spark.read.text(path).select(F.try_parse_json("value").alias("v")))
 
 
-def xray(spark: SparkSession, path: str, depth: int = 6) -> DataFrame:
-    """Segments, one JSON object a line, and their subsegments to `depth`, each under its parent; deeper ones aren't read.
+def xray_spans(doc: DataFrame) -> DataFrame:
+    """Spans of segments (v, a VARIANT) and of all that is nested in them, each under its parent.
 
-    A level is one explode of the level above; the parent's id and trace go along.
+    A level is one explode of the level above, written before the next one; the parent's id and trace go along. It ends with the
+    deepest segment, whatever its depth.
     """
-    level = spark.read.text(path).select(F.from_json("value", f"struct<{_segment(depth)}>").alias("s")).filter("s.id is not null")
-    level = level.select("s", F.col("s.trace_id").alias("trace"), F.col("s.parent_id").alias("parent"))
-    out = None
-    for k in range(depth + 1):
+    f = _file(doc)
+    level = doc.select(*f, F.try_variant_get("v", "$", _PART).alias("s")).filter("s.id is not null")
+    level, out = level.select(*f, "s", F.col("s.trace_id").alias("trace"), F.col("s.parent_id").alias("parent"), F.lit(True).alias("top")), None
+    while True:
+        level = materialise(level, "segments")
+        if out is not None and level.isEmpty():
+            return out
         s = F.col("s")
         millis = lambda c: F.timestamp_millis(F.round(c * 1000).cast("long"))
         fault = F.coalesce(s["fault"], F.lit(False)) | F.coalesce(s["http"]["response"]["status"] >= 500, F.lit(False))
-        kind = F.lit("server") if k == 0 else F.when(s["namespace"].isin("remote", "aws"), "client").otherwise("internal")
+        kind = F.when(F.col("top"), "server").when(s["namespace"].isin("remote", "aws"), "client").otherwise("internal")
         rows = _spans(
             level, trace_id=F.col("trace"), span_id=s["id"], parent_id=F.col("parent"), service=s["name"], kind=kind, method=s["http"]["request"]["method"], path=_path(s["http"]["request"]["url"]),
             destination=F.when(kind == "client", s["name"]), at=millis(s["start_time"]), status=s["http"]["response"]["status"], duration_ms=F.round((s["end_time"] - s["start_time"]) * 1000, 3), error=fault,
         )
         out = rows if out is None else out.unionByName(rows)
-        if k < depth:
-            level = level.select(F.explode("s.subsegments").alias("s"), "trace", F.col("s.id").alias("parent"))
-    return out
+        below = level.select(*f, F.explode("s.subsegments").alias("v"), "trace", F.col("s.id").alias("parent"))
+        level = below.select(*f, F.try_variant_get("v", "$", _PART).alias("s"), "trace", "parent", F.lit(False).alias("top")).filter("s is not null")
 
 
 HISTORY = "executionArn string, events array<struct<id:long,previousEventId:long,type:string,timestamp:string,stateEnteredEventDetails:struct<name:string>>>"
@@ -56,8 +59,13 @@ def state_machine(spark: SparkSession, path: str) -> DataFrame:
 
     A state's end is the next exit of that name in the execution; all of an execution's events are one row's array, so no shuffle.
     """
-    doc = spark.read.schema(HISTORY).json(path).withColumn("e", F.array_sort(F.transform("events", lambda x: F.struct(x["id"].alias("id"), x["type"].alias("type"), x["timestamp"].alias("at"), x["stateEnteredEventDetails"]["name"].alias("name")))))
-    entered = doc.select("executionArn", "e", F.explode(F.filter("e", lambda x: x["type"].endswith("StateEntered"))).alias("s"))
+    return history_spans(spark.read.schema(HISTORY).json(path))
+
+
+def history_spans(doc: DataFrame) -> DataFrame:
+    f = _file(doc)
+    doc = doc.withColumn("e", F.array_sort(F.transform("events", lambda x: F.struct(x["id"].alias("id"), x["type"].alias("type"), x["timestamp"].alias("at"), x["stateEnteredEventDetails"]["name"].alias("name")))))
+    entered = doc.select(*f, "executionArn", "e", F.explode(F.filter("e", lambda x: x["type"].endswith("StateEntered"))).alias("s"))
     after = F.filter("e", lambda x: x["id"] > F.col("s")["id"])
     end = F.try_element_at(F.filter(after, lambda x: x["type"].endswith("StateExited") & x["name"].eqNullSafe(F.col("s")["name"])), F.lit(1))
     met = entered.withColumn("end", end).withColumn("bad", F.exists(after, lambda x: x["type"].rlike("(Failed|TimedOut|Aborted)$") & (F.col("end").isNull() | (x["id"] < F.col("end")["id"]))))
@@ -73,7 +81,11 @@ BATCH = "service string, trace string, records array<struct<id:string,parent:str
 
 def framework(spark: SparkSession, path: str) -> DataFrame:
     """Batches of an in-process agent, one a line: handlers are server spans, clients client spans, all else internal."""
-    r = spark.read.schema(BATCH).json(path).select("service", "trace", F.explode("records").alias("r"))
+    return framework_spans(spark.read.schema(BATCH).json(path))
+
+
+def framework_spans(doc: DataFrame) -> DataFrame:
+    r = doc.select(*_file(doc), "service", "trace", F.explode("records").alias("r"))
     kind = F.when(F.col("r.kind").isin("handler", "request"), "server").when(F.col("r.kind").isin("client", "fetch"), "client").otherwise("internal")
     return _spans(
         r, trace_id=F.col("trace"), span_id=F.col("r.id"), parent_id=F.col("r.parent"), service=F.col("service"), kind=kind, method=F.upper("r.method"), path=_path(F.col("r.path")), at=F.timestamp_millis("r.start"),

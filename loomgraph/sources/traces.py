@@ -35,7 +35,12 @@ def _spans(df: DataFrame, **c: Column) -> DataFrame:
     none = F.lit(None)
     kinds = {"at": "timestamp", "status": "int", "duration_ms": "double", "error": "boolean"}
     names = ("trace_id", "span_id", "parent_id", "service", "kind", "method", "route", "path", "destination", "at", "status", "duration_ms", "error")
-    return df.select(*[c.get(n, none).cast(kinds.get(n, "string")).alias(n) for n in names])
+    return df.select(*_file(df), *[c.get(n, none).cast(kinds.get(n, "string")).alias(n) for n in names])
+
+
+def _file(df: DataFrame) -> list[str]:
+    """The column that says which file a document came from, where there is one."""
+    return [c for c in ("file",) if c in df.columns]
 
 
 def _first(m: Column, *keys: str) -> Column:
@@ -47,9 +52,14 @@ def _path(url: Column) -> Column:
 
 
 def otlp(spark: SparkSession, path: str) -> DataFrame:
-    doc = spark.read.schema(OTLP).json(path)
-    r = doc.select(F.explode("resourceSpans").alias("r")).select(_attributes(F.col("r.resource.attributes")).alias("res"), F.explode("r.scopeSpans").alias("s"))
-    x = r.select("res", F.explode("s.spans").alias("x")).withColumn("a", _attributes(F.col("x.attributes")))
+    return otlp_spans(spark.read.schema(OTLP).json(path))
+
+
+def otlp_spans(doc: DataFrame) -> DataFrame:
+    """Spans of documents parsed as OTLP; the same holds for the other formats' functions of this kind."""
+    f = _file(doc)
+    r = doc.select(*f, F.explode("resourceSpans").alias("r")).select(*f, _attributes(F.col("r.resource.attributes")).alias("res"), F.explode("r.scopeSpans").alias("s"))
+    x = r.select(*f, "res", F.explode("s.spans").alias("x")).withColumn("a", _attributes(F.col("x.attributes")))
     a = F.col("a")
     number = F.regexp_extract(F.col("x.kind"), r"^(\d+)$", 1).try_cast("int")
     kind = F.coalesce(F.try_element_at(F.array(*[F.lit(k) for k in KINDS]), number), F.lower(F.regexp_extract("x.kind", r"^SPAN_KIND_(\w+)$", 1)))
@@ -63,7 +73,11 @@ def otlp(spark: SparkSession, path: str) -> DataFrame:
 
 def zipkin(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """lines: a document a line, not a file."""
-    x, tags = spark.read.schema(ZIPKIN).option("multiLine", not lines).json(path), F.col("tags")
+    return zipkin_spans(spark.read.schema(ZIPKIN).option("multiLine", not lines).json(path))
+
+
+def zipkin_spans(x: DataFrame) -> DataFrame:
+    tags = F.col("tags")
     return _spans(
         x, trace_id=F.col("traceId"), span_id=F.col("id"), parent_id=F.col("parentId"), service=F.col("localEndpoint.serviceName"), kind=F.lower(F.coalesce("kind", F.lit("internal"))), method=_first(tags, "http.method"), route=_first(tags, "http.route"),
         path=_path(_first(tags, "http.path", "http.url")), at=F.timestamp_micros("timestamp"), status=_first(tags, "http.status_code").try_cast("int"), duration_ms=F.col("duration") / 1000, error=F.coalesce(_first(tags, "error") != "false", F.lit(False)),
@@ -72,8 +86,13 @@ def zipkin(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
 def jaeger(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """lines: a document a line, not a file."""
-    d = spark.read.schema(JAEGER).option("multiLine", not lines).json(path).select(F.explode("data").alias("d"))
-    x = d.select(F.explode("d.spans").alias("x"), F.col("d.processes").alias("p")).withColumn("t", F.map_from_entries(F.transform("x.tags", lambda t: F.struct(t["key"], t["value"]))))
+    return jaeger_spans(spark.read.schema(JAEGER).option("multiLine", not lines).json(path))
+
+
+def jaeger_spans(doc: DataFrame) -> DataFrame:
+    f = _file(doc)
+    d = doc.select(*f, F.explode("data").alias("d"))
+    x = d.select(*f, F.explode("d.spans").alias("x"), F.col("d.processes").alias("p")).withColumn("t", F.map_from_entries(F.transform("x.tags", lambda t: F.struct(t["key"], t["value"]))))
     t = F.col("t")
     parent = F.filter("x.references", lambda r: r["refType"] == "CHILD_OF")
     return _spans(
@@ -84,7 +103,11 @@ def jaeger(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
 def har(spark: SparkSession, path: str) -> DataFrame:
     """Requests of browser archives (gzip by file name), each a client span of its own; a traceparent header gives trace and parent."""
-    e = spark.read.schema(HAR).option("multiLine", True).json(path).select(F.explode("log.entries").alias("e"))
+    return har_spans(spark.read.schema(HAR).option("multiLine", True).json(path))
+
+
+def har_spans(doc: DataFrame) -> DataFrame:
+    e = doc.select(*_file(doc), F.explode("log.entries").alias("e"))
     header = F.try_element_at(F.filter("e.request.headers", lambda h: F.lower(h["name"]) == "traceparent"), F.lit(1))["value"]
     own = F.sha2(F.to_json("e"), 256)
     return _spans(
@@ -95,8 +118,11 @@ def har(spark: SparkSession, path: str) -> DataFrame:
 
 def access_log(spark: SparkSession, path: str) -> DataFrame:
     """Gateway access logs, one JSON object a line; the usual spellings of each key."""
-    m = spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("m")).filter("m is not null")
-    m, c = m, F.col("m")
+    return access_spans(spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("m")).filter("m is not null"))
+
+
+def access_spans(m: DataFrame) -> DataFrame:
+    c = F.col("m")
     when = _first(c, "requestTimeEpoch").try_cast("long")
     return _spans(
         m, trace_id=_first(c, "xrayTraceId", "requestId"), span_id=_first(c, "requestId", "extendedRequestId"), service=_first(c, "apiId", "domainName"), kind=F.lit("server"), method=F.upper(_first(c, "httpMethod", "method")),
@@ -106,7 +132,11 @@ def access_log(spark: SparkSession, path: str) -> DataFrame:
 
 def report_log(spark: SparkSession, path: str) -> DataFrame:
     """Function REPORT lines: request id and duration."""
-    t = spark.read.text(path).filter(F.col("value").contains("REPORT RequestId:"))
+    return report_spans(spark.read.text(path))
+
+
+def report_spans(lines: DataFrame) -> DataFrame:
+    t = lines.filter(F.col("value").contains("REPORT RequestId:"))
     part = lambda p: F.regexp_extract("value", p, 1)
     return _spans(t, trace_id=part(r"RequestId: (\S+)"), span_id=part(r"RequestId: (\S+)"), kind=F.lit("server"), duration_ms=part(r"Duration: ([\d.]+) ms").try_cast("double"), error=F.col("value").rlike(r"Status: (error|timeout)"))
 
@@ -117,36 +147,11 @@ def csv_log(spark: SparkSession, path: str) -> DataFrame:
     return c.select(F.to_timestamp(F.col("`@timestamp`")).alias("at"), F.col("`@message`").alias("message"))
 
 
-READERS = {"otlp": otlp, "zipkin": zipkin, "jaeger": jaeger, "har": har, "access": access_log, "report": report_log}
-
-
-def sniff(head: str) -> str | None:
-    """The format of a document by its first characters; the first that fits."""
-    marks = (("otlp", '"resourceSpans"'), ("jaeger", '"processes"'), ("har", '"entries"'), ("zipkin", '"localEndpoint"'), ("report", "REPORT RequestId:"), ("access", '"requestId"'))
-    return next((n for n, m in marks if m in head), None)
-
-
-def formats(spark: SparkSession, paths: list[str], head: int = 65536) -> dict[str, str | None]:
-    """The format of each file by its first `head` characters; None where no mark is in them."""
-    out: dict[str, str | None] = {}
-    for p in paths:
-        # by Spark's reader: the store may not be one that open() can read
-        first = spark.read.option("lineSep", "\0").text(p).select(F.left("value", F.lit(head)).alias("h")).first()
-        out[p] = sniff(first[0]) if first else None
-    return out
-
-
 def read_traces(spark: SparkSession, paths: list[str], strict: bool = False) -> DataFrame:
-    """Spans of files in any known format. Files that `formats` can't name are left out, or with strict fail the call."""
-    found = formats(spark, paths)
-    if strict and None in found.values():
-        raise ValueError(f"no known format: {[p for p, k in found.items() if k is None]}")
-    by: dict[str, list[str]] = {}
-    for p, kind in found.items():
-        if kind:
-            by.setdefault(kind, []).append(p)
-    out = spark.createDataFrame([], _spans(spark.range(0)).schema)
-    for kind, own in by.items():
-        for p in own:
-            out = out.unionByName(READERS[kind](spark, p))
-    return out
+    """Spans of files in any known format; see registry.read_any. With strict, files without one or with errors fail the call."""
+    from .registry import read_any
+
+    spans, problems = read_any(spark, paths)
+    if strict and not problems.isEmpty():
+        raise ValueError(f"not read: {[tuple(r) for r in problems.limit(20).collect()]}")
+    return spans.drop("file", "format")
