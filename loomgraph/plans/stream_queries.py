@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources import views as V
 from ..store import shared_dir
+from ..streaming import capacity as C
 from ..streaming import traces as T
 from .registry import query
 from .telemetry_queries import BAD, SP
@@ -32,6 +33,19 @@ def trace_sessions(s, d):
     return closed.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
+@query("str_03_capacity", SP + f"select split_part(trace_id, '/', 1) as trace_id, count(*) as spans, count(*) filter ({BAD}) as errors, count(*) // 20 as cut_short, cast(ceil(count(*) / 20) as bigint) as pieces from spans group by 1")
+def capacity(s, d):
+    """Traces under a bound of 20 spans: their pieces add up. A last span, long after the others, closes all."""
+    own = stream(s, d)
+    path = f"{shared_dir(s)}/loomgraph/closing-{uuid.uuid4().hex}"
+    last = F.to_timestamp(F.lit("2100-01-01 00:00:00"))
+    closing = s.range(1).select(F.col("id").alias("span_id"), F.lit("~").alias("trace_id"), F.lit("end").alias("entry"), last.alias("at"), F.lit(200).alias("status"), F.lit(0.0).alias("duration_ms"), F.lit(False).alias("error"))
+    closing.coalesce(1).write.parquet(path)
+    both = own.unionByName(s.readStream.schema(closing.schema).parquet(path))
+    pieces = T.drain(C.bounded_traces(both, 20, "1 hour"), "pieces").filter("trace_id <> '~'")
+    return pieces.groupBy("trace_id").agg(F.sum("spans").alias("spans"), F.sum("errors").alias("errors"), F.count_if("cut_short").alias("cut_short"), F.count("*").alias("pieces"))
+
+
 @query("str_06_incremental_merge", SP + f"select entry, count(*) as \"count\", count(*) filter ({BAD}) as errors, max(duration_ms) as max_ms from spans group by 1")
 def incremental_merge(s, d):
     base = f"{shared_dir(s)}/loomgraph/merge-{uuid.uuid4().hex}"
