@@ -138,11 +138,6 @@ def sequences(rows: DataFrame) -> DataFrame:
     return placed(rows.filter("kind is not null").select("entry", "path", "kind", "source", "target", "label")).select("entry", "place", "kind", "source", "target", "label")
 
 
-def entries_reaching(edges: DataFrame, changed: DataFrame, entries: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, depth): entries within `depth` steps before a changed node, or changed themselves."""
-    return blast_radius(edges, changed, None, depth).join(entries.select("id").distinct(), "id", "left_semi").select("id", "depth")
-
-
 def steps_compared(base: DataFrame, head: DataFrame) -> DataFrame:
     """(entry, side both|base|head, same, added, removed): sequences of two versions (entry, place, kind, source, target, label).
 

@@ -11,21 +11,32 @@ from ..functions.scalars import PARAM, join_id, normalise_path, segments
 from .linking import match_routes, segment_answers
 
 
+def _head(segments_: Column, pattern: bool = False) -> Column:
+    """The first segment in small letters, "" where there is none; of a route "*" where a hole or any text stands there."""
+    first = F.coalesce(F.lower(F.get(segments_, F.lit(0))), F.lit(""))
+    return F.when(first.contains(PARAM) | (first == "*"), "*").otherwise(first) if pattern else first
+
+
+def _heads(segments_: Column) -> Column:
+    """The keys under which a request may meet a route: its own first segment, and a hole."""
+    return F.explode(F.array(_head(segments_), F.lit("*")))
+
+
 def score_routes(spans: DataFrame, routes: DataFrame) -> DataFrame:
     """(span_id, outcome match|ambiguous|not-found, route_id, score): server spans against routes of their service.
 
     A span that tells its route meets the route of that template; others are matched by path, segment by segment, and the score
-    is the number of literal segments. All best ones count, so more than one is ambiguous. Spans are folded to their
-    different requests first: what is joined is as many rows as there are requests, however often each was made.
+    is the number of literal segments. All best ones count, so more than one is ambiguous. Candidates share the number of segments
+    and the first one, or have a hole there. Spans are folded to their different requests first: what is joined is as many rows as there are requests, however often each was made.
     """
     asked = spans.select("span_id", "service", F.upper(F.coalesce("method", F.lit("GET"))).alias("m"), F.coalesce(normalise_path(F.col("route")), F.col("path")).alias("p"), F.col("route").isNotNull().alias("told"))
     kinds = asked.select("service", "m", "p", "told").distinct()
-    r = routes.select("route_id", F.col("service"), F.upper("method").alias("rm"), normalise_path(F.col("path")).alias("rp")).withColumn("r", segments(F.col("rp"))).withColumn("n", F.size("r"))
+    r = routes.select("route_id", F.col("service"), F.upper("method").alias("rm"), normalise_path(F.col("path")).alias("rp")).withColumn("r", segments(F.col("rp"))).withColumn("n", F.size("r")).withColumn("head", _head(F.col("r"), True))
     verb = (F.col("rm") == F.col("m")) | (F.col("rm") == "ALL")
     told = kinds.filter("told").join(r, (kinds["service"] == r["service"]) & (F.col("p") == F.col("rp"))).filter(verb)
     told = told.select(kinds["service"], "m", "p", "told", "route_id", F.size(F.filter("r", lambda x: ~x.contains(PARAM))).alias("score"))
-    by_path = kinds.filter("not told").withColumn("c", segments(F.col("p"))).withColumn("n", F.size("c"))
-    met = by_path.join(r, ["service", "n"]).filter(verb).filter(F.forall(F.zip_with("r", "c", lambda x, y: segment_answers(x, y)), lambda ok: ok))
+    by_path = kinds.filter("not told").withColumn("c", segments(F.col("p"))).withColumn("n", F.size("c")).withColumn("head", _heads(F.col("c")))
+    met = by_path.join(r, ["service", "n", "head"]).filter(verb).filter(F.forall(F.zip_with("r", "c", lambda x, y: segment_answers(x, y)), lambda ok: ok))
     met = met.select("service", "m", "p", "told", "route_id", F.size(F.filter("r", lambda x: ~x.contains(PARAM) & (x != "*"))).alias("score"))
     both = told.unionByName(met)
     best = both.withColumn("k", F.rank().over(Window.partitionBy("service", "m", "p", "told").orderBy(F.desc("score")))).filter("k = 1")
@@ -117,17 +128,17 @@ def browser_calls(calls: DataFrame, routes: DataFrame, bases: DataFrame) -> Data
     routes (route_id, service, method, path); bases (base, service): which services claim a base variable. A call without a path
     or verb, or with an unread hole, is dynamic. Then the first stage that answers counts: the route that an annotation names,
     the routes of the target service, of the one service that claims the base, of the own service, of any service. More than one
-    route of a stage is ambiguous; no stage is no route. Each call is folded to its request, and every request meets every route
-    once, by number of segments; the stages are conditions on these pairs.
+    route of a stage is ambiguous; no stage is no route. Each call is folded to its request, and a request meets the routes
+    with as many segments and the same first one, or a hole there, once; the stages are conditions on these pairs.
     """
     claimed = bases.groupBy("base").agg(F.count_distinct("service").alias("claims"), F.min("service").alias("claimed"))
     known = calls.join(claimed, "base", "left").withColumn("claimed", F.when(F.col("claims") == 1, F.col("claimed")))
     dynamic = F.col("path").isNull() | F.col("verb").isNull() | F.col("path").contains("${")
     asked = known.filter(~dynamic).withColumn("c", segments(F.col("path"))).withColumn("n", F.size("c"))
-    request = asked.select("verb", "path", "c", "n").distinct()
-    r = routes.select("route_id", F.col("service").alias("rs"), F.upper("method").alias("rm"), segments(normalise_path(F.col("path"))).alias("r")).withColumn("n", F.size("r"))
+    request = asked.select("verb", "path", "c", "n").distinct().withColumn("head", _heads(F.col("c")))
+    r = routes.select("route_id", F.col("service").alias("rs"), F.upper("method").alias("rm"), segments(normalise_path(F.col("path"))).alias("r")).withColumn("n", F.size("r")).withColumn("head", _head(F.col("r"), True))
     fits = F.forall(F.zip_with("r", "c", lambda x, y: segment_answers(x, y)), lambda ok: ok)
-    met = request.join(r, "n").filter(((F.col("rm") == F.upper("verb")) | (F.col("rm") == "ALL")) & fits).select("verb", "path", "route_id", "rs")
+    met = request.join(r, ["n", "head"]).filter(((F.col("rm") == F.upper("verb")) | (F.col("rm") == "ALL")) & fits).select("verb", "path", "route_id", "rs")
     pairs = asked.select("call_id", "service", "verb", "path", "annotation", "target", "claimed").join(met, ["verb", "path"])
     stage = F.when(F.col("annotation") == F.col("route_id"), 0).when(F.col("target") == F.col("rs"), 1).when(F.col("claimed") == F.col("rs"), 2).when(F.col("service") == F.col("rs"), 3).otherwise(4)
     by = pairs.groupBy("call_id", stage.alias("stage")).agg(F.count_distinct("route_id").alias("n"), F.min("route_id").alias("route_id"))

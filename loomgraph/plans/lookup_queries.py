@@ -156,8 +156,7 @@ def cut_with_report(s, d):
 @query("srt_01_binary_order", "with n as (select distinct p_name || case p_size % 3 when 0 then 'É' when 1 then 'z' else 'Z' end as name from part) select name, row_number() over (order by hex(encode(name))) as place from n")
 def binary_order(s, d):
     n = V.read(s, d, "part").select(F.concat("p_name", F.when(F.col("p_size") % 3 == 0, "É").when(F.col("p_size") % 3 == 1, "z").otherwise("Z")).alias("name")).distinct()
-    # a dimension of names: their places are told over all of them
-    return O.numbered(n.withColumn("g", F.lit(0)), ["g"], [O.binary_key(F.col("name"))]).select("name", F.col("place").cast("long").alias("place"))
+    return O.numbered_over_all(n.withColumn("key", O.binary_key(F.col("name"))), [F.col("key")]).select("name", "place")
 
 
 LOCALE = "(translate(lower(name), 'éü', 'eu'), lower(name), translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ'))"

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import telemetry as M
+from ..operators import orders as O
 from ..sources import views as V
 from .registry import query
 
@@ -66,9 +67,12 @@ def roll_up(s, d):
 
 @query("agg_11_unmatched_groups", SP + "select service, entry, count(*) as n, list_slice(list_sort(list(distinct k)), 1, 5) as firsts, greatest(count(distinct k) - 5, 0) as more from spans where status = 404 group by 1, 2")
 def unmatched(s, d):
-    g = V.spans(s, d).filter("status = 404").groupBy("service", "entry", "k").agg(F.count("*").alias("n")).groupBy("service", "entry")
-    out = g.agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("k")).alias("a"), F.count("k").alias("c"))
-    return out.select("service", "entry", "n", F.slice("a", 1, 5).alias("firsts"), F.greatest(F.col("c") - 5, F.lit(0)).alias("more"))
+    g = V.spans(s, d).filter("status = 404").groupBy("service", "entry", "k").agg(F.count("*").alias("n"))
+    sums = g.groupBy("service", "entry").agg(F.sum("n").alias("n"), F.count("k").alias("c"))
+    # five rows of a group at most meet in one
+    first = O.first_of_each(g.filter("k is not null"), ["service", "entry"], [F.col("k")], 5).groupBy("service", "entry").agg(F.sort_array(F.collect_list("k")).alias("firsts"))
+    out = sums.join(first, ["service", "entry"], "left")
+    return out.select("service", "entry", "n", F.coalesce("firsts", F.array().cast("array<int>")).alias("firsts"), F.greatest(F.col("c") - 5, F.lit(0)).alias("more"))
 
 
 @query("agg_16_failure_comparison", SP + ", r as (select entry, status, count(*) as n, sum(count(*)) over (partition by entry) as total from spans group by 1, 2), e(entry, status) as (values ('error', 500), ('view', 404), ('click', 410)) select coalesce(r.entry, e.entry) as entry, coalesce(r.status, e.status) as status, n, case when e.status is null then 'undeclared' when r.status is null then 'never seen' else 'declared' end as state, floor(n / total * 10000 + 0.5) / 10000 as share from (select * from r where status >= 400) r full join e on e.entry = r.entry and e.status = r.status")
