@@ -20,6 +20,7 @@ from .operators import diff as D
 from .operators import flows as W
 from .operators import orders as O
 from .operators import rules as R
+from .operators import telemetry as M
 from .operators import traverse as T
 from .operators import unresolved as U
 from .schema import rank
@@ -33,13 +34,15 @@ CROSSING = ("emits", "consumes", "http_calls", "hits", "triggers")
 @dataclass(frozen=True)
 class Graph:
     """nodes (id, type, kind, label, service), edges (from_id, to_id, type, confidence), types (id, name, repo, fields), unresolved
-    (id, service, file, line, reason, level, sites, kind) and reasons (reason, reason_kind, risk, hint, marker)."""
+    (id, service, file, line, reason, level, sites, kind), reasons (reason, reason_kind, risk, hint, marker) and spans credited to
+    entries (trace_id, span_id, parent_id, service, entry, at, status, duration_ms, error)."""
 
     nodes: DataFrame
     edges: DataFrame
     types: DataFrame | None = None
     unresolved: DataFrame | None = None
     reasons: DataFrame | None = None
+    spans: DataFrame | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, names: Sequence[str] = ("nodes", "edges", "types", "unresolved")) -> Graph:
@@ -118,6 +121,49 @@ class Graph:
         keyed = lambda g: (g.nodes, g.edges.filter(F.col("type").isin(*FORWARD)), g.types, g.unresolved)
         return W.compared(keyed(base), keyed(self), depth)
 
+    def _traffic(self) -> DataFrame:
+        if self.spans is None:
+            raise ValueError("the graph has no spans")
+        return self.spans
+
+    def slow_steps(self, least: int = 5, most: int = 10) -> DataFrame:
+        """(service, entry, count, error_rate, p50, p95, max_ms): the slowest entries that were called `least` times or more."""
+        found = M.summary(self._traffic().filter("entry is not null"), ["service", "entry"]).filter(F.col("count") >= least)
+        return O.top(found, [F.desc("p95"), F.col("service"), F.col("entry")], most).drop("errors")
+
+    def hot_paths(self, each: int = 3) -> DataFrame:
+        """(entry, service, hits, place): the services that an entry's spans are in most often, `each` of an entry."""
+        counts = self._traffic().filter("entry is not null").groupBy("entry", "service").agg(F.count("*").alias("hits"))
+        return O.first_of_each(counts, ["entry"], [F.desc("hits"), F.col("service")], each)
+
+    def trace_for(self, entry: str, most: int = 3) -> DataFrame:
+        """(why slow|failing, rank, and the spans' columns): all spans of an entry's slowest and latest failing traces."""
+        s = self._traffic()
+        picked = M.samples(s.filter(F.col("entry") == entry), "entry", most).select("why", "rank", "span_id")
+        traces = picked.join(s.filter(F.col("entry") == entry).select("span_id", "trace_id"), "span_id").select("why", "rank", "trace_id").distinct()
+        return s.join(F.broadcast(traces), "trace_id")  # at most 2 x `most` traces
+
+    def undeclared_failures(self, declared: DataFrame) -> DataFrame:
+        """(entry, open5, open_all, share): failures (400 and over) that declared (entry, status) doesn't have, worst first.
+
+        open5 are those of 500 and over; share is the largest of one status among all of the entry's spans.
+        """
+        counts = self._traffic().filter("entry is not null").groupBy("entry", "status").agg(F.count("*").alias("n"))
+        total = counts.groupBy("entry").agg(F.sum("n").alias("total"))
+        left = counts.filter("status >= 400").join(declared.select("entry", "status").distinct(), ["entry", "status"], "left_anti").join(total, "entry")
+        out = left.groupBy("entry").agg(F.sum(F.when(F.col("status") >= 500, F.col("n")).otherwise(0)).alias("open5"), F.sum("n").alias("open_all"), M.round_half_up(F.max(F.col("n") / F.col("total")), 4).alias("share"))
+        return out.orderBy(F.desc("open5"), F.desc("open_all"), F.desc("share"), "entry")
+
+    def never_seen(self) -> DataFrame:
+        """(id, kind, service, label): entries that no span was credited to."""
+        seen = self._traffic().select(F.col("entry").alias("id")).distinct()
+        return self.nodes.filter("type = 'entry'").join(seen, "id", "left_anti").select("id", "kind", "service", "label")
+
+    def get_source(self, refs: Sequence[str]) -> DataFrame:
+        """(ref, id, file, line): where what the references resolve to is written; refs that fit nothing or several have no place."""
+        found = self.find_symbol(refs)
+        return found.select("ref", "id").join(self.nodes.select("id", "file", "line"), "id", "left").select("ref", "id", "file", "line")
+
     def who_emits(self, channel: str) -> DataFrame:
         return self.edges.filter((F.col("type") == "emits") & (F.col("to_id") == U.channel_id(F.lit(channel)))).select(F.col("from_id").alias("id"), "confidence").join(self.nodes, "id", "left")
 
