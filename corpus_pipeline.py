@@ -11,22 +11,36 @@ from loomgraph.llm.common import materialise, table
 
 
 def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labelled documents given, doesn't reject."""
+    """Documents that the quality classifier, fitted on the labelled documents given, doesn't reject.
+
+    Null texts count as empty ones; repeated rows all stay or go; null ids aren't learned from; other columns stay, whatever they
+    are called; no documents give none.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: the one with the smallest id.
+
+    Texts without five words in a row are like no other; rows that share the smallest id, and rows without one, all stay; no
+    documents give none.
+    """
     return neardup.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't hold half or more of a benchmark item."""
+    """Documents that don't hold half or more of a benchmark item.
+
+    Null and empty texts hold none, null and empty items are in none; repeated rows all stay or go; without items all stay.
+    """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: the order of files and of rows in them is the next stage's order."""
+    """All documents, in the order of the mix: the order of files and of rows in them is the next stage's order.
+
+    A null source is a source of its own; repeated rows stay; rows of a source that equal one another may change places.
+    """
     return mixing.mixed(docs)
 
 
