@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import api_queries, audit_queries, function_queries, graph_queries, link_queries, contract_queries, flow_queries, lookup_queries, more_queries, observe_queries, source_queries, stream_queries, telemetry_queries  # noqa: F401  (they register their queries)
+from . import api_queries, audit_queries, cloud_queries, function_queries, graph_queries, link_queries, contract_queries, flow_queries, lookup_queries, more_queries, observe_queries, source_queries, stream_queries, telemetry_queries  # noqa: F401  (they register their queries)
 from .registry import QUERIES, SQL, Query
 
 
