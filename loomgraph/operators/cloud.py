@@ -80,11 +80,11 @@ def nearest(spans: DataFrame, **marks: Column) -> DataFrame:
 
     A span points to the first one above it and takes over, round by round, where that one points to, until it has met a marked
     span or a root: a chain of n spans takes about log2(n) rounds, all marks share them, and a round is one join by span. Rows
-    of one span count as one, with its least parent and marked if any of them is; spans without an id are left out, and a ring of
-    parents ends without an answer.
+    of one span count as one, with its least parent and marked if any of them is; spans without an id are left out. One that is its
+    own parent is a root; in a ring of parents a span finds the next marked one of the ring, or none.
     """
     held = [F.max(F.coalesce(c, F.lit(False))).alias(f"_m{i}") for i, c in enumerate(marks.values())]
-    one = spans.filter("trace_id is not null and span_id is not null").groupBy("trace_id", "span_id").agg(F.min("parent_id").alias("parent_id"), *held)
+    one = spans.filter("trace_id is not null and span_id is not null").groupBy("trace_id", "span_id").agg(F.min(F.when(F.col("parent_id") != F.col("span_id"), F.col("parent_id"))).alias("parent_id"), *held)
     rows = one.select("trace_id", "span_id", "parent_id", F.inline(F.array(*[F.struct(F.lit(i).alias("what"), F.col(f"_m{i}").alias("held")) for i in range(len(marks))])))
     above = rows.select("what", "trace_id", F.col("span_id").alias("parent_id"), F.col("held").alias("up"))
     start = rows.join(above, ["what", "trace_id", "parent_id"], "left")
