@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cloud as C
+from ..operators import outgoing as G
 from ..sources import views as V
 from .registry import query
 
@@ -164,3 +165,68 @@ def calls_placed(s, d):
 @query("join_29_calls_counted", MATCHED + """select what, id, count(*) as count from (select 'node' as what, node as id from res where within is null union all select 'site', site from res where within is null union all select 'join', "join" from res where within is null) where id is not null group by 1, 2""")
 def calls_counted(s, d):
     return C.call_counts(matched(s, d))
+
+
+def outgoing_tables(s, d):
+    """Orders as calls, suppliers as services: (calls, routes, markers, bindings, claims, values, urls).
+
+    A customer's nation and balance give the variable, suppliers of that nation and balance claim it; discounted lines are annotations.
+    """
+    o, cust, sup, line = (V.read(s, d, t) for t in ("orders", "customer", "supplier", "lineitem"))
+    env = lambda n, b: F.concat(F.lit("URL_"), F.col(n).cast("string"), F.lit("_"), F.floor(F.col(b) / 1000).cast("string"))
+    c = cust.select(F.col("c_custkey").alias("o_custkey"), env("c_nationkey", "c_acctbal").alias("url"), "c_mktsegment", "c_nationkey", F.floor(F.col("c_acctbal") / 1000).alias("b"))
+    of, status = F.col("o_orderpriority"), F.lower("o_orderstatus")
+    path = F.concat(F.lit("/orders/"), F.col("o_orderkey").cast("string"), F.lit("/"), status)
+    calls = o.join(c, "o_custkey").select(
+        F.col("o_orderkey").alias("call_id"), of.alias("service"), F.when(status == "f", "POST").alias("method"), ((status == "p") & (F.col("o_totalprice") > 3e5)).alias("unread"),
+        F.when(F.col("o_totalprice") < 5e4, F.concat(path, F.lit("/${x}"))).otherwise(path).alias("path"), F.when(~of.isin("4-NOT SPECIFIED", "5-LOW"), F.col("url")).alias("env"), F.lit(None).cast("string").alias("variable"),
+        F.when((of == "4-NOT SPECIFIED") & (status == "o"), "host").alias("host"), F.when(of == "5-LOW", F.col("c_mktsegment")).alias("binding"), (status != "p").alias("typed"),
+    )
+    spread = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(p).alias("path"), F.lit(f).alias("prefix"), F.lit(a).alias("api"), F.lit(least).alias("least")) for m, p, f, a, least in ROUTES])
+    routes = sup.select("s_suppkey", F.col("s_name").alias("service"), "s_acctbal", F.inline(spread)).filter("s_acctbal >= least").select(F.concat_ws(" ", "service", "method", "path", "api").alias("route_id"), "service", "method", "path", "prefix", "api")
+    marker = F.when(F.col("l_quantity") > 25, "/orders/1/f").otherwise("/nowhere/1")
+    markers = line.filter("l_discount >= 0.1").join(sup.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("service")), "l_suppkey").select(F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").alias("ord"), "service", F.lit("GET").alias("method"), marker.alias("path"))
+    bindings = cust.groupBy("c_mktsegment").agg(F.min("c_nationkey").alias("s_nationkey")).join(sup.groupBy("s_nationkey").agg(F.min("s_name").alias("lo"), F.max("s_name").alias("hi")), "s_nationkey")
+    bindings = bindings.select(F.lit("5-LOW").alias("service"), F.col("c_mktsegment").alias("binding"), F.explode(F.when(F.col("c_mktsegment") < "F", F.array("lo")).otherwise(F.array("lo", "hi"))).alias("target"))
+    claims = sup.select(env("s_nationkey", "s_acctbal").alias("env"), F.col("s_name").alias("service"))
+    first = sup.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_name").alias("lo"), F.max("s_name").alias("hi"))
+    kinds = c.join(first, "c_nationkey").filter("b < 7").select("url", "b", "lo", "hi").distinct()
+    row = lambda k, t, p: F.struct(k.alias("kind"), t.alias("target"), p.alias("start"))
+    none = F.lit(None).cast("string")
+    values = kinds.select(F.col("url").alias("env"), F.explode(F.when(F.col("b") < 1, F.array(row(F.lit("external"), none, none))).when(F.col("b") < 3, F.array(row(F.lit("service"), F.col("lo"), none), row(F.lit("service"), F.col("hi"), none))).otherwise(F.array(row(F.lit("service"), F.col("lo"), F.when(F.col("b") > 4, "/v1"))))).alias("v"))
+    values = values.select(F.explode(F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))).alias("service"), "env", "v.kind", "v.target", "v.start")
+    urls = line.filter("l_tax = 0 and l_linenumber <= 2").select(F.col("l_orderkey").alias("call_id"), F.concat(F.lit("fn:"), F.col("l_suppkey").cast("string")).alias("entry"))
+    return calls, routes, markers, bindings, claims, values, urls
+
+
+#: What every supplier serves from some balance on: method, path, the prefix before all its routes, API, balance.
+ROUTES = (("GET", "/orders/:param/f", None, "main", -1e4), ("POST", "/v1/orders/:param/f", "v1", "main", 2e3), ("GET", "/orders/:param/o", None, "main", 4e3), ("GET", "/orders/:param/o", None, "second", 6e3), ("ALL", "/orders/*", None, "rest", 8e3))
+
+
+@query(
+    "join_09_calls_in_stages",
+    """with c0 as (select *, 'URL_' || c_nationkey || '_' || cast(floor(c_acctbal / 1000) as bigint) as url, cast(floor(c_acctbal / 1000) as bigint) as b from customer),
+      c as (select o_orderkey as id, o_orderpriority as service, lower(o_orderstatus) as st, case when lower(o_orderstatus) = 'f' then 'POST' else 'GET' end as method, not (lower(o_orderstatus) = 'p' and o_totalprice > 3e5) and o_totalprice >= 5e4 as read,
+        case when o_orderpriority not in ('4-NOT SPECIFIED', '5-LOW') then url end as env, o_orderpriority = '4-NOT SPECIFIED' and o_orderstatus = 'O' as host, case when o_orderpriority = '5-LOW' then c_mktsegment end as binding from orders join c0 on c_custkey = o_custkey),
+      r as (select s_name as service, m, p, api, s_name || ' ' || m || ' ' || p || ' ' || api as id , prefix from supplier join (values ('GET', '/orders/:param/f', null, 'main', -1e4), ('POST', '/v1/orders/:param/f', 'v1', 'main', 2e3), ('GET', '/orders/:param/o', null, 'main', 4e3), ('GET', '/orders/:param/o', null, 'second', 6e3), ('ALL', '/orders/*', null, 'rest', 8e3)) t(m, p, prefix, api, least) on s_acctbal >= least),
+      mk as (select l_orderkey as id, l_linenumber as ord, s_name as service from lineitem join supplier on s_suppkey = l_suppkey where l_discount >= 0.1 and l_quantity > 25),
+      m as (select id, count(distinct (ord, service)) - 1 as also, min({'ord': ord, 'service': service}).service as service from mk group by 1),
+      bd as (select c_mktsegment as binding, case when c_mktsegment < 'F' or lo = hi then lo end as target from (select c_mktsegment, min(c_nationkey) as n from customer group by 1) join (select s_nationkey as n, min(s_name) as lo, max(s_name) as hi from supplier group by 1) using (n)),
+      cl as (select 'URL_' || s_nationkey || '_' || cast(floor(s_acctbal / 1000) as bigint) as env, count(distinct s_name) as n, min(s_name) as by_ from supplier group by 1),
+      va as (select distinct url as env, case when b < 1 then 'external' else 'service' end as kind, case when b >= 3 or lo = hi then lo end as target, case when b > 4 then '/v1' end as start from c0 join (select s_nationkey as n, min(s_name) as lo, max(s_name) as hi from supplier group by 1) on n = c_nationkey where b < 7),
+      ur as (select l_orderkey as id, min('fn:' || l_suppkey) as url, count(distinct l_suppkey) - 1 as more from lineitem where l_tax = 0 and l_linenumber <= 2 group by 1),
+      x as (select c.*, bd.target as bt, bd.binding is not null as bd, coalesce(cl.n, 0) as n, cl.by_, case when c.service in ('1-URGENT', '2-HIGH') then va.kind end as kind, va.target as vt, va.start, ur.url, ur.more, m.service as ms, m.also from c left join bd using (binding) left join cl using (env) left join va using (env) left join ur using (id) left join m using (id)),
+      y as (select *, case when binding is not null then case when bt is not null then 'ask' when not bd and st = 'p' then 'dynamic' else 'unknownBinding' end when env is null then case when host then 'external' else 'dynamic' end when n = 0 and url is not null then 'linked' when n = 0 and kind = 'external' then 'external' when (n = 0 and kind = 'service' and vt is not null) or n = 1 then 'ask' else 'unknownEnv' end as said,
+        case when binding is not null then bt when n = 0 then vt else by_ end as goes, case when binding is not null then 'binding' when n = 0 and url is not null then 'functionUrl' when n = 0 then 'value' else 'env' end as way from x),
+      sv as (select service, bool_or(p = '/v1/orders/:param/f') as post, bool_or(p = '/orders/:param/o' and api = 'main') as o1, bool_or(api = 'second') as o2, bool_or(api = 'rest') as rest from r group by 1),
+      z as (select y.*, coalesce(start, '') = '/v1' and way = 'value' as whole, sv.post, sv.o1, sv.o2, sv.rest,
+        case when st = 'f' then case when sv.rest then 'ALL /orders/* rest' when sv.post then 'POST /v1/orders/:param/f main' end when st = 'o' and sv.o2 then '2' when st = 'o' and sv.o1 then 'GET /orders/:param/o main' when sv.rest then 'ALL /orders/* rest' end as plain,
+        case when st = 'f' and sv.post then 'POST /v1/orders/:param/f main' end as first from y left join sv on sv.service = goes)
+    select id as call_id, case when ms is not null then 'linked' when said <> 'ask' then said when not read then 'dynamic' when (whole and first is not null) or plain not in ('2') then 'linked' when plain = '2' and not whole then 'ambiguous' else 'noRoute' end as outcome,
+      case when ms is not null then 'marker' when said = 'linked' then 'functionUrl' when said = 'ask' and read and ((whole and first is not null) or plain not in ('2')) then way end as way, case when ms is not null then ms when said = 'ask' then goes end as target,
+      case when ms is not null then ms || ' GET /orders/:param/f main' when said = 'linked' then url when said = 'ask' and read then case when whole and first is not null then goes || ' ' || first when plain <> '2' then goes || ' ' || plain end end as route_id,
+      case when ms is not null then also when said = 'linked' then more else 0 end as also from z""",
+)
+def calls_in_stages(s, d):
+    """The stages of outgoing calls over all orders; suppliers of some balance have the same route in two APIs, or one for all paths."""
+    return G.outgoing_calls(*outgoing_tables(s, d))
