@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import telemetry as M
 from ..operators import orders as O
 from ..sources import views as V
+from ..store import sized
 from .registry import query
 
 SP = f"with spans as ({V.SPANS_SQL}) "
@@ -194,8 +195,8 @@ def read_window(s, d):
 @query("str_11_never_seen", SP + f", pairs as (select s.service, e.entry, k from (select distinct service from spans) s, (select distinct entry from spans) e, (select distinct k % 40 as k from spans) k) select * from pairs p where not exists (select 1 from spans x where x.service = p.service and x.entry = p.entry and x.k % 40 = p.k and {BAD} = false)")
 def never_seen(s, d):
     x = V.spans(s, d).withColumn("k", F.col("k") % 40)
-    small = [x.select(c).distinct() for c in ("service", "entry", "k")]
-    declared = small[0].join(F.broadcast(small[1])).join(F.broadcast(small[2]))
+    services, entries, ks = (x.select(c).distinct() for c in ("service", "entry", "k"))
+    declared = services.join(sized(entries, entries.count(), 256)).join(sized(ks, ks.count(), 16))
     return declared.join(x.filter(~M.failed()).select("service", "entry", "k"), ["service", "entry", "k"], "left_anti")
 
 
