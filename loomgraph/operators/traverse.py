@@ -116,10 +116,16 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, types: Sequence[str] | None
 
 
 def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels (id, c) spread along edges (a, b) till each id has the least c of all that reach it."""
+    """labels (id, c), each id's own at first, spread along edges (a, b) till each id has the least c of all that reach it.
+
+    What reaches an id's label reaches the id, so each round also takes over the label of the label: what an id has seen of a chain
+    doubles, and rounds grow with the logarithm of its length.
+    """
     while True:
         came = edges.join(labels.select(F.col("id").alias("a"), F.col("c").alias("d")), "a").groupBy(F.col("b").alias("id")).agg(F.min("d").alias("d"))
-        new = materialise(labels.join(came, "id", "left").select("id", F.least("c", F.coalesce("d", "c")).alias("c"), (F.col("d") < F.col("c")).alias("less")), "colours")
+        near = labels.join(came, "id", "left").select("id", F.col("c").alias("was"), F.least("c", F.coalesce("d", "c")).alias("c"))
+        jumped = near.join(labels.select(F.col("id").alias("c"), F.col("c").alias("up")), "c", "left")
+        new = materialise(jumped.select("id", F.least("c", F.coalesce("up", "c")).alias("c"), "was").select("id", "c", (F.col("c") < F.col("was")).alias("less")), "colours")
         changed = new.filter("less").limit(1).count()
         labels = new.select("id", "c")
         if not changed:

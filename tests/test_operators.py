@@ -230,3 +230,16 @@ def test_rules_reach_to_the_end(spark):
     nodes = spark.createDataFrame([(f"n{i}",) for i in range(20)], "id string")
     rules = (R.Rule("may not", "reachable", {"id": "n0"}, {"id": "n19"}), R.Rule("must", "reachable", {"id": "n0"}, {"id": "n19"}, must=True))
     assert [tuple(r) for r in R.evaluate(nodes, e, rules).collect()] == [("may not", "error", "n0", "n19")]
+
+
+def test_spread_takes_few_rounds(spark, monkeypatch):
+    """The least label reaches the end of a chain of 300 ids, and every id has the least of all before it on one of shuffled ids."""
+    rounds = []
+    write = T.materialise
+    monkeypatch.setattr(T, "materialise", lambda df, name: rounds.append(name) or write(df, name))
+    for ids in (list(range(300)), random.Random(3).sample(range(300), 300)):
+        rounds.clear()
+        chain = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
+        got = {r.id: r.c for r in T._spread(chain, spark.createDataFrame([(i, i) for i in ids], "id long, c long")).collect()}
+        assert got == {x: min(ids[: k + 1]) for k, x in enumerate(ids)}
+        assert len(rounds) <= 20
