@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import PARAM, join_id, normalise_path, segments
+from ..store import materialise, sized
 from .linking import match_routes, segment_answers
 
 
@@ -171,5 +172,15 @@ def completed_from_environment(reads: DataFrame, reach: DataFrame, variables: Da
 
 def function_urls(reads: DataFrame, urls: DataFrame, entries: DataFrame) -> DataFrame:
     """reads (node, variable), urls (variable, function), entries (function, entry): (node, entry) by the function that a variable's
-    URL belongs to; several functions are several edges."""
-    return reads.join(urls, "variable").join(entries, "function").select("node", "entry").distinct()
+    URL belongs to; several functions are several edges.
+
+    Nodes that read the same variables have the same entries, so these are settled once for each different set of variables, and a
+    node meets no entry twice: what is joined with the nodes has no more rows than the result. Nulls meet nothing.
+    """
+    ways = urls.join(entries.dropDuplicates(["function", "entry"]), "function").select("variable", "entry").distinct()
+    ways = materialise(ways, "url-ways")
+    known = reads.join(sized(ways.select("variable").distinct(), ways.count(), 64), "variable", "left_semi")
+    sets = materialise(known.groupBy("node").agg(F.sort_array(F.collect_set("variable")).alias("variables")), "url-reads")
+    different = sets.select("variables").distinct()
+    settled = materialise(different.select("variables", F.explode("variables").alias("variable")).join(ways, "variable").select("variables", "entry").distinct(), "url-sets")
+    return sets.join(sized(settled, settled.count(), 256), "variables").select("node", "entry")
