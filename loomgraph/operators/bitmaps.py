@@ -1,8 +1,8 @@
 """Which of many starts reach which nodes, as bitmaps: state per node and 32,768 starts, not a row for each pair of them.
 
-Starts are numbered; a number is a bucket and a bit of a bitmap. A level joins the bits that came last with the edges, ors what meets
-in a node, and keeps what is new there. Spark has the bitmaps' union and their counts; the difference with what a node has already is
-a few bytes compared in Arrow batches.
+Starts are numbered; a number is a bucket and a bit of a bitmap. A level joins the bitmaps that grew last with the edges and ors what
+meets in a node with what it has; by its count Spark sees whether it grew. Python only unfolds bitmaps and adds them up, a few MB of
+them at a time.
 """
 
 from __future__ import annotations
@@ -11,20 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..store import importable, materialise
 from . import orders as O
 
-
-def _without(new: pd.Series, old: pd.Series) -> pd.Series:
-    out = []
-    for n, o in zip(new, old, strict=True):
-        x = np.frombuffer(n, np.uint8)
-        x = x & ~np.frombuffer(o, np.uint8) if o is not None else x
-        out.append(x.tobytes() if x.any() else None)
-    return pd.Series(out, dtype=object)
+#: Rows that bitmaps are unfolded to before they are handed on (one bitmap has up to 32,768 more).
+UNFOLDED_ROWS = 1 << 15
 
 
 def numbered_starts(starts: DataFrame) -> DataFrame:
@@ -37,34 +33,42 @@ def reach_bits(edges: DataFrame, numbers: DataFrame, depth: int = 16) -> DataFra
 
     bits is a bitmap of bucket's numbers as bitmap_construct_agg makes it. Ends when no node gets a new bit.
     """
-    importable(edges.sparkSession)
-    without = F.pandas_udf(_without, "binary")
     step = materialise(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).filter("a is not null and b is not null").distinct(), "bit-steps")
     n = F.col("number")
     first = numbers.select("id", F.bitmap_bucket_number(n).alias("bucket"), F.bitmap_bit_position(n).alias("bit"))
     seen = materialise(first.groupBy("id", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits")), "bits")
     front = seen
     for _ in range(depth):
-        came = front.withColumnRenamed("id", "a").join(step, "a").groupBy(F.col("b").alias("id"), "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-        met = came.join(seen.withColumnRenamed("bits", "old"), ["id", "bucket"], "left")
-        front = materialise(met.select("id", "bucket", without("bits", "old").alias("bits")).filter("bits is not null"), "bits")
+        came = front.withColumnRenamed("id", "a").join(step, "a").select(F.col("b").alias("id"), "bucket", "bits", F.lit(0).cast("long").alias("had"))
+        own = seen.withColumn("had", F.bitmap_count("bits")).unionByName(came).groupBy("id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"), F.max("had").alias("had"))
+        met = materialise(own.select("id", "bucket", "bits", (F.bitmap_count("bits") > F.col("had")).alias("grew")), "bits")
+        seen, front = met.drop("grew"), met.filter("grew").drop("grew")
         if front.isEmpty():
             break
-        seen = materialise(seen.unionByName(front).groupBy("id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")), "bits")
     return seen
 
 
-def _positions(bits: pd.Series) -> pd.Series:
-    return pd.Series([np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")).tolist() for b in bits], dtype=object)
-
-
 def unfolded(bits: DataFrame, keys: list[str], numbers: DataFrame) -> DataFrame:
     """(keys, start): a row for each start of each bitmap; numbers (id, number) names them."""
     importable(bits.sparkSession)
-    at = F.pandas_udf(_positions, "array<int>")
-    each = bits.select(*keys, "bucket", F.explode(at("bits")).alias("bit"))
-    number = (F.col("bucket") - 1) * 32768 + F.col("bit") + 1
-    return each.withColumn("number", number).join(numbers.withColumnRenamed("id", "start"), "number").select(*keys, "start")
+    own = bits.select(*keys, "bucket", "bits")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, number = [], []
+            buckets, maps, left = batch.column("bucket"), batch.column("bits"), 0
+            for i in range(batch.num_rows):
+                found = np.flatnonzero(np.unpackbits(np.frombuffer(maps[i].as_buffer(), np.uint8), bitorder="little"))
+                number.append(found + ((buckets[i].as_py() - 1) * 32768 + 1))
+                at.append(np.full(len(found), i))
+                left += len(found)
+                if left >= UNFOLDED_ROWS or i == batch.num_rows - 1:
+                    own = batch.select(keys).take(pa.array(np.concatenate(at)))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.concatenate(number))], names=[*keys, "number"])
+                    at, number, left = [], [], 0
+
+    each = own.mapInArrow(rows, StructType([*own.select(*keys).schema.fields, StructField("number", LongType())]))
+    return each.join(numbers.withColumnRenamed("id", "start"), "number").select(*keys, "start")
 
 
 def ways_in(edges: DataFrame, starts: DataFrame, depth: int = 16) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -12,10 +13,16 @@ from pyspark.sql import functions as F
 
 #: Tables whose counted rows times row bytes are at most this may be broadcast.
 BROADCAST_BYTES = 24 << 20
+#: Bytes of a batch that goes to a Python worker, at most (one row may have more).
+ARROW_BYTES = 8 << 20
 
 
 def importable(spark: SparkSession) -> None:
-    """Python workers look for this package where the driver has it; where executors have it elsewhere nothing changes."""
+    """Python workers look for this package where the driver has it (where executors have it elsewhere nothing changes), and get
+    rows in batches of ARROW_BYTES at most, however long the rows are."""
+    own = re.fullmatch(r"(\d+)b?", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"))
+    if not own or int(own[1]) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)

@@ -36,3 +36,23 @@ def test_function_urls_meet_once(spark):
     want = {(k, e) for k in range(500) for e in (("e0", "e2") if k % 5 else ("e1", "e3"))} | {(k, e) for k in range(3) for e in ("e1", "e3")}
     assert sorted((r.node, r.entry) for r in found) == sorted(want)
     assert 400 <= most <= 1100
+
+
+def test_reached_starts_need_no_python(spark):
+    from loomgraph.operators import bitmaps as B
+
+    numbers = B.numbered_starts(spark.range(40000).select(F.concat(F.lit("s"), "id").alias("id")))
+    n = F.col("id")
+    edges = spark.range(40000).select(F.concat(F.lit("s"), n).alias("from_id"), F.concat(F.lit("m"), n % 2).alias("to_id")).union(spark.createDataFrame([("m0", "z"), ("z", "m0"), ("z", "m1"), ("m1", "m1")], "a string, b string"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    bits = B.reach_bits(edges, numbers, 16)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(before, runs.size())]
+    assert plans and not any("ArrowEval" in p or "MapInPandas" in p or "MapInArrow" in p for p in plans)
+    ways = {r.id: r.ways for r in bits.groupBy("id").agg(F.sum(F.bitmap_count("bits")).alias("ways")).filter("id in ('m0', 'm1', 'z', 's7')").collect()}
+    assert ways == {"m0": 20000, "m1": 40000, "z": 20000, "s7": 1}
+    got = B.unfolded(bits.filter("id in ('z', 'm1')"), ["id"], numbers)
+    assert {(r.id, r.n, r.c) for r in got.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("start").alias("c")).collect()} == {("z", 20000, 20000), ("m1", 40000, 40000)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
