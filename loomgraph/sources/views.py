@@ -103,17 +103,32 @@ TRADE_SQL = """
 """
 
 
-def channels(spark: SparkSession, d: str) -> DataFrame:
-    """Of every line: its supplier emits to the channel of its part and line number, its order's customer consumes that channel, or
-    (every third customer) one of another number that nobody emits to."""
+def channel_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What channels is made of, a row a line, by numbers: emits (l_suppkey) and takes (o_custkey), each with p_brand, l_partkey, number."""
     brand = read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     line = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").join(brand, "l_partkey")
     orders = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    name = lambda number: F.concat(F.lit("channel:"), "p_brand", F.lit("."), F.col("l_partkey").cast("string"), F.lit("."), number.cast("string"))
-    sure = lambda party: F.when(F.col(party) % 3 == 1, "heuristic").otherwise("static").alias("confidence")
-    emits = line.select(_id("supplier", "l_suppkey").alias("from_id"), name(F.col("l_linenumber")).alias("to_id"), F.lit("emits").alias("type"), sure("l_suppkey")).distinct()
     other = F.when(F.col("o_custkey") % 3 == 0, F.col("l_linenumber") + 7).otherwise(F.col("l_linenumber"))
-    takes = line.join(orders, "l_orderkey").select(name(other).alias("from_id"), _id("customer", "o_custkey").alias("to_id"), F.lit("consumes").alias("type"), sure("o_custkey")).distinct()
+    own = ["p_brand", "l_partkey"]
+    return line.select("l_suppkey", *own, F.col("l_linenumber").alias("number")), line.join(orders, "l_orderkey").select("o_custkey", *own, other.alias("number"))
+
+
+def channel_name():
+    return F.concat(F.lit("channel:"), "p_brand", F.lit("."), F.col("l_partkey").cast("string"), F.lit("."), F.col("number").cast("string"))
+
+
+def channels(spark: SparkSession, d: str) -> DataFrame:
+    """Of every line: its supplier emits to the channel of its part and line number, its order's customer consumes that channel, or
+    (every third customer) one of another number that nobody emits to."""
+    emitted, taken = channel_sides(spark, d)
+    sure = lambda party: F.when(F.col(party) % 3 == 1, "heuristic").otherwise("static").alias("confidence")
+
+    def folded(df: DataFrame, party: str) -> DataFrame:  # by numbers: names are made once they are few; with a null in it a name is null
+        named = F.col("p_brand").isNotNull() & F.col("number").isNotNull()
+        return df.select(party, *[F.when(named, F.col(x)).alias(x) for x in ("p_brand", "l_partkey", "number")]).distinct()
+
+    emits = folded(emitted, "l_suppkey").select(_id("supplier", "l_suppkey").alias("from_id"), channel_name().alias("to_id"), F.lit("emits").alias("type"), sure("l_suppkey"))
+    takes = folded(taken, "o_custkey").select(channel_name().alias("from_id"), _id("customer", "o_custkey").alias("to_id"), F.lit("consumes").alias("type"), sure("o_custkey"))
     return emits.unionByName(takes)
 
 
