@@ -177,9 +177,12 @@ def choice_by_words(s, d):
 
 @query("join_30_boundaries", f"with recursive nodes as {N}, c as {CH} select a.service as sender, b.service as receiver, x.to_id as channel, count(*) as n from c x join c y on x.to_id = y.from_id join nodes a on a.id = x.from_id join nodes b on b.id = y.to_id where x.type = 'emits' and y.type = 'consumes' group by 1, 2, 3")
 def boundaries(s, d):
-    n, x = V.nodes(s, d), T.collapse_channels(V.channels(s, d))
-    a, b = n.select(F.col("id").alias("from_id"), F.col("service").alias("sender")), n.select(F.col("id").alias("to_id"), F.col("service").alias("receiver"))
-    return x.join(a, "from_id").join(b, "to_id").groupBy("sender", "receiver", "channel").agg(F.count("*").alias("n"))
+    """Each side of a channel is counted by service before they meet; channels are between suppliers and customers."""
+    n, c = V.nodes(s, d), V.channels(s, d)
+    a, b = n.filter("type = 'supplier'").select(F.col("id").alias("from_id"), F.col("service").alias("sender")), n.filter("type = 'customer'").select(F.col("id").alias("to_id"), F.col("service").alias("receiver"))
+    emits = c.filter("type = 'emits'").join(a, "from_id").groupBy(F.col("to_id").alias("channel"), "sender").agg(F.count("*").alias("x"))
+    takes = c.filter("type = 'consumes'").join(b, "to_id").groupBy(F.col("from_id").alias("channel"), "receiver").agg(F.count("*").alias("y"))
+    return emits.join(takes, "channel").select("sender", "receiver", "channel", (F.col("x") * F.col("y")).alias("n"))
 
 
 @query("join_31_crossings", TRADE + "select from_id, to_id, case when confidence = 'heuristic' then 0 else 1 end as place from t join nodes a on a.id = from_id join nodes b on b.id = to_id where (a.service = 'ASIA' and b.service = 'EUROPE') or (a.service = 'EUROPE' and b.service = 'ASIA')")

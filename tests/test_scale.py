@@ -56,3 +56,23 @@ def test_reached_starts_need_no_python(spark):
     got = B.unfolded(bits.filter("id in ('z', 'm1')"), ["id"], numbers)
     assert {(r.id, r.n, r.c) for r in got.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("start").alias("c")).collect()} == {("z", 20000, 20000), ("m1", 40000, 40000)}
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
+
+
+def test_sides_of_channels_are_folded_before_they_meet(spark, tmp_path):
+    from loomgraph.plans import catalog
+
+    tables = {
+        "region": "select 0 r_regionkey, 'ASIA' r_name", "nation": "select 0 n_nationkey, 'N' n_name, 0 n_regionkey", "part": "select 1L p_partkey, 'B' p_brand, 'p' p_name",
+        "supplier": "select id s_suppkey, 's' s_name, 0 s_nationkey from range(40)", "customer": "select id c_custkey, 'c' c_name, 0 c_nationkey, 'm' c_mktsegment from range(40)",
+        "orders": "select id o_orderkey, id o_custkey, '1' o_orderpriority from range(40)", "lineitem": "select id l_orderkey, 1L l_partkey, id l_suppkey, 1 l_linenumber from range(40)",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("join_14_taken_publishes", "join_30_boundaries"):
+        found = []
+        assert 0 < joined_rows(spark, lambda: found.extend(catalog.queries()[name](spark, str(tmp_path)).collect())) <= 80
+        if name == "join_14_taken_publishes":
+            takers = sorted(f"customer:{i}" for i in range(40) if i % 3)
+            assert sorted((r.from_id, r.to_id, r.takers, r.sure) for r in found) == sorted((f"supplier:{i}", "channel:B.1.1", takers, True) for i in range(40))
+        else:
+            assert [tuple(r) for r in found] == [("ASIA", "ASIA", "channel:B.1.1", 40 * 26)]
