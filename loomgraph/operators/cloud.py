@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import join_id
 from ..store import materialise, sized
-from .traverse import reach
+from .traverse import reach_all
 
 # The service in the ARN of each kind of deployed thing, and what stands there before its name.
 ARNS = {
@@ -29,8 +29,6 @@ CALLS = (
 JOIN_TYPES = ("http_calls", "hits", "emits", "consumes", "triggers")
 ENTRY_KINDS = ("invoke", "workflow")
 BUS, DEFAULT_BUS = "eventbridge", "default"
-#: No chain of calls in a graph is longer; `reach` ends by itself where nothing new is found.
-ALL = 1 << 20
 
 
 def deployed_name(kind: str, text: Column) -> Column:
@@ -87,12 +85,12 @@ def nearest(spans: DataFrame, **marks: Column) -> DataFrame:
     one = spans.filter("trace_id is not null and span_id is not null").groupBy("trace_id", "span_id").agg(F.min(F.when(F.col("parent_id") != F.col("span_id"), F.col("parent_id"))).alias("parent_id"), *held)
     rows = one.select("trace_id", "span_id", "parent_id", F.inline(F.array(*[F.struct(F.lit(i).alias("what"), F.col(f"_m{i}").alias("held")) for i in range(len(marks))])))
     above = rows.select("what", "trace_id", F.col("span_id").alias("parent_id"), F.col("held").alias("up"))
-    start = rows.join(above, ["what", "trace_id", "parent_id"], "left")
+    start = rows.join(above.hint("merge"), ["what", "trace_id", "parent_id"], "left")
     now = materialise(start.select("what", "trace_id", "span_id", F.when(F.col("up").isNotNull(), F.col("parent_id")).alias("at"), F.coalesce("up", F.lit(True)).alias("done")), "nearest")
     left, before = now.filter("not done").count(), -1
     while left and left != before:  # a round that settles no span leaves rings alone
         top = now.select("what", "trace_id", F.col("span_id").alias("at"), F.col("at").alias("next"), F.col("done").alias("end"))
-        moved = now.filter("not done").join(top, ["what", "trace_id", "at"]).select("what", "trace_id", "span_id", F.col("next").alias("at"), F.col("end").alias("done"))
+        moved = now.filter("not done").join(top.hint("merge"), ["what", "trace_id", "at"]).select("what", "trace_id", "span_id", F.col("next").alias("at"), F.col("end").alias("done"))
         now = materialise(now.filter("done").unionByName(moved), "nearest")
         left, before = now.filter("not done").count(), left
     met = now.filter("done")
@@ -120,8 +118,8 @@ def function_scopes(nodes: DataFrame, edges: DataFrame, names: DataFrame) -> Dat
     entries = nodes.filter("type = 'entry' and kind = 'invoke'").select(F.col("id").alias("from_id"), F.col("label").alias("name")).join(names, "name", "left_semi")
     seeds = entries.join(edges.filter("type = 'handles'"), "from_id").select(F.concat(F.lit("function:"), "name").alias("scope"), F.col("to_id").alias("id"))
     outside = nodes.filter("type = 'entry' or (type = 'function' and kind = 'state')").select(F.col("id").alias("to_id"))
-    calls = edges.filter("type = 'calls'").join(outside, "to_id", "left_anti").withColumn("confidence", F.lit("static"))
-    return reach(calls, seeds, depth=ALL, by="scope").select("scope", F.col("id").alias("node")).filter("node is not null")
+    calls = edges.filter("type = 'calls'").join(outside, "to_id", "left_anti")
+    return reach_all(calls, seeds, by="scope").select("scope", F.col("id").alias("node"))
 
 
 def step_scopes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -143,7 +141,7 @@ def call_sites(spans: DataFrame, nodes: DataFrame) -> DataFrame:
     own = spans.join(sized(known, known.count(), 256), "service", "left")
     own = materialise(own.select("trace_id", "span_id", "parent_id", "kind", "own", "faas", "workflow", "state", "api", "operation", "targets"), "cloud-spans")
     steps = _steps_on_map(own, nodes)
-    marked = materialise(own.join(steps, ["trace_id", "span_id"], "left"), "cloud-marked")
+    marked = materialise(own.join(steps.hint("merge"), ["trace_id", "span_id"], "left"), "cloud-marked")
     call = F.col("api").isNotNull() & F.col("operation").isNotNull()
     takes = F.coalesce(F.col("kind").isin("server", "consumer"), F.lit(False))
     runs = F.col("step").isNotNull() | (takes & F.col("faas").isNotNull())
@@ -152,7 +150,9 @@ def call_sites(spans: DataFrame, nodes: DataFrame) -> DataFrame:
     where = of("at", F.min(F.coalesce(F.concat(F.lit("step:"), "step"), F.concat(F.lit("function:"), "faas"))).alias("ran"))
     steps_above = steps.select("trace_id", F.col("span_id").alias("above"), F.col("step").alias("by_step"))
     outer = of("outer", F.min(F.when(call, F.struct("api", "operation"))).alias("outer_call"))
-    found = own.filter(call).join(up, ["trace_id", "span_id"], "left").join(where, ["trace_id", "at"], "left").join(steps_above, ["trace_id", "above"], "left").join(outer, ["trace_id", "outer"], "left")
+    # merged, as these tables are as long as the spans, however small their files are
+    found = own.filter(call).join(up.hint("merge"), ["trace_id", "span_id"], "left").join(where.hint("merge"), ["trace_id", "at"], "left")
+    found = found.join(steps_above.hint("merge"), ["trace_id", "above"], "left").join(outer.hint("merge"), ["trace_id", "outer"], "left")
     part = (F.col("outer_call.api") == F.col("api")) & (F.col("outer_call.operation") == F.col("operation"))
     return found.select(
         "trace_id", "span_id", "own", "api", "operation", "targets", F.coalesce("ran", F.concat(F.lit("function:"), "faas")).alias("scope"),
@@ -193,7 +193,7 @@ def _from_caller(found: DataFrame, scopes: DataFrame, nodes: DataFrame) -> DataF
     filled = scopes.select("scope").distinct().withColumn("filled", F.lit(True))
     inside = scopes.select("scope", F.col("node").alias("from_id"), F.lit(True).alias("inside"))
     source = nodes.select(F.col("id").alias("from_id"), F.lit(True).alias("there"), F.col("service").alias("from_service"))
-    x = found.join(filled, "scope", "left").join(inside, ["scope", "from_id"], "left").join(source, "from_id", "left")
+    x = found.join(filled, "scope", "left").join(inside.hint("merge"), ["scope", "from_id"], "left").join(source.hint("merge"), "from_id", "left")
     own = F.col("there").isNotNull() & (F.col("own").isNull() | F.coalesce(F.col("own") == F.col("from_service"), F.lit(False)))
     return x.filter(F.when(F.col("filled"), F.col("inside").isNotNull()).otherwise(own)).drop("filled", "inside", "there", "from_service")
 

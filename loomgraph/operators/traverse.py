@@ -40,6 +40,40 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "out", types: Seq
     return seen
 
 
+def reach_all(edges: DataFrame, seeds: DataFrame, by: str) -> DataFrame:
+    """(by, id) of all ids that seeds (by, id) reach in any number of steps, apart for each value of `by`, they themselves too.
+
+    An id with one way out jumps: 1, 2, 4 ... steps of such ids are a table each, so a chain of n ids is walked in about log2(n)
+    rounds; ids with more ways out are left by single steps. What grows with the graph is shuffled, never sent through the driver.
+    """
+    keys = [by, "id"]
+    step = materialise(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).filter("a is not null and b is not null").distinct(), "steps")
+    jumps = [materialise(step.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")).filter("n = 1").drop("n"), "jumps")]
+    fork = materialise(step.join(jumps[0].select("a").hint("merge"), "a", "left_anti"), "forks")
+    seen, front = None, materialise(seeds.select(*keys).filter("id is not null").distinct(), "reach")
+    forks = not fork.isEmpty()
+    while True:
+        k = 0
+        while True:  # all within 2^k steps of the front are in it; if jumps of 2^k meet nothing new, no chain leaves it
+            if k == len(jumps):
+                on = jumps[-1].select(F.col("a").alias("b"), F.col("b").alias("c")).hint("merge")
+                jumps.append(materialise(jumps[-1].join(on, "b").select("a", F.col("c").alias("b")), "jumps"))
+            new = front.withColumnRenamed("id", "a").join(jumps[k].hint("merge"), "a").select(by, F.col("b").alias("id")).distinct()
+            new = materialise(new.join(front.hint("merge"), keys, "left_anti"), "reach")
+            if new.isEmpty():
+                break
+            front, k = front.unionByName(new), k + 1
+        if not forks:
+            return front
+        front = front if seen is None else front.join(seen.hint("merge"), keys, "left_anti")
+        front = materialise(front, "reach")
+        seen = front if seen is None else materialise(seen.unionByName(front), "reach")
+        new = front.withColumnRenamed("id", "a").join(fork.hint("merge"), "a").select(by, F.col("b").alias("id")).distinct()
+        front = materialise(new.join(seen.hint("merge"), keys, "left_anti"), "reach")
+        if front.isEmpty():
+            return seen
+
+
 def simple_paths(edges: DataFrame, seeds: DataFrame, direction: str = "out", types: Sequence[str] | None = None, depth: int = 6) -> DataFrame:
     """(id, depth, path, edge_type): one row for each simple path of at most `depth` steps; path is the ids joined by ">"."""
     step = steps_of(edges, direction, types).select("a", "b", "type")

@@ -83,3 +83,17 @@ def test_calls(spark):
 
 def test_empty(spark):
     assert placed(spark, [])[1] == {} and placed(spark, [("t", 1, 1, "client", None, None, None, None, "SQS", "SendMessage", ["q"])], [], [])[1] == {(1, "q"): ("not-found", None, None, None, None, None)}
+
+
+def test_chains_are_walked_in_few_rounds(spark, monkeypatch):
+    from loomgraph.operators import traverse as T
+
+    ways = [(f"a{i}", f"a{i + 1}") for i in range(100)] + [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)] + [("a100", "r4"), ("a100", "x"), ("x", "y"), ("x", "z"), ("y", "x"), ("lone", "z"), ("a7", None)]
+    seeds = [("f", "a0"), ("f", "a0"), ("g", "a60"), ("g", "lone"), ("h", "r1"), ("h", None), ("i", "away")]
+    written, own = [], T.materialise
+    monkeypatch.setattr(T, "materialise", lambda df, name: (written.append(name), own(df, name))[1])
+    got = sorted(tuple(r) for r in T.reach_all(spark.createDataFrame(ways, "from_id string, to_id string"), spark.createDataFrame(seeds, "scope string, id string"), "scope").collect())
+    want = {s for s in seeds if s[1]}
+    while more := {(s, b) for s, at in want for a, b in ways if a == at and b} - want:
+        want |= more
+    assert got == sorted(want) and len(written) < 50
