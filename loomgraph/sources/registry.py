@@ -1,6 +1,6 @@
 """Trace files of any known format from one place: each is told by its whole text inside the task, and none is left out.
 
-Files are read by Spark, so any store will do; a helper unpacks gzip files and zip archives. A text that is one JSON value is one
+Files are read by Spark, so any store will do; a helper unpacks gzip files and zip archives, plain ones stay in the JVM. A text that is one JSON value is one
 document, else each of its lines is. Documents are parsed in the JVM by their format's schema, all files of a format in one plan, so the
 number of jobs is that of formats, not of files. What has no format, can't be unpacked or gives no span comes as a row with a reason.
 """
@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -84,8 +84,20 @@ def _unpacked(name: str, raw: bytes) -> Iterator[tuple[str, str | None, str | No
         yield name, None, f"unreadable: {type(e).__name__}"
 
 
+def needs_unpacking() -> Column:
+    """Whether content is gzip, an archive or rows of an exported log: only these go to the helper."""
+    head = F.substring_index(F.col("content").cast("string"), "\n", 1)
+    rows = F.contains(head, F.lit("@timestamp")) & F.contains(head, F.lit("@message")) & ~head.rlike("^[\\s\ufeff]*\\{")
+    return F.coalesce((F.substring("content", 1, 2) == F.lit(b"\x1f\x8b")) | (F.substring("content", 1, 4) == F.lit(b"PK\x03\x04")) | rows, F.lit(False))
+
+
 def unpacked(files: DataFrame) -> DataFrame:
-    """files (path, content) as (file, text, problem); one file is one value, as long as it is."""
+    """files (path, content) as (file, text, problem); one file is one value, as long as it is. Plain text never leaves the JVM."""
+    plain = files.filter(~needs_unpacking()).select(F.col("path").alias("file"), F.coalesce(F.make_valid_utf8(F.col("content").cast("string")), F.lit("")).alias("text"), F.lit(None).cast("string").alias("problem"))
+    return plain.unionByName(_by_helper(files.filter(needs_unpacking())))
+
+
+def _by_helper(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -107,8 +119,8 @@ def documents(texts: DataFrame) -> DataFrame:
     """(file, format, text): one row a document of files with a format."""
     # in brackets, as what follows a first value isn't looked at otherwise
     whole = F.try_parse_json(F.concat(F.lit("["), "text", F.lit("]"))).isNotNull() & (F.col("format") != "csv")
-    lines = F.filter(F.split("text", "\r?\n"), lambda x: F.trim(x) != "")
-    return texts.filter("format is not null").select("file", "format", F.explode(F.when(whole, F.array("text")).otherwise(lines)).alias("text"))
+    each = F.explode(F.when(whole, F.array("text")).otherwise(F.split("text", "\r?\n")))
+    return texts.filter("format is not null").select("file", "format", each.alias("text")).filter(F.trim("text") != "")
 
 
 def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:

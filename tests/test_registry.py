@@ -72,3 +72,14 @@ def test_no_files_with_spans(spark, tmp_path):
     (tmp_path / "x.txt").write_text("hello")
     spans, problems = R.read_any(spark, str(tmp_path / "x.txt"))
     assert spans.count() == 0 and problems.count() == 1
+
+
+def test_plain_files_stay_in_the_jvm(spark):
+    raw = [b"", b"plain\n{}", b"\xff\xfea\xe2\x82", b"\xed\xa0\x80\xf0\x9f\x98x\xc0\xaf", b"\xef\xbb\xbf{\"@timestamp\": \"@message\"}", b"PK", b"\x1f", "é\n".encode() * 9, None]
+    packed = [gzip.compress(b"x"), b"@timestamp,@message\n1,a\n"]
+    files = spark.createDataFrame([(str(i), x) for i, x in enumerate(raw + packed)], "path string, content binary")
+    seen = {r.path for r in files.filter(R.needs_unpacking()).collect()}
+    assert seen == {str(len(raw)), str(len(raw) + 1)}
+    got = {r.file: (r.text, r.problem) for r in R.unpacked(files).collect()}
+    assert [got[str(i)] for i in range(len(raw))] == [((x or b"").decode("utf-8", "replace"), None) for x in raw]
+    assert got[str(len(raw))] == ("x", None) and json.loads(got[str(len(raw) + 1)][0]) == {"@timestamp": "1", "@message": "a"}
