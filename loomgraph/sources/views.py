@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..store import spread
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,12 +55,13 @@ NODES_SQL = """
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """from_id, to_id, type, confidence; one row for each (from_id, to_id, type)."""
     line = read(spark, d, "lineitem")
+    lines = line.count()
 
     def of(df: DataFrame, kind: str, a, b) -> DataFrame:
         return df.select(a.alias("from_id"), b.alias("to_id"), F.lit(kind).alias("type"), F.lit("static").alias("confidence"))
 
     def folded(kind: str, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
-        rows = line.groupBy(a[1], b[1]).agg(F.max("l_returnflag").alias("flag"))  # by numbers: ids are made once they are few
+        rows = spread(line.select(a[1], b[1], "l_returnflag"), lines, a[1], b[1]).groupBy(a[1], b[1]).agg(F.max("l_returnflag").alias("flag"))  # by numbers: ids are made once they are few
         sure = F.when(F.col("flag") == "R", "static").when(F.col("flag") == "N", "declared").otherwise("heuristic")
         return rows.select(_id(*a).alias("from_id"), _id(*b).alias("to_id"), F.lit(kind).alias("type"), sure.alias("confidence"))
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 #: Bytes of a batch that goes to a Python worker, at most (one row may have more).
 ARROW_BYTES = 8 << 20
+#: Rows of a long table that one task groups or sorts, about.
+ROWS_A_TASK = 1 << 20
 
 
 def importable(spark: SparkSession) -> None:
@@ -50,6 +52,13 @@ def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, of so many counted rows, dealt by keys to as many tasks as it takes, so what a task holds doesn't grow with the table."""
+    if rows <= ROWS_A_TASK:
+        return df
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK)), *keys)
+
+
 def write_store(tables: dict[str, DataFrame], path: str) -> None:
     """Each table as Parquet under path, by service where it has one; a table is replaced as a whole when its job commits."""
     for name, df in tables.items():

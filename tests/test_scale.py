@@ -76,3 +76,21 @@ def test_sides_of_channels_are_folded_before_they_meet(spark, tmp_path):
             assert sorted((r.from_id, r.to_id, r.takers, r.sure) for r in found) == sorted((f"supplier:{i}", "channel:B.1.1", takers, True) for i in range(40))
         else:
             assert [tuple(r) for r in found] == [("ASIA", "ASIA", "channel:B.1.1", 40 * 26)]
+
+
+def test_edges_are_folded_by_tasks_of_bounded_rows(spark, monkeypatch):
+    from loomgraph import store as ST
+    from loomgraph.plans import graph_queries as GQ
+    from loomgraph.sources import views as V
+
+    d = "/root/testdata/sf0.001"
+    kinds = ["type", "from_type", "to_type", "n"]
+    plain = sorted(map(str, GQ.hydrate(spark, d).select(*kinds).collect())), V.edges(spark, d).exceptAll(V.edges(spark, d)).count()
+    monkeypatch.setattr(ST, "ROWS_A_TASK", 500)
+    lines = V.read(spark, d, "lineitem")
+    rows = lines.count()
+    dealt = ST.spread(lines, rows, "l_orderkey", "l_partkey").select("l_orderkey", "l_partkey")
+    per = dealt.groupBy(F.spark_partition_id().alias("p")).count()
+    assert dealt.rdd.getNumPartitions() == -(-rows // 500) and per.agg(F.max("count")).first()[0] < 1000
+    assert sorted(map(str, GQ.hydrate(spark, d).select(*kinds).collect())) == plain[0] and plain[1] == 0
+    assert joined_rows(spark, lambda: GQ.hydrate(spark, d).collect()) <= V.edges(spark, d).count()
