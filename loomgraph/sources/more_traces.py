@@ -93,6 +93,10 @@ def framework_spans(doc: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of unpacked members that are handed on at once, about: a batch a member costs more than its unpacking.
+HELD = 4 << 20
+
+
 def zipped(docs: DataFrame) -> DataFrame:
     """docs (name, document) as zip archives (name, content), one each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +116,7 @@ def zipped(docs: DataFrame) -> DataFrame:
 def unzipped(archives: DataFrame, ending: str = ".har", most: int = 64 << 20) -> DataFrame:
     """(member, document) of the members of archives (name, content) with that ending; a member over `most` bytes fails the job."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, texts, held = [], [], 0
         for b in batches:
             for raw in b.column(0):
                 with zipfile.ZipFile(io.BytesIO(raw.as_py())) as z:
@@ -119,7 +124,14 @@ def unzipped(archives: DataFrame, ending: str = ".har", most: int = 64 << 20) ->
                         if m.filename.lower().endswith(ending):
                             if m.file_size > most:
                                 raise ValueError(f"{m.filename} has {m.file_size} bytes")
-                            yield pa.RecordBatch.from_arrays([pa.array([m.filename]), pa.array([z.read(m).decode("utf-8", "replace")])], names=["member", "document"])
+                            names.append(m.filename)
+                            texts.append(z.read(m).decode("utf-8", "replace"))
+                            held += len(texts[-1])
+                            if held >= HELD or len(names) == 4096:
+                                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["member", "document"])
+                                names, texts, held = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["member", "document"])
 
     importable(archives.sparkSession)
     return archives.select("content").mapInArrow(run, "member string, document string")
