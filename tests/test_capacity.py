@@ -1,5 +1,6 @@
 """A stream with one endless trace under a bound: its pieces add up to what a batch says."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loomgraph.streaming import capacity as C
@@ -31,3 +32,35 @@ def test_pieces_add_up(spark, tmp_path):
     long = sorted((r.piece, r.spans, r.cut_short) for r in out if r.trace_id == "endless")
     assert long == [*[(k, 100, True) for k in range(7)], (7, 50, False)]
     assert not any(r.cut_short for r in out if r.trace_id != "endless")
+
+
+def test_many_traces_are_few_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "BUCKETS", 3)
+    path, start = str(tmp_path / "in"), 1_700_000_000
+    for k in range(2):
+        spans(spark, 5000, F.concat(F.lit("t"), F.col("id") % 1000), start + 20_000 * k, 1).repartition(2).write.mode("append").parquet(path)
+    spans(spark, 1, F.lit("~"), start + 10_000_000, 1).coalesce(1).write.mode("append").parquet(path)
+    told = []
+    stream = spark.readStream.schema(SPAN).option("maxFilesPerTrigger", 100).parquet(path)
+    q = C.bounded_traces(stream, 4, "30 seconds", "1 hour").writeStream.foreachBatch(lambda df, n: told.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+    assert 0 < max(rows) <= 3
+    per = pd.DataFrame([r.asDict() for r in told if r.trace_id != "~"]).groupby("trace_id").agg(spans=("spans", "sum"), pieces=("piece", "count"), cut=("cut_short", "sum"))
+    assert len(per) == 1000 and set(map(tuple, per.to_numpy().tolist())) == {(10, 3, 2)}
+
+
+def frame(*rows):
+    return pd.DataFrame(rows, columns=["trace_id", "us", "bad"])
+
+
+def test_pieces_go_on_from_what_is_held():
+    none = pd.DataFrame({c: [] for c in C.HELD}).astype({c: "int64" for c in C.HELD[1:]})
+    told, held = C._grown(none, frame(("b", 5000, True), ("a", 9000, False), ("a", 1000, True), ("a", 4000, False)), 2)
+    assert told[list(C.COLUMNS)].to_numpy().tolist() == [["a", 0, 1000, 4000, 2, 1, True]]
+    assert sorted(held[list(C.HELD)].to_numpy().tolist()) == [["a", 1, 9000, 9000, 1, 0, 9], ["b", 0, 5000, 5000, 1, 1, 5]]
+    told, held = C._grown(held, frame(("a", 2000, True), ("c", 7000, False)), 2)  # earlier than what is held
+    assert told[list(C.COLUMNS)].to_numpy().tolist() == [["a", 1, 2000, 9000, 2, 1, True]]
+    assert sorted(held[["trace_id", "piece", "spans", "errors", "latest_ms"]].to_numpy().tolist()) == [["a", 2, 0, 0, 9], ["b", 0, 1, 1, 5], ["c", 0, 1, 0, 7]]
+    told, held = C._grown(held, frame(("a", 3000, False)), 2)
+    assert told.empty and [x for x in held[list(C.HELD)].to_numpy().tolist() if x[0] == "a"] == [["a", 2, 3000, 3000, 1, 0, 9]]
