@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CONFIDENCE, rank
-from ..store import materialise, sized
+from ..store import BROADCAST_BYTES, materialise, sized
 
 #: Bytes of an id with what goes along, when a set of ids is measured for a broadcast.
 ROW_BYTES = 64
@@ -30,9 +30,17 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "out", types: Seq
     front, size = seen, seen.count()
     total = size
     for k in range(1, depth + 1):
-        # a front and a seen set of measured size are broadcast, so the edges stay where they are; larger ones are shuffled
-        new = step.join(sized(front.withColumnRenamed("id", "a").drop("depth"), size, ROW_BYTES), "a").select(*([by] if by else []), F.col("b").alias("id")).distinct()
-        front = materialise(new.join(sized(seen.select(*keys), total, ROW_BYTES), keys, "left_anti").withColumn("depth", F.lit(k)).select(*keys, "depth"), "reach")
+        # a front and a seen set of measured size are broadcast, so the edges stay where they are; larger ones are met by their different ids
+        near = front.withColumnRenamed("id", "a").drop("depth")
+        new = _met(step, near, size).select(*([by] if by else []), F.col("b").alias("id")).distinct()
+        if total * ROW_BYTES <= BROADCAST_BYTES:
+            new = new.join(F.broadcast(seen.select(*keys)), keys, "left_anti")
+        else:
+            new = materialise(new, "reach")
+            old = _of(seen.select(*keys), "id", new)
+            if not old.isEmpty():
+                new = new.join(old, keys, "left_anti")
+        front = materialise(new.withColumn("depth", F.lit(k)).select(*keys, "depth"), "reach")
         size = front.count()
         if not size:
             break
@@ -40,6 +48,25 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "out", types: Seq
     return seen
 
 
+def _of(df: DataFrame, key: str, other: DataFrame) -> DataFrame:
+    """The rows of df whose key some row of other has; broadcast where the different keys are few."""
+    own = materialise(other.select(key).distinct(), "ids")
+    return df.join(sized(own, own.count(), ROW_BYTES), key, "left_semi")
+
+
+def _met(step: DataFrame, near: DataFrame, size: int) -> DataFrame:
+    """step (a, b) joined with a front (a, ...) of so many rows. Of a long front that stands at few ids, the steps of those are
+    sought first: where they are few they go to the front, and neither side is shuffled."""
+    if size * ROW_BYTES <= BROADCAST_BYTES:
+        return step.join(F.broadcast(near), "a")
+    own = materialise(near.select("a").distinct(), "ids")
+    ids = own.count()
+    if ids * ROW_BYTES > BROADCAST_BYTES:
+        return step.join(near, "a")
+    few = materialise(step.join(F.broadcast(own), "a", "left_semi"), "steps")
+    return near.join(sized(few, few.count(), 2 * ROW_BYTES), "a")
+
+
 def reach_all(edges: DataFrame, seeds: DataFrame, by: str) -> DataFrame:
     """(by, id) of all ids that seeds (by, id) reach in any number of steps, apart for each value of `by`, they themselves too.
 

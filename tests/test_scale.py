@@ -112,3 +112,49 @@ def test_a_channel_survey_joins_no_names(spark):
     lines = spark.read.parquet(f"{d}/lineitem.parquet").count()
     plan = GQ.channel_survey(spark, d)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") <= 3 and lines > 0
+
+
+def shuffled_rows(spark, made):
+    """The rows that all exchanges wrote while made() ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    made()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    rows, runs = 0, store.executionsList()
+    for i in range(before, runs.size()):
+        run = runs.apply(i).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for k in range(nodes.size()):
+            for m in range(nodes.apply(k).metrics().size()):
+                metric = nodes.apply(k).metrics().apply(m)
+                if metric.name() == "shuffle records written" and values.contains(metric.accumulatorId()):
+                    rows += int(re.sub(r"\D", "", values.apply(metric.accumulatorId())) or 0)
+    return rows
+
+
+def test_a_long_front_at_few_ids_is_not_shuffled(spark, monkeypatch):
+    from loomgraph import store as ST
+    from loomgraph.operators import traverse as T
+
+    for m in (ST, T):
+        monkeypatch.setattr(m, "BROADCAST_BYTES", 100 * T.ROW_BYTES, raising=False)
+    n = F.col("id")
+    steps = [(f"p{i}", f"s{(i + 3 * j) % 20}") for i in range(2000) for j in range(5)] + [(f"s{i}", f"n{i % 4}") for i in range(20)] + [("n0", "s0"), ("n0", "p7")]
+    edges = spark.createDataFrame(steps, "from_id string, to_id string").withColumns({"type": F.lit("t"), "confidence": F.lit("static")})
+    seeds = spark.range(2000).select(F.concat(F.lit("p"), n).alias("id"), F.concat(F.lit("p"), n).alias("seed"))
+    ways, want = {}, {}
+    for a, b in steps:
+        ways.setdefault(a, set()).add(b)
+    for i in range(2000):
+        front = {f"p{i}"}
+        for k in range(4):
+            for x in front:
+                want[f"p{i}", x] = k
+            front = {b for x in front for b in ways.get(x, ()) if (f"p{i}", b) not in want}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.seed, r.id): r.depth for r in T.reach(edges, seeds, "out", None, 3, by="seed").collect()}
+        rows = shuffled_rows(spark, lambda: T.reach(edges, seeds, "out", None, 2, by="seed"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and 0 < rows < 48_000
