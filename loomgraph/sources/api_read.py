@@ -49,13 +49,18 @@ def text_at(v: Column, path: str) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(kind_of(v).startswith("OBJECT"), F.lit(False))
+    return at(v, "$", "struct<>").isNotNull()  # its members aren't looked at, as they are for a kind
 
 
 def items(v: Column, path: str) -> Column:
     return F.coalesce(at(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
+def alone(v: Column) -> Column:
+    """A part of a document with its own names only: a part else carries the names of the whole document wherever it goes."""
+    return F.parse_json(F.to_json(v))
+
+
 def exploded(df: DataFrame, v: str, path: str, key: str, value: str) -> DataFrame:
     """A row for each member of the object there; none where it isn't one."""
     return df.withColumn("_m", at(F.col(v), path, "map<string,variant>")).select(*df.columns, F.explode("_m").alias(key, value))
@@ -108,7 +113,7 @@ def http_operations(d: DataFrame) -> DataFrame:
     own = F.trim(text_at(F.col("o"), "$.operationId"))
     return verbs.select(
         *DOC, F.to_json(F.array("raw_path", "verb")).alias("key"), F.when(own != "", own).otherwise(F.concat_ws(" ", method, path)).alias("op"),
-        method.alias("method"), path.alias("path"), "raw_path", text_at(F.col("o"), "$.summary").alias("summary"), "o",
+        method.alias("method"), path.alias("path"), "raw_path", text_at(F.col("o"), "$.summary").alias("summary"), alone(F.col("o")).alias("o"),
     )
 
 
@@ -334,7 +339,9 @@ def read_api(docs: DataFrame) -> dict[str, DataFrame]:
         root(params, rid(key, F.lit("parameter"), F.col("i")), F.concat(shape, F.lit("Parameter"), _capital(F.col("name"))), F.col("s")),
         root(ends, rid(key, F.lit("payload")), F.concat(shape, F.lit("Payload")), F.col("payload")),
     ]
-    refs, types, fields = schemas(reduce(DataFrame.unionByName, roots).dropDuplicates(["id"]))
+    roots = reduce(DataFrame.unionByName, roots)
+    # within one document no two schemas have one id
+    refs, types, fields = schemas(roots if d.groupBy(*DOC).count().filter("count > 1").isEmpty() else roots.dropDuplicates(["id"]))
     refs = materialise(refs, "roots")
 
     def with_ref(df: DataFrame, i: Column, name: str) -> DataFrame:
@@ -363,7 +370,7 @@ def flat_fields(types: DataFrame, fields: DataFrame, roots: DataFrame, depth: in
     A field is optional if one on the way to it is. A type that holds itself is told by its id and not opened again on that way;
     deeper fields than `depth` are not opened.
     """
-    step = fields.select(F.col("id").alias("at_id"), "name", F.col("type").alias("ftype"), F.col("optional").alias("fopt"))
+    step = materialise(fields.select(F.col("id").alias("at_id"), "name", F.col("type").alias("ftype"), F.col("optional").alias("fopt")), "fields")  # levels read them again and again
     named = lambda ref: F.regexp_extract(ref, r"^(type:[^ |&\[\]]+)( \| null)?$", 1)
     left = roots.select("key", F.lit("").alias("path"), F.lit(False).alias("optional"), named(F.col("ref")).alias("at_id"), F.array().cast("array<string>").alias("way")).filter("at_id <> ''")
     out = []
