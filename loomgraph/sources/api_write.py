@@ -53,6 +53,7 @@ def used_types(roots: DataFrame, types: DataFrame, fields: DataFrame, depth: int
     """
     ids = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit(TYPE_IDS), 1)))
     links = fields.select("id", ids(F.col("type")).alias("to")).unionByName(types.filter("alias is not null").select("id", ids(F.col("alias")).alias("to"))).distinct()
+    links = materialise(links, "links")  # steps read them again and again
     left = roots.select("service", ids(F.col("ref")).alias("id")).distinct()
     seen = materialise(left.withColumn("level", F.lit(1)), "used")
     left = seen
@@ -141,7 +142,7 @@ def write_api(api: dict[str, DataFrame], most: int = 200, depth: int = DEPTH) ->
     is written. Verbs that documents don't have are left to `unwritten`. A service without operations has no document. Names of
     operations may be null, and a null reference is a body or an answer nobody has read: an answer of unknown shape, no body.
     """
-    types, fields = api["types"].dropDuplicates(["id"]), api["fields"].dropDuplicates(["id", "name"])
+    types, fields = materialise(api["types"].dropDuplicates(["id"]), "types"), materialise(api["fields"].dropDuplicates(["id", "name"]), "fields")
     ops = api["operations"]
     params = api["parameters"].dropDuplicates(["service", "op", "place", "name"])
     answers = api["answers"].dropDuplicates(["service", "op", "status"])

@@ -130,3 +130,44 @@ def test_no_documents(spark):
 ])
 def test_reference_schemas(text, schema):
     assert json.loads(schema_text(text, {"type:s#A": "A"})) == schema
+
+
+def many_paths(n):
+    return json.dumps({"openapi": "3.1.0", "paths": {f"/some/long/path/{i}": {"post": {"requestBody": json_body(obj(a={"type": "string"})), "responses": {"200": {"description": "ok", **json_body({"type": "number"})}}}} for i in range(n)}})
+
+
+def test_an_operation_carries_its_own_names_only(spark):
+    docs = spark.createDataFrame([("s", "d", many_paths(300))], "service string, document string, text string")
+    ops = R.http_operations(R.parsed(docs)).select("raw_path", "o").collect()
+    assert len(ops) == 300 and max(len(r.o.metadata) for r in ops) < 200
+    assert {json.dumps(r.o.toPython(), sort_keys=True) for r in ops} == {json.dumps(json.loads(many_paths(1))["paths"]["/some/long/path/0"]["post"], sort_keys=True)}
+
+
+def test_schemas_are_compared_only_where_a_document_came_twice(spark, monkeypatch):
+    plans = []
+    plain = R.schemas
+    monkeypatch.setattr(R, "schemas", lambda roots: plans.append(roots._jdf.queryExecution().optimizedPlan().toString()) or plain(roots))
+    rows = [("s", "d", many_paths(3)), (None, "e", many_paths(2))]
+    once, twice = (R.read_api(spark.createDataFrame(x, "service string, document string, text string")) for x in (rows, rows * 2))
+    assert "Aggregate" not in plans[0].split("Join")[0] and "Aggregate" in plans[1]
+    for name in ("types", "fields"):
+        assert sorted(map(str, once[name].collect())) == sorted(map(str, twice[name].collect())) != []
+    assert sorted(map(str, twice["operations"].collect())) == sorted(map(str, once["operations"].collect() * 2))
+
+
+@pytest.mark.parametrize("text, whole", [('{"a": {"b": [1]}}', True), ("{}", True), ("[1]", False), ('"x"', False), ("1", False), ("null", False), ("{", False)])
+def test_objects_are_told_by_themselves(spark, text, whole):
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(R.is_object(F.try_parse_json(F.lit(text)))).first()[0] is whole
+
+
+def test_links_of_types_are_found_once(spark, monkeypatch):
+    plans = []
+    plain = W.materialise
+    monkeypatch.setattr(W, "materialise", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or plain(df, name))
+    types = spark.createDataFrame([(f"type:s#{x}", None) for x in "ABC"], "id string, alias string")
+    fields = spark.createDataFrame([("type:s#A", "b", "type:s#B"), ("type:s#B", "c", "type:s#C[]")], "id string, name string, type string")
+    roots = spark.createDataFrame([("s", "type:s#A | null")], "service string, ref string")
+    assert sorted((r.id[-1], r.level) for r in W.used_types(roots, types, fields).collect()) == [("A", 1), ("B", 2), ("C", 3)]
+    assert len(plans) > 3 and sum("regexp_extract_all" in p for name, p in plans if name == "used") == 1
