@@ -52,6 +52,11 @@ NODES_SQL = """
 """
 
 
+def line_pairs(line: DataFrame, lines: int, a: str, b: str) -> DataFrame:
+    """a, b, flag: each pair of two numbers that so many counted lines have, with its greatest flag."""
+    return spread(line.select(a, b, "l_returnflag"), lines, a, b).groupBy(a, b).agg(F.max("l_returnflag").alias("flag"))
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """from_id, to_id, type, confidence; one row for each (from_id, to_id, type)."""
     line = read(spark, d, "lineitem")
@@ -61,7 +66,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
         return df.select(a.alias("from_id"), b.alias("to_id"), F.lit(kind).alias("type"), F.lit("static").alias("confidence"))
 
     def folded(kind: str, a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
-        rows = spread(line.select(a[1], b[1], "l_returnflag"), lines, a[1], b[1]).groupBy(a[1], b[1]).agg(F.max("l_returnflag").alias("flag"))  # by numbers: ids are made once they are few
+        rows = line_pairs(line, lines, a[1], b[1])  # by numbers: ids are made once they are few
         sure = F.when(F.col("flag") == "R", "static").when(F.col("flag") == "N", "declared").otherwise("heuristic")
         return rows.select(_id(*a).alias("from_id"), _id(*b).alias("to_id"), F.lit(kind).alias("type"), sure.alias("confidence"))
 

@@ -53,10 +53,18 @@ def sized(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 
 def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """df, of so many counted rows, dealt by keys to as many tasks as it takes, so what a task holds doesn't grow with the table."""
+    """df, of so many counted rows, dealt by keys to as many tasks as it takes, so what a task holds doesn't grow with the table.
+
+    For up to spark.shuffle.sort.bypassMergeThreshold tasks rows are written straight to files, for more they are held and sorted
+    first: more are taken only where each would else get over twice ROWS_A_TASK.
+    """
     if rows <= ROWS_A_TASK:
         return df
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK)), *keys)
+    conf, tasks = df.sparkSession.conf, -(-rows // ROWS_A_TASK)
+    straight = int(conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    if straight < tasks <= 2 * straight:
+        tasks = straight
+    return df.repartition(max(int(conf.get("spark.sql.shuffle.partitions")), tasks), *keys)
 
 
 def write_store(tables: dict[str, DataFrame], path: str) -> None:
