@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 #: Bytes of a batch that goes to a Python worker, at most (one row may have more).
 ARROW_BYTES = 8 << 20
+#: Options of Parquet for rows of up to megabytes: its writer counts the bytes it holds from the first row on, not after a hundred.
+LONG_ROWS = {"parquet.page.size.row.check.min": "1"}
 #: Rows of a long table that one task groups or sorts, about.
 ROWS_A_TASK = 1 << 20
 
@@ -41,10 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/loomgraph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

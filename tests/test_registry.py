@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -83,3 +84,38 @@ def test_plain_files_stay_in_the_jvm(spark):
     got = {r.file: (r.text, r.problem) for r in R.unpacked(files).collect()}
     assert [got[str(i)] for i in range(len(raw))] == [((x or b"").decode("utf-8", "replace"), None) for x in raw]
     assert got[str(len(raw))] == ("x", None) and json.loads(got[str(len(raw) + 1)][0]) == {"@timestamp": "1", "@message": "a"}
+
+
+LINES = [json.dumps(x) for x in (ZIPKIN[0] | {"id": f"l{i}"} for i in range(3000))]
+ODD = {
+    "a b%20[1]*?{x}é.jsonl": "﻿" + "\r\n".join([*LINES[:1000], "not json", "", " ", *LINES[1000:2000]]),
+    "commas.txt": ",\n".join(LINES[:300]), "later.json": "\n \n\n" + json.dumps(ZIPKIN, indent=1), "none.txt": "[a] {\n" * 200, "cut.log": '{"a": [{\n' + "\n".join(LINES[2000:2500]), "even.txt": "[a {\n}]\n" * 200, "[b] log": "[b] REPORT RequestId: b1 Duration: 1 ms\n" + "[c\n" * 50, "blank": " \n\t\r\n" * 20,
+    "named.gz.json": "[1,\n" * 9 + LINES[0], "plain.gz": LINES[2999],
+}
+
+
+@pytest.mark.parametrize("whole", [1 << 20, 0])
+def test_files_of_lines_are_never_one_value(spark, folder, tmp_path, monkeypatch, whole):
+    from pyspark.sql import functions as F
+
+    from loomgraph.store import shared_dir
+
+    monkeypatch.setattr(R, "WHOLE", whole, raising=False)
+    for n, text in ODD.items():
+        (tmp_path / "in" / n).write_bytes(text.encode())
+    (tmp_path / "in" / "badly.har.log").write_bytes(b"\xff\xfe\n" + json.dumps(HAR).encode() + b"\n\xe2\x82\n")
+    names = list(ODD)
+    more = [(names[0], "zipkin", f"l{i}") for i in range(2000)] + [("commas.txt", "zipkin", f"l{i}") for i in range(300)] + [("cut.log", "zipkin", f"l{i}") for i in range(2000, 2500)] + [("later.json", "zipkin", "z1"), ("later.json", "zipkin", "z2"), ("[b] log", "report", "b1"), ("named.gz.json", "zipkin", "l0"), ("plain.gz", "zipkin", "l2999"), ("badly.har.log", "har", "b" * 16)]
+    made = lambda: set(os.listdir(f"{shared_dir(spark)}/loomgraph"))
+    before = made() if os.path.exists(f"{shared_dir(spark)}/loomgraph") else set()
+    spans, problems = R.read_any(spark, folder)
+    held = {x for x in made() - before if x.startswith("trace-texts")}
+    assert short(spans.select("file", "format", "span_id").collect()) == sorted(SPANS + more)
+    told = short(problems.select("file", "problem").collect())
+    assert [(f, p.replace("EOFError", "BadGzipFile")) for f, p in told] == sorted([*PROBLEMS, ("none.txt", "no known format"), ("even.txt", "no known format"), ("blank", "empty")])
+    texts = spark.read.parquet(*[f"{shared_dir(spark)}/loomgraph/{x}" for x in held]).select(F.regexp_extract("file", "/in/(.*)", 1)).collect()
+    if not whole:  # packed, exported rows or a value over several lines
+        assert {r[0] for r in texts} == {"zipkin.json", "later.json", "rows.csv", "plain.gz", "broken.gz", "sub/a.har.gz", "sub/b.zip!m/1.json", "sub/b.zip!m/2.txt", "even.txt"}
+    out = R.stream_any(spark, folder, str(tmp_path / "out"), files=7)
+    assert short(spark.read.parquet(f"{out}/spans").select("file", "format", "span_id").collect()) == sorted(SPANS + more)
+    assert len(spark.read.parquet(f"{out}/problems").collect()) == len(told)
